@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.shipping import ship
+
 #: Words are maximal runs of anything but these ASCII white-space characters (as a Java class).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -17,7 +19,7 @@ _TO_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -74,4 +76,5 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def with_key(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the two columns an operator works on, under names that clash with no other column."""
+    ship(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("__key"), F.col(text).cast("string").alias("__text"))

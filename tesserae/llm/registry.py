@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe
+from tesserae.llm import bpe, substring
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op5_substring_dedup": substring.op5_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
