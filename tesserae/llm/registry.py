@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, substring
+from tesserae.llm import bpe, quality, substring, suffixes
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op5_substring_dedup": substring.op5_substring_dedup,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.ORACLE_SQL,
+}
