@@ -122,8 +122,8 @@ def _oracle() -> str:
     verdicts = [(n, f"({p} = 0 OR {c} >= CAST({a} AS DOUBLE) * {p} AND {c} <= CAST({b} AS DOUBLE) * {p})") for n, c, p, a, b in RULES]
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
-s AS (SELECT doc_id, r, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+s AS (SELECT doc_id, r, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 g AS (SELECT r, unnest(range(1, len(w) - {WINDOW - 2})) AS p, w FROM s WHERE len(w) >= {WINDOW}),
 k AS (SELECT r, p, array_to_string(w[p:p + {WINDOW - 1}], ' ') AS g FROM g),
 m AS (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS n FROM k),
@@ -132,10 +132,10 @@ e AS (SELECT r, CAST(sum(least({WINDOW}, coalesce(q - p, {WINDOW}))) AS BIGINT)
 f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words,
-  CAST(len(list_filter(w, x -> lower(rtrim(x, '.,;:!?')) IN ({_STOPS}))) AS BIGINT) AS n_stop_words,
+  CAST(len(list_filter(w, lambda x: lower(rtrim(x, '.,;:!?')) IN ({_STOPS}))) AS BIGINT) AS n_stop_words,
   CAST(length(regexp_replace(t, '[^!]', '', 'g')) AS BIGINT) AS n_exclamations, CAST(len(l) AS BIGINT) AS n_lines,
-  CAST(len(list_filter(l, x -> ltrim(x, ' ') LIKE '-%' OR ltrim(x, ' ') LIKE '*%' OR ltrim(x, ' ') LIKE '•%')) AS BIGINT) AS n_bullet_lines,
-  CAST(len(list_filter(l, x -> rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) AS BIGINT) AS n_open_lines
+  CAST(len(list_filter(l, lambda x: ltrim(x, ' ') LIKE '-%' OR ltrim(x, ' ') LIKE '*%' OR ltrim(x, ' ') LIKE '•%')) AS BIGINT) AS n_bullet_lines,
+  CAST(len(list_filter(l, lambda x: rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) AS BIGINT) AS n_open_lines
   FROM s LEFT JOIN e USING (r))
 SELECT doc_id, {", ".join(COUNTS)}, {base} AS base_failed, {", ".join(f"{v} AS ok_{n}" for n, v in verdicts)},
   NOT {base} AND {" AND ".join(v for _, v in verdicts)} AS kept FROM f"""

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, quality, substring, suffixes
+from tesserae.llm import bpe, quality, substring, suffixes, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_substring_dedup": substring.op5_substring_dedup,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
+    "op10_topk": topk.op10_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE_SQL,
+    "op10_topk": topk.ORACLE_SQL,
 }
