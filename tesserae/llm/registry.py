@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, quality, substring, suffixes, topk
+from tesserae.llm import bpe, packing, quality, substring, suffixes, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_substring_dedup": substring.op5_substring_dedup,
+    "op6_packing": packing.op6_packing,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op10_topk": topk.op10_topk,
 }
