@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, packing, quality, substring, suffixes, topk
+from tesserae.llm import bpe, chat, lines, packing, quality, substring, suffixes, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op4_line_dedup": lines.op4_line_dedup,
     "op5_substring_dedup": substring.op5_substring_dedup,
     "op6_packing": packing.op6_packing,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
+    "op9_chat_perspectives": chat.op9_chat_perspectives,
     "op10_topk": topk.op10_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE_SQL,
+    "op9_chat_perspectives": chat.ORACLE_SQL,
     "op10_topk": topk.ORACLE_SQL,
 }
