@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, chat, lines, packing, quality, substring, suffixes, topk
+from tesserae.llm import bpe, chat, lines, minhash, packing, quality, substring, suffixes, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_minhash": minhash.op3_minhash,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_substring_dedup": substring.op5_substring_dedup,
     "op6_packing": packing.op6_packing,

@@ -38,7 +38,7 @@ KEPT = pa.schema([("__key", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 KEPT_DDL = "__key long, n_words long, n_removed long, starts array<long>, lengths array<long>, kept string"
 
 
-class _Words:
+class RunWords:
     """The words of a run, one after another: their hashes, documents and places in them."""
 
     def __init__(self, data: bytes):
@@ -73,7 +73,7 @@ class _Words:
         return at, total[at]
 
 
-def _candidates(words: _Words, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(words: RunWords, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows (or those in `keep`): start, hash, second hash."""
     at, main = words.windows(WINDOW, 13)
     _, other = words.windows(WINDOW, 31)
@@ -86,7 +86,7 @@ def _candidates(words: _Words, keep: np.ndarray | None) -> tuple[np.ndarray, np.
 
 def _send_blocks(buckets: int):
     def send(run: int, data: bytes) -> Iterator[tuple[int, int, bytes]]:
-        words = _Words(data)
+        words = RunWords(data)
         at, hashes = words.windows(BLOCK, 7)
         if not len(at):
             return
@@ -132,7 +132,7 @@ def _send_windows(buckets: int):
             if kind == 0:
                 found.append(unpack(data)[0])
             elif found:
-                words = _Words(data)
+                words = RunWords(data)
                 at, hashes = words.windows(BLOCK, 7)
                 own = words.place[at] % BLOCK == 0
                 at, hashes = at[own], hashes[own] >> np.uint64(64 - BITS)
@@ -181,7 +181,7 @@ def _remove(run: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
         if kind == 0:
             told.append(unpack(data))
             continue
-        words = _Words(data)
+        words = RunWords(data)
         at, main, other = _candidates(words, None)
         docs = words.key[words.doc[at]]
         known = [np.concatenate(c) for c in zip(*told)] if told else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
