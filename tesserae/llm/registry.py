@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, chat, lines, minhash, packing, quality, substring, suffixes, topk
+from tesserae.llm import bpe, chat, lines, minhash, packing, quality, secrets, substring, suffixes, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_substring_dedup": substring.op5_substring_dedup,
     "op6_packing": packing.op6_packing,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_chat_perspectives": chat.op9_chat_perspectives,
     "op10_topk": topk.op10_topk,
