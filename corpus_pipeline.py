@@ -1,8 +1,62 @@
-"""Placeholder until its stages exist."""
+"""From raw documents to packed training sequences, in five stages, each written and read again before the next.
 
-STAGES: list = []
+Rejected documents and later near copies go; repeated line chunks are cut; secrets are masked; what is left is packed.
+All stages but the last return the columns of documents, with n_chars brought up to date.  Rows with a null text are
+rejected by the first stage; a null doc_id is an ordinary row that no other row is compared with.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.llm import lines, minhash, packing, quality, secrets
+from tesserae.llm.common import cut, read
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars as the text now is, where the table has it."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(lines.remove_repeats(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_first(docs).select(docs.columns)
+
+
+def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(secrets.mask(docs))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("secret_masking", secret_masking),
+    ("sequence_packing", sequence_packing),
+]
+
+#: Weighted sampling, a trained forest and a tokenizer have no SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
