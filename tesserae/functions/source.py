@@ -1,0 +1,37 @@
+"""Features of Python source texts.  Texts are parsed, never run; a text that doesn't parse gives a row that says so."""
+
+import ast
+import hashlib
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+FEATURES = "parses boolean, ast_key string, kernels array<string>, launched array<string>, functions array<string>"
+
+
+def parse_features(code: str | None) -> tuple:
+    try:
+        tree = ast.parse(code or "")
+    except (SyntaxError, ValueError):
+        return False, None, [], [], []
+    kernels, launched, functions = [], set(), []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef | ast.Module) and ast.get_docstring(node, clean=False) is not None:
+            node.body = node.body[1:] or [ast.Pass()]
+        if isinstance(node, ast.FunctionDef):
+            functions.append(node.name)
+            if any(ast.unparse(d).startswith("triton.jit") for d in node.decorator_list):
+                kernels.append(node.name)
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Subscript) and isinstance(node.func.value, ast.Name):
+            launched.add(node.func.value.id)
+    return True, hashlib.sha256(ast.dump(tree).encode()).hexdigest(), sorted(kernels), sorted(launched & set(kernels)), sorted(functions)
+
+
+def features(code: Column) -> Column:
+    """A struct of FEATURES, by batches of texts."""
+
+    def parse(codes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_features(c) for c in codes], columns=["parses", "ast_key", "kernels", "launched", "functions"])
+
+    return F.pandas_udf(parse, FEATURES)(code)
