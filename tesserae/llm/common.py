@@ -78,3 +78,11 @@ def with_key(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the two columns an operator works on, under names that clash with no other column."""
     ship(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("__key"), F.col(text).cast("string").alias("__text"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import batched, cut, read, rows, with_key
+from tesserae.llm.common import batched, cut, free_name, read, rows, with_key
 
 LEAST_LINES = 2
 MOST_LINES = 64
@@ -115,15 +115,15 @@ def kept_text(text: str, gone: set[int]) -> tuple[str, int]:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
     """All rows and columns, the repeated chunks cut from the text; `removed` names a column for the number of lines cut."""
-    names = docs.columns
-    gone = repeated_chunks(with_key(docs, key, text)).groupBy("__key").agg(F.collect_list(F.struct("__row", "gone")).alias("__gone"))
-    joined = docs.withColumn("__key", F.col(key).cast("long")).join(gone, "__key", "left").drop("__key")
+    names, told_name, key_name = docs.columns, free_name(docs, "__gone"), free_name(docs, "__key")
+    gone = repeated_chunks(with_key(docs, key, text)).groupBy("__key").agg(F.collect_list(F.struct("__row", "gone")).alias(told_name)).withColumnRenamed("__key", key_name)
+    joined = docs.withColumn(key_name, F.col(key).cast("long")).join(gone, key_name, "left").drop(key_name)
     schema = docs.schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            told = batch.column(batch.schema.get_field_index("__gone"))
+            told = batch.column(batch.schema.get_field_index(told_name))
             texts, counts = batch.column(at).to_pylist(), []
             for i, t in enumerate(texts):
                 n, found = 0, told[i].as_py() if t is not None else None
@@ -142,7 +142,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", rem
         from pyspark.sql.types import LongType, StructType
 
         result = StructType([*docs.schema.fields]).add(removed, LongType())
-    return joined.select(*names, "__gone").mapInArrow(run, result)
+    return joined.select(*names, told_name).mapInArrow(run, result)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import read
+from tesserae.llm.common import free_name, read
 
 STOP_WORDS = {
     "en": "a an and are as at be by for from in is it of on or that the this to was were with",
@@ -110,7 +110,8 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text passes all rules, with all their columns."""
-    return with_measures(docs, text).where("__quality.kept").drop("__quality")
+    into = free_name(docs, "__quality")
+    return with_measures(docs, text, into).where(F.col(into)["kept"]).drop(into)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import read
+from tesserae.llm.common import free_name, read
 
 TRAIN_ROWS = 6000
 TREES = 15
@@ -167,9 +167,9 @@ def scan(docs: DataFrame, forest: str | None = None, key: str = "doc_id", text:
 def mask(docs: DataFrame, forest: str | None = None, text: str = "text") -> DataFrame:
     """All rows and columns; each secret in the text is replaced by MASK."""
     forest = forest or train(made_findings(docs.sparkSession))
-    kind = docs.schema[text].dataType
-    masked = f"aggregate(filter(__findings, f -> f.score >= 0.5D), CAST(`{text}` AS STRING), (t, f) -> replace(t, f.candidate, '{MASK}'))"
-    return with_findings(docs, forest, text).withColumn(text, F.expr(masked).cast(kind)).drop("__findings")
+    kind, into = docs.schema[text].dataType, free_name(docs, "__findings")
+    masked = f"aggregate(filter({into}, f -> f.score >= 0.5D), CAST(`{text}` AS STRING), (t, f) -> replace(t, f.candidate, '{MASK}'))"
+    return with_findings(docs, forest, text, into).withColumn(text, F.expr(masked).cast(kind)).drop(into)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
