@@ -11,9 +11,17 @@ don't part copies in a corpus with many of them.  df counts all documents; runs
 4. Within each band's buckets, members are compared with the smallest one, by exact weighted Jaccard similarity from
    the shingles.  Links become classes.  Buckets that hold several classes are looked at again: members are compared
    with up to PIVOTS members of other classes, and those that fail are dealt into finer buckets, by one more band at a
-   time, until no bucket holds two classes.  So a group of n copies costs a small multiple of n comparisons, no bucket
-   is gathered in one place, and none is capped; small buckets are compared nearly in full.
-5. Links become classes by alternating stars.
+   time.  So a group of n copies costs a small multiple of n comparisons, and no bucket is gathered in one place.
+5. That pass loses pairs.  So all members of the buckets of step 4 that still hold several classes, linked ones too,
+   meet again by a prefix filter, which loses none: with shingles in one order for all texts, rarest first, two similar
+   texts share a shingle before which neither has more than 1 - 0.8 of its weight.  Members of different classes with
+   such a shingle in common, whose weight from there on allows 0.8, are compared.  Shingles of many members are dealt
+   into cells of CELL by CELL members.
+6. Links become classes by alternating stars.
+
+What is lost: a pair of 0.8 or more that shares no band, with probability (1 - s**3)**14 for a similarity s (below
+0.0001 at 0.8), unless other links put it into one class.  Pairs inside one class are not all compared, so n_links
+counts the links found, not all there are.
 
 Null or wordless text, or null key: a class of its own (null for a null key), kept.  Rows with equal keys are one row.
 Very long texts are one vector in one row.  Other columns are ignored.
@@ -30,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, read, rows, with_key
+from tesserae.llm.common import batched, cut, read, rows, with_key
 from tesserae.llm.components import components
 from tesserae.llm.runs import SENT, SENT_DDL, batches_of, by_bucket, destinations, each_destination, each_run, make_runs, pack, unpack, with_runs
 from tesserae.llm.substring import RunWords
@@ -40,10 +48,13 @@ THRESHOLD = 0.8
 BANDS, ROWS = 14, 3
 IDF_SHARE = 0.5
 PIVOTS = 4
+CELL = 256
 BITS = 44
 
-VECTOR = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("vector", pa.binary())])
-VECTOR_DDL = "key long, digest binary, bands array<long>, vector binary"
+VECTOR = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("vector", pa.binary()), ("prefix", pa.binary())])
+VECTOR_DDL = "key long, digest binary, bands array<long>, vector binary, prefix binary"
+ENTRY = pa.schema([("key", pa.int64()), ("component", pa.int64()), ("shingle", pa.int64()), ("before", pa.float64()), ("total", pa.float64())])
+ENTRY_DDL = "key long, component long, shingle long, before double, total double"
 
 _RNG = np.random.default_rng(14)
 _R = _RNG.gamma(2.0, 1.0, 1 << 16).astype(np.float32)
@@ -145,7 +156,7 @@ def band_hashes(found: np.ndarray) -> np.ndarray:
 
 
 def _vectors(n_docs: int):
-    """A document that may have a partner: digest, band hashes, and the vector (its shared shingles, their weights, the whole weight)."""
+    """A document that may have a partner: digest, band hashes, the vector (its shared shingles, their weights, the whole weight), and its prefix."""
 
     def receive(run: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
         told: list[list[np.ndarray]] = []
@@ -178,11 +189,29 @@ def _vectors(n_docs: int):
                 digest = hashlib.blake2b(hashes[part].tobytes() + weight[part].tobytes(), digest_size=16).digest()
                 both = df[part] > 1
                 vector = struct.pack("<d", float(total[chosen][i])) + pack(hashes[part][both], weight[part][both].astype(np.float64).view(np.int64))
-                yield own.keys[doc], digest, found[i].tolist(), vector
+                yield own.keys[doc], digest, found[i].tolist(), vector, prefix(hashes[part], weight[part], df[part])
 
     return receive
 
 
+def prefix(hashes: np.ndarray, weight: np.ndarray, df: np.ndarray) -> bytes:
+    """The whole weight, then the shared shingles, rarest first, that less than 1 - THRESHOLD of it stands before, and that weight before each."""
+    order = np.lexsort((hashes, df))
+    before, total = np.cumsum(weight[order]) - weight[order], float(weight.sum())
+    chosen = (before <= (1 - THRESHOLD + 1e-9) * total) & (df[order] > 1)
+    return struct.pack("<d", total) + hashes[order][chosen].astype(np.int64).tobytes() + before[chosen].astype(np.float64).tobytes()
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found():
+        for key, component, data in rows(batches, "key", "component", "prefix"):
+            total, n = struct.unpack_from("<d", data)[0], (len(data) - 8) // 16
+            for shingle, before in zip(np.frombuffer(data, np.int64, n, 8).tolist(), np.frombuffer(data, np.float64, n, 8 + 8 * n).tolist(), strict=True):
+                yield key, component, shingle, before, total
+
+    return batched(found(), ENTRY, 20_000)
+
+
 def similarity(x: bytes, y: bytes) -> float:
     """Weighted Jaccard similarity of two packed vectors."""
     a, b = unpack(x[8:]), unpack(y[8:])
@@ -203,15 +232,37 @@ def _compared(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return cut(withy.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long, similarity double"))
 
 
+def _with_component(keyed: DataFrame, links: DataFrame) -> DataFrame:
+    return keyed.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+
+def _left_pairs(bucket: DataFrame, links: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(a, b), a above b: all pairs of different classes of members of buckets with several classes that may be similar; see step 5 above."""
+    member = cut(_with_component(bucket.select("key", "band", "hash"), links))
+    several = member.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "hash")
+    chosen = member.join(several, ["band", "hash"], "left_semi").select("key", "component").distinct()
+    entry = cut(chosen.join(vectors.select("key", "prefix"), "key").mapInArrow(_entries, ENTRY_DDL))
+    # members of a shingle's largest class need not meet one another: every other member meets all
+    size = entry.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    size = size.where("main.n < n").select("shingle", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / CELL).alias("na"), F.ceil(F.col("n") / CELL).alias("nb"))
+    met = cut(entry.join(size, "shingle"))
+    x = met.where("component <> main").select("shingle", "key", "component", "before", "total", F.pmod(F.xxhash64("key"), "na").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"))
+    y = met.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("i"), F.pmod(F.xxhash64("key"), "nb").alias("j"), *[F.col(c).alias(f"{c}_y") for c in ("key", "component", "before", "total", "main")])
+    inner = F.least(F.col("total") - F.col("before"), F.col("total_y") - F.col("before_y"))
+    once = (F.col("component_y") == F.col("main_y")) | (F.col("key") > F.col("key_y"))
+    may = inner >= (THRESHOLD - 1e-9) * (F.col("total") + F.col("total_y") - inner)
+    pairs = x.alias("x").join(y, ["shingle", "i", "j"]).where((F.col("component") != F.col("component_y")) & once & may)
+    return pairs.select(F.greatest("key", "key_y").alias("a"), F.least("key", "key_y").alias("b")).distinct()
+
+
 def _links(vectors: DataFrame) -> DataFrame:
-    """(a, b, similarity), a above b, of class representatives that are similar; see step 4 above."""
+    """(a, b, similarity), a above b, of class representatives that are similar; see steps 4 and 5 above."""
     every = vectors.select("key", F.posexplode("bands").alias("band", "hash"))
     size = every.groupBy("band", "hash").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
     bucket = cut(every.join(size.select("band", "hash", "b"), ["band", "hash"]))
     found = _compared(bucket.where("key <> b").select(F.col("key").alias("a"), "b").distinct(), vectors)
     similar, level = F.col("similarity") >= THRESHOLD, 0
-    group = components(found.where(similar)).withColumnRenamed("node", "key")
-    left = cut(bucket.select("key", "band", "hash").join(group, "key", "left").withColumn("component", F.coalesce("component", "key")))
+    left = cut(_with_component(bucket.select("key", "band", "hash"), found.where(similar)))
     while True:
         level += 1
         one = F.min(F.struct("key", "component")).alias("one")
@@ -221,7 +272,7 @@ def _links(vectors: DataFrame) -> DataFrame:
         met = met.withColumn("pivot", F.explode(F.transform(F.filter("pivots", lambda p: p["component"] != F.col("component")), lambda p: p["key"]))).drop("pivots")
         held = cut(met.withColumns({"a": F.greatest("key", "pivot"), "b": F.least("key", "pivot")}).drop("pivot"))
         if held.isEmpty():
-            return found.where(similar)
+            break
         found = found.unionByName(_compared(held.select("a", "b").distinct().join(found, ["a", "b"], "left_anti"), vectors))
         # who failed with all of the chosen ones goes on without them
         others, names = held.where("NOT chosen"), ["key", "band", "hash", "component"]
@@ -229,6 +280,8 @@ def _links(vectors: DataFrame) -> DataFrame:
         left = others.select(names).distinct().join(linked, names, "left_anti").withColumn("finer", F.pmod(F.col("band") + level, F.lit(BANDS)))
         finer = every.select("key", F.col("band").alias("finer"), F.col("hash").alias("next"))
         left = cut(left.join(finer, ["key", "finer"]).select("key", "band", F.xxhash64("hash", "next").alias("hash"), "component"))
+    pairs = _left_pairs(bucket, found.where(similar), vectors).join(found, ["a", "b"], "left_anti")
+    return found.unionByName(_compared(pairs, vectors)).where(similar)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
