@@ -1,7 +1,9 @@
 """Secret scans: candidate strings by pattern, false positives removed by a random forest compiled to SQL.
 
-A candidate is, between white space and after quotes and marks are stripped, a string of at least 16 key characters
-with a letter and a digit, or one of at least 8 that a secret's name and an assignment stand before.  Its features:
+A candidate is, between white space, any run of at least 16 key characters with a letter and a digit, or one of at
+least 8 that a secret's name and an assignment stand before; behind such a name in the same word, other signs may be
+part of it, up to a quote, bracket or separator.  A word may hold several; each is judged by the name before it, not
+by those of the rest of the word.  Longer ones are masked first.  Its features:
 length, changes between character classes, shares of digits and of hexadecimal digits, different characters,
 dictionary coverage, path marks, and the words around it.  The forest is trained by Spark ML on labelled findings
 (columns `candidate`, `prev2`, `prev`, `next`, `label`), of which at most TRAIN_ROWS are used; by default on a set made
@@ -50,7 +52,10 @@ FEATURES = {
 }
 
 _CLASSES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '[a-z]', 'a'), '[A-Z]', 'A'), '[0-9]', '0'), '[^aA0]', '-')"
-_CORE = "[A-Za-z0-9+/=_.-]"
+#: A name of a secret, an assignment, and a value that may hold any sign but those that end it.
+_NAMED = f"(?i)[\"\\']?(?:{_SECRET_NAMES})[A-Za-z0-9_-]*[\"\\']?[=:]+[\"\\']?([^\\\\s\"\\'&,;<>{{}}\\\\[\\\\]()]{{8,}})"
+#: A run of key characters with its padding; a name and its assignment are passed over.
+_RUN = "[\"\\']?(?:[A-Za-z0-9_.-]{1,40}[\"\\']?[=:]+(?=[^=:\\\\s])[\"\\']?)?([A-Za-z0-9+/_.-]+={0,2})"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -67,9 +72,14 @@ def _features(c: str, w: str, p2: str, p1: str, n1: str) -> str:
     return body
 
 
-def _candidate(w: str) -> str:
-    """The longest-standing part of a word that may be a key: what follows an assignment, without quotes and marks around it."""
-    return f"regexp_extract(regexp_replace({w}, '^[^=:]{{0,40}}[=:](?=.)', ''), '({_CORE}{{8,}})', 1)"
+def _candidates(w: str) -> str:
+    """All parts of a word that may be a key (c), each with the quote, name and assignment before it (w): what a named assignment gives, up to a quote or separator, and every other run of key characters.
+
+    A name before = or : is matched apart, so that it is no part of a run; = at the end of a run is base64 padding.
+    """
+    found = [f"transform(arrays_zip(regexp_extract_all({w}, '{p}', 1), regexp_extract_all({w}, '{p}', 0)), e -> named_struct('c', e['0'], 'w', e['1']))" for p in (_NAMED, _RUN)]
+    runs = f"filter({found[1]}, r -> length(r.c) >= 8 AND NOT exists(named, e -> contains(e.c, r.c)))"
+    return _let(found[0], "named", f"concat(named, {runs})")
 
 
 def _is_candidate(c: str, p2: str, p1: str, w: str) -> str:
@@ -146,8 +156,9 @@ def compile_forest(text: str) -> str:
 def _findings(text: str, forest: str) -> str:
     """An array of the findings of a text: place (of the word), candidate, score."""
     near = [f"coalesce(get(t, i - {k}), '')" for k in (2, 1)] + ["coalesce(get(t, i + 1), '')"]
-    found = f"named_struct('place', i, 'w', w, 'c', {_candidate('w')}, 'p2', {near[0]}, 'p1', {near[1]}, 'n1', {near[2]})"
-    long_words = f"filter(transform(t, (w, i) -> CASE WHEN length(w) >= 8 THEN {found} END), f -> f IS NOT NULL AND {_is_candidate('f.c', 'f.p2', 'f.p1', 'f.w')})"
+    found = f"named_struct('place', i, 'w', c.w, 'c', c.c, 'p2', {near[0]}, 'p1', {near[1]}, 'n1', {near[2]})"
+    every = f"flatten(filter(transform(t, (w, i) -> CASE WHEN length(w) >= 8 THEN transform({_candidates('w')}, c -> {found}) END), x -> x IS NOT NULL))"
+    long_words = f"filter({every}, f -> {_is_candidate('f.c', 'f.p2', 'f.p1', 'f.w')})"
     scored = f"transform({long_words}, f -> {_let(_features('f.c', 'f.w', 'f.p2', 'f.p1', 'f.n1'), 'x', f'named_struct({chr(39)}place{chr(39)}, CAST(f.place AS BIGINT), {chr(39)}candidate{chr(39)}, f.c, {chr(39)}score{chr(39)}, {forest})')})"
     return _let(f"split(coalesce({text}, ''), '[ \\\\t-\\\\r]+')", "t", scored)
 
@@ -168,7 +179,7 @@ def mask(docs: DataFrame, forest: str | None = None, text: str = "text") -> Data
     """All rows and columns; each secret in the text is replaced by MASK."""
     forest = forest or train(made_findings(docs.sparkSession))
     kind, into = docs.schema[text].dataType, free_name(docs, "__findings")
-    masked = f"aggregate(filter({into}, f -> f.score >= 0.5D), CAST(`{text}` AS STRING), (t, f) -> replace(t, f.candidate, '{MASK}'))"
+    masked = f"aggregate(array_sort(filter({into}, f -> f.score >= 0.5D), (a, b) -> length(b.candidate) - length(a.candidate)), CAST(`{text}` AS STRING), (t, f) -> replace(t, f.candidate, '{MASK}'))"
     return with_findings(docs, forest, text, into).withColumn(text, F.expr(masked).cast(kind)).drop(into)
 
 

@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 
-from tesserae.llm import minhash
+from tesserae.llm import minhash, secrets
 from tesserae.llm.runs import pack
 
 
@@ -19,3 +19,19 @@ def test_chain_in_one_bucket(spark):
         held.append((key, b"", list(range(14)), struct.pack("<d", 100.0) + pack(hashes, ones.view(np.int64)), prefix))
     vectors = spark.createDataFrame(held, "key long, digest binary, bands array<long>, vector binary, prefix binary")
     assert {(r["a"], r["b"]) for r in minhash._links(vectors).collect()} == {(k + 1, k) for k in range(13)}
+
+
+def test_all_secrets_of_a_word(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    padded, signs = "dGhpc2lzYXNlY3JldGtleQ==", "Xy9!kQz#w2Lm$4"
+    held = [
+        (f"https://api.host.com/v1/items?user=abc&token={key}", key), (f'{{"user":"alexander","token":"{key}"}}', key), (padded, padded),
+        (f"key = {padded}", padded), (f"password={signs}", signs), (f"session=none;lang=de;auth={key}", key),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(held)], "doc_id long, text string")
+    forest = secrets.train(secrets.made_findings(spark))
+    found = {(r["doc_id"], r["candidate"]) for r in secrets.scan(docs, forest).collect() if r["is_secret"]}
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask(docs, forest).collect()}
+    for i, (text, secret) in enumerate(held):
+        assert (i, secret) in found
+        assert masked[i] == text.replace(secret, secrets.MASK)
