@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import stats
+from tesserae.llm.common import cut, shuffle_parts
 from tesserae.plans.registry import query
 
 
@@ -76,7 +77,7 @@ def family_summary(x):
 def repeat_medians(x):
     """Upper median by counts of distinct values: no list of a group's values is gathered."""
     keys = ["kernel", "impl"]
-    counts = x.lineitem.where("l_partkey % 50 = 0").groupBy(F.col("l_returnflag").alias("kernel"), F.col("l_linestatus").alias("impl"), "l_quantity").agg(F.count("*").alias("c"))
+    counts = x.lineitem.groupBy(F.col("l_returnflag").alias("kernel"), F.col("l_linestatus").alias("impl"), "l_quantity").agg(F.count("*").alias("c"))
     w = Window.partitionBy(*keys).orderBy("l_quantity")
     run = counts.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy(*keys))})
     return run.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*keys).agg(F.min("l_quantity").alias("median"), F.max("n").alias("n_repeats"))
@@ -117,12 +118,12 @@ def document_frequency(x):
 n AS (SELECT g, count(*) AS n FROM v GROUP BY 1), p AS (SELECT g, b, (b * 7919 + k * k * 31 + 17 * k * b) % n AS i FROM n, range(200) AS r(b), range(n) AS s(k)),
 m AS (SELECT g, b, quantile_cont(q, 0.5) AS m FROM p JOIN v USING (g, i) GROUP BY ALL) SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY g""")
 def bootstrap(x):
-    """95 % interval of the median from 200 resamples; the draws are a fixed function of the resample and the place."""
-    w = Window.partitionBy("g").orderBy("l_orderkey", "l_linenumber")
-    v = x.lineitem.where("l_orderkey % 100 = 0").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("q"), "l_orderkey", "l_linenumber")
+    """95 % interval of the median from 2000 resamples; the draws are a fixed function of the resample and the place."""
+    w = Window.partitionBy("g").orderBy("l_orderkey", "l_linenumber", "q")
+    v = x.lineitem.select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("q"), "l_orderkey", "l_linenumber")
     v = v.select("g", "q", (F.row_number().over(w) - 1).cast("long").alias("i"))
     n = v.groupBy("g").agg(F.count("*").alias("n"))
-    draws = n.select("g", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))).alias("b")).select("g", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    draws = n.select("g", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1999).cast("long"))).alias("b")).select("g", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     picked = draws.select("g", "b", F.expr("(b * 7919 + k * k * 31 + 17 * k * b) % n").alias("i")).join(v, ["g", "i"])
     return picked.groupBy("g", "b").agg(F.percentile("q", F.lit(0.5)).alias("m")).groupBy("g").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
@@ -205,8 +206,13 @@ def set_operations(x):
 
 @query("u4_jaccard", "WITH u AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS a FROM events GROUP BY 1), v AS (SELECT user_id, a, lead(a) OVER (ORDER BY user_id) AS b FROM u WHERE user_id < 100) SELECT user_id, len(list_intersect(a, b)) / CAST(len(list_distinct(a || b)) AS DOUBLE) AS jaccard FROM v WHERE b IS NOT NULL")
 def jaccard(x):
-    u = x.events.where("user_id < 100").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("a"))
-    v = u.withColumn("b", F.lead("a").over(Window.orderBy("user_id"))).where("b IS NOT NULL")
+    """Each user and the next one: neighbours inside ranges of users, and the first of the next range for the last of one."""
+    u = x.events.groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("a"))
+    u = cut(u.repartitionByRange(shuffle_parts(x.spark), "user_id").withColumn("part", F.spark_partition_id()))
+    # one row a range
+    first = u.groupBy("part").agg(F.min_by("a", "user_id").alias("first")).select("part", F.lead("first").over(Window.orderBy("part")).alias("next"))
+    v = u.withColumn("b", F.lead("a").over(Window.partitionBy("part").orderBy("user_id"))).join(F.broadcast(first), "part")
+    v = v.select("user_id", "a", F.coalesce("b", "next").alias("b")).where("b IS NOT NULL")
     return v.select("user_id", F.coalesce(F.try_divide(F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))), F.lit(0.0)).alias("jaccard"))
 
 
