@@ -60,7 +60,7 @@ def hosts(x):
 
 @query("f9_chat_messages", """SELECT doc_id, 'system: be brief' || chr(10) || 'user: ' || lang || chr(10) || 'assistant: ' || left(text, 100) AS rendered, [0, 0, 1] AS loss_mask FROM documents""")
 def chat_messages(x):
-    messages = F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit("be brief")), ("user", F.col("lang")), ("assistant", F.substring("text", 1, 100)))])
+    messages = F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit("be brief")), ("user", F.col("lang")), ("assistant", F.col("text")))])
     m = x.documents.select("doc_id", messages.alias("m"))
     return m.select("doc_id", F.array_join(F.transform("m", lambda e: F.concat(e["role"], F.lit(": "), e["content"])), "\n").alias("rendered"), F.transform("m", lambda e: (e["role"] == "assistant").cast("int")).alias("loss_mask"))
 

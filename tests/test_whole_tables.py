@@ -10,6 +10,7 @@ from tests.comparing import assert_same
 CUTS = {
     "a13_repeat_medians": [(" WHERE l_partkey % 50 = 0", "")],
     "a21_bootstrap": [(" WHERE l_orderkey % 100 = 0", ""), ("range(200)", "range(2000)"), ("ORDER BY l_orderkey, l_linenumber)", "ORDER BY l_orderkey, l_linenumber, l_quantity)")],
+    "f9_chat_messages": [("left(text, 100)", "text")],
     "u4_jaccard": [(" WHERE user_id < 100", "")],
     "f33_reordered_pairs": [(" WHERE task_id < 5", "")],
 }
