@@ -289,7 +289,7 @@ def stride(x):
 @query("t1_sorted_kinds", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS kind FROM events ORDER BY kind, event_id LIMIT 200")
 def sorted_kinds(x):
     kind = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "view", 1).otherwise(2)
-    return x.events.select("event_id", kind.alias("kind")).orderBy("kind", "event_id").limit(200)
+    return x.events.select("event_id", kind.alias("kind")).orderBy("kind", "event_id")
 
 
 @query("flagship_star", """SELECT n_name, date_trunc('month', o_orderdate) AS month, sum(l_extendedprice * (1 - l_discount)) AS revenue, count(DISTINCT o_orderkey) AS n_orders

@@ -11,6 +11,7 @@ CUTS = {
     "a13_repeat_medians": [(" WHERE l_partkey % 50 = 0", "")],
     "a21_bootstrap": [(" WHERE l_orderkey % 100 = 0", ""), ("range(200)", "range(2000)"), ("ORDER BY l_orderkey, l_linenumber)", "ORDER BY l_orderkey, l_linenumber, l_quantity)")],
     "f9_chat_messages": [("left(text, 100)", "text")],
+    "t1_sorted_kinds": [(" LIMIT 200", "")],
     "u4_jaccard": [(" WHERE user_id < 100", "")],
     "f33_reordered_pairs": [(" WHERE task_id < 5", "")],
 }
@@ -22,3 +23,9 @@ def test_all_rows(spark, sf_dir, name):
     for cut, whole in CUTS[name]:
         sql = sql.replace(cut, whole)
     assert_same(catalog.QUERIES[name](spark, sf_dir), sf_dir, sql)
+
+
+def test_order_of_all_events(spark, sf_dir):
+    got = [(r["kind"], r["event_id"]) for r in catalog.QUERIES["t1_sorted_kinds"](spark, sf_dir).collect()]
+    assert len(got) == spark.read.parquet(f"{sf_dir}/events.parquet").count() > 200
+    assert got == sorted(got)
