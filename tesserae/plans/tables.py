@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import stats
-from tesserae.llm.common import cut, shuffle_parts
 from tesserae.plans.registry import query
+from tesserae.storage import cut, shuffle_parts
 
 
 @query("a1_histogram", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

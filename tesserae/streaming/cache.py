@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
+from tesserae.storage import shared_dir
 
 
 def distinct_keys(spark: SparkSession, path: str, lifetime: str = "400 days") -> DataFrame:
