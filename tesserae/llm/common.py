@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.shipping import ship
+from tesserae.storage import cut, shared_dir, shuffle_parts  # noqa: F401
 
 #: Words are maximal runs of anything but these ASCII white-space characters (as a Java class).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -27,27 +26,6 @@ def words_of(text: str | None) -> list[str]:
     return [] if not text else [w for w in text.translate(_TO_SPACE).split(" ") if w]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a result to the shared folder and read it again: later jobs restart from those files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The rows of Arrow batches, one at a time, so that only one batch is held."""
     for batch in batches:
