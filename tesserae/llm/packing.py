@@ -1,10 +1,9 @@
 """Packing of documents into training sequences, in order, by dynamic programming over window cuts.
 
 The documents of an input split form one stream of tokens, each document with an end token behind it, taken in
-segments of about half a million tokens.  A window may end where a document ends (free), where a sentence or, dearer,
-a clause ends or, only inside such parts longer than a window, anywhere else in steps (at a penalty in tokens each, for
-truncation).  A
-window of a power of two tokens needs no padding; others are padded to the full length.  The programme minimises
+segments of about half a million tokens.  A window may end where a document ends (free), where a sentence ends or, only
+inside sentences longer than a window, anywhere else in steps (at a penalty in tokens each, for truncation).  A window
+of a power of two tokens needs no padding; others are padded to the full length.  The programme minimises
 padding plus penalties:  best(j) = penalty(j) + min over i of best(i) + padding(j - i).  For padded windows that is
 the minimum of best(i) + i over a sliding range of places, which a monotone queue gives; the few windows of an exact
 power of two are looked up.  Nothing is shuffled; a split's state is a segment, or its longest document.
@@ -15,7 +14,6 @@ are ignored.  The order is that of the input; a split that runs again gives the
 
 from __future__ import annotations
 
-import os
 import re
 from array import array
 from collections import deque
@@ -34,11 +32,12 @@ from tesserae.llm.runs import batches_of
 WINDOW = 2048
 SEGMENT = 1 << 19
 SENTENCE_PENALTY = 2
-CLAUSE_PENALTY = 6
 HARD_PENALTY = 32
 HARD_STEP = 256
 END_ID = 1
 MAX_CACHED = 250_000
+#: Longer parts of a text are not remembered.
+LONGEST_CACHED = 48
 
 PIECE = pa.schema([("__key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_tokens", pa.int64()), ("sequence_length", pa.int64())])
 PIECE_DDL = "__key long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_length long"
@@ -47,45 +46,81 @@ PIECE_DDL = "__key long, start long, length long, ids binary, doc_tokens long, s
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: visible ones stand for themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class Tokens:
-    """Ids of texts by the tokenizers library; parts between spaces are remembered, the new ones of a batch encoded together."""
+    """Ids of texts as the tokenizers library gives them; parts between spaces are remembered.
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    The file's vocabulary is byte-level BPE whose ids are the ranks of its merges, so that the same merges can be made
+    by tiktoken's loop, which is several times faster; the tests hold both libraries against each other.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+        kind, letters, vocab = found["pre_tokenizer"], _byte_letters(), found["model"]["vocab"]
+        if kind["type"] != "ByteLevel" or kind["add_prefix_space"] or found["normalizer"]:
+            raise ValueError("not a plain byte-level vocabulary")
+        special = {x["content"]: x["id"] for x in found["added_tokens"]}
+        ranks = {bytes(map(letters.__getitem__, t)): i for t, i in vocab.items() if t not in special}
+        plain = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = list(special)
+        self.ordinary = plain.encode_ordinary
+        self.whole = lambda text: plain.encode(text, allowed_special="all")
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         #: By id: the penalty of a cut behind it, 0 where none is offered.
-        self.costs = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            if token.endswith((".", "!", "?", "Ċ")):  # the last is the vocabulary's letter for a line feed
+        self.costs = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+        self.spaced = np.zeros(len(self.costs), bool)
+        for token, i in ranks.items():
+            self.spaced[i] = token.startswith(b" ")
+            if token.endswith((b".", b"!", b"?", b"\n")):
                 self.costs[i] = SENTENCE_PENALTY
-            elif token.endswith((",", ";", ":", "|", ")")):
-                self.costs[i] = CLAUSE_PENALTY
+
+    def _ids(self, text: str) -> bytes:
+        marked = any(s in text for s in self.special)
+        return array("I", self.whole(text) if marked else self.ordinary(text)).tobytes()
 
     def _learn(self, parts: set[str]) -> None:
+        if len(self.known) > MAX_CACHED:
+            self.old, self.known = self.known, {}
         new = []
-        for p in parts:
-            found = self.old.get(p)
-            if found is None:
-                new.append(p)
+        for p in parts - self.known.keys():
+            ids = self.old.get(p)
+            if ids is not None:
+                self.known[p] = ids
+            elif any(s in p for s in self.special):
+                self.known[p] = self._ids(" " + p)
             else:
-                self.known[p] = found
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False), strict=True):
-            self.known[p] = array("I", e.ids).tobytes()
+                new.append(p)
+        # all new ones in one text: a token begins with a space exactly where a part begins
+        ids = np.array(self.ordinary("".join([" " + p for p in new])), np.uint32)
+        edges = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
+        data = ids.tobytes()
+        self.known.update(zip(new, [data[a:b] for a, b in zip(edges, edges[1:])], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Arrays of ids, the end token last."""
-        end = array("I", [END_ID]).tobytes()
+        end, out = array("I", [END_ID]).tobytes(), []
         split = [None if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        if len(self.known) > MAX_CACHED:
-            self.old, self.known = self.known, {}
-        self._learn({p for s in split if s for p in s[1:]} - self.known.keys())
-        heads = self.tokenizer.encode_batch_fast([t if s is None else s[0] for t, s in zip(texts, split, strict=True)], add_special_tokens=False)
-        get = self.known.__getitem__
-        return [np.frombuffer(array("I", h.ids).tobytes() + b"".join(map(get, s[1:] if s else ())) + end, np.uint32) for h, s in zip(heads, split, strict=True)]
+        self._learn({p for s in split if s for p in s[1:] if len(p) <= LONGEST_CACHED})
+        get, ids = self.known.get, self._ids
+        for t, s in zip(texts, split, strict=True):
+            if s is None:
+                found = ids(t)
+            else:
+                found = ids(s[0]) + b"".join([get(p) or ids(" " + p) for p in s[1:]])
+            out.append(np.frombuffer(found + end, np.uint32))
+        return out
 
 
 def cut_places(costs: list[np.ndarray]) -> tuple[list[int], list[int]]:
