@@ -35,16 +35,12 @@ SENTENCE_PENALTY = 2
 HARD_PENALTY = 32
 HARD_STEP = 256
 END_ID = 1
-MAX_CACHED = 250_000
-#: Longer parts of a text are not remembered.
-LONGEST_CACHED = 48
+LONG_SPACE = 20_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
 
 PIECE = pa.schema([("__key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_tokens", pa.int64()), ("sequence_length", pa.int64())])
 PIECE_DDL = "__key long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_length long"
 
-#: The byte-level pattern begins a pre-token at a single space before a visible character; texts with other spaces are encoded whole.
-_ODD_SPACE = re.compile(r" (?:\s|\Z)")
-
 
 def _byte_letters() -> dict[str, int]:
     """The letters by which byte-level vocabularies write bytes: visible ones stand for themselves, the others follow from 256 on."""
@@ -54,7 +50,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Tokens:
-    """Ids of texts as the tokenizers library gives them; parts between spaces are remembered.
+    """Ids of texts as the tokenizers library gives them.
 
     The file's vocabulary is byte-level BPE whose ids are the ranks of its merges, so that the same merges can be made
     by tiktoken's loop, which is several times faster; the tests hold both libraries against each other.
@@ -75,51 +71,29 @@ class Tokens:
         plain = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.special = list(special)
         self.ordinary = plain.encode_ordinary
-        self.whole = lambda text: plain.encode(text, allowed_special="all")
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.path, self.slow = path, None
         #: By id: the penalty of a cut behind it, 0 where none is offered.
         self.costs = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
-        self.spaced = np.zeros(len(self.costs), bool)
         for token, i in ranks.items():
-            self.spaced[i] = token.startswith(b" ")
             if token.endswith((b".", b"!", b"?", b"\n")):
                 self.costs[i] = SENTENCE_PENALTY
 
-    def _ids(self, text: str) -> bytes:
-        marked = any(s in text for s in self.special)
-        return array("I", self.whole(text) if marked else self.ordinary(text)).tobytes()
-
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.known) > MAX_CACHED:
-            self.old, self.known = self.known, {}
-        new = []
-        for p in parts - self.known.keys():
-            ids = self.old.get(p)
-            if ids is not None:
-                self.known[p] = ids
-            elif any(s in p for s in self.special):
-                self.known[p] = self._ids(" " + p)
-            else:
-                new.append(p)
-        # all new ones in one text: a token begins with a space exactly where a part begins
-        ids = np.array(self.ordinary("".join([" " + p for p in new])), np.uint32)
-        edges = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
-        data = ids.tobytes()
-        self.known.update(zip(new, [data[a:b] for a, b in zip(edges, edges[1:])], strict=True))
+    def plainly(self, text: str) -> list[int]:
+        """By the tokenizers library: texts with special tokens, or with stretches of white space too long for the other's regular expressions."""
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Arrays of ids, the end token last."""
-        end, out = array("I", [END_ID]).tobytes(), []
-        split = [None if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        self._learn({p for s in split if s for p in s[1:] if len(p) <= LONGEST_CACHED})
-        get, ids = self.known.get, self._ids
-        for t, s in zip(texts, split, strict=True):
-            if s is None:
-                found = ids(t)
-            else:
-                found = ids(s[0]) + b"".join([get(p) or ids(" " + p) for p in s[1:]])
-            out.append(np.frombuffer(found + end, np.uint32))
+        out = []
+        for t in texts:
+            odd = any(x in t for x in self.special) or len(t) >= LONG_SPACE and _LONG_SPACE.search(t)
+            ids = array("I", self.plainly(t) if odd else self.ordinary(t))
+            ids.append(END_ID)
+            out.append(np.frombuffer(ids, np.uint32))
         return out
 
 
