@@ -13,6 +13,7 @@ from __future__ import annotations
 import itertools
 import struct
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,13 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import cut, rows, shuffle_parts, with_key
 
 RUN_BYTES = 3 << 20
-#: Destinations for each shuffle partition.
+#: Destinations for each shuffle partition at least, and bytes of text for each destination at most.
 SPREAD = 6
+DESTINATION_BYTES = 12 << 20
+#: Bits of an exchanged hash beyond those that count the bytes of all texts.
+SPARE_BITS = 8
 
-RUN = pa.schema([("run", pa.int64()), ("data", pa.binary())])
+RUN = pa.schema([("run", pa.int64()), ("size", pa.int64()), ("known", pa.int64()), ("data", pa.binary())])
 SENT = pa.schema([("dest", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 SENT_DDL = "dest long, kind int, data binary"
 
@@ -39,7 +43,7 @@ def pack_texts(held: list[tuple[int | None, str | None]]) -> bytes:
     raw = [None if t is None else t.encode("utf-8", "surrogatepass") for _, t in held]
     keys = np.array([_NULL_KEY if k is None else k for k, _ in held], np.int64)
     sizes = np.array([-1 if r is None else len(r) for r in raw], np.int64)
-    return zstandard.compress(struct.pack("<q", len(held)) + keys.tobytes() + sizes.tobytes() + b"".join(r or b"" for r in raw), 3)
+    return zstandard.compress(struct.pack("<q", len(held)) + keys.tobytes() + sizes.tobytes() + b"".join(r or b"" for r in raw), 6)
 
 
 def unpack_texts(data: bytes) -> Iterator[tuple[int | None, bytes | None]]:
@@ -53,13 +57,13 @@ def unpack_texts(data: bytes) -> Iterator[tuple[int | None, bytes | None]]:
 
 
 def make_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
-    """(run, data), written to the shared folder."""
+    """(run, size, known, data), written to the shared folder: the size of the texts, how many have a key, and both packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held, size, n = (TaskContext.get().partitionId()) << 24, [], 0, 0
 
         def out():
-            return pa.RecordBatch.from_pydict({"run": [first + n], "data": [pack_texts(held)]}, RUN)
+            return pa.RecordBatch.from_pydict({"run": [first + n], "size": [size], "known": [sum(k is not None for k, _ in held)], "data": [pack_texts(held)]}, RUN)
 
         for k, t in rows(batches, "__key", "__text"):
             held.append((k, t))
@@ -70,7 +74,7 @@ def make_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run_byte
         if held:
             yield out()
 
-    return cut(with_key(docs, key, text).mapInArrow(run, "run long, data binary"))
+    return cut(with_key(docs, key, text).mapInArrow(run, "run long, size long, known long, data binary"))
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -93,8 +97,23 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def destinations(docs: DataFrame) -> int:
-    return SPREAD * shuffle_parts(docs.sparkSession)
+class Plan(NamedTuple):
+    """How positions are dealt: the number of destinations and of partitions, and the bits of a hash that are exchanged."""
+
+    buckets: int
+    parts: int
+    bits: int
+    #: Rows with a key.
+    known: int
+
+
+def plan(runs: DataFrame) -> Plan:
+    """By the size of all texts: no destination grows with them, and few different positions share a hash by chance."""
+    size, known = runs.agg(F.sum("size"), F.sum("known")).first()
+    size = size or 0
+    least = shuffle_parts(runs.sparkSession)
+    buckets = max(SPREAD * least, -(-size // DESTINATION_BYTES))
+    return Plan(buckets, max(least, -(-buckets // SPREAD)), min(62, max(24, size.bit_length()) + SPARE_BITS), known or 0)
 
 
 def by_bucket(keys: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int, slice]]:
@@ -127,9 +146,8 @@ def each_run(runs: DataFrame, send: Callable[[int, bytes], Iterator[tuple[int, i
     return runs.mapInArrow(run, SENT_DDL)
 
 
-def each_destination(sent: DataFrame, receive: Callable[[int, Iterator[tuple[int, bytes]]], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+def each_destination(sent: DataFrame, receive: Callable[[int, Iterator[tuple[int, bytes]]], Iterator[tuple]], schema: pa.Schema, ddl: str, parts: int) -> DataFrame:
     """Deal rows by destination; `receive(dest, ((kind, packed), ...))` gets them in the order of kind, the kinds one after another."""
-    parts = shuffle_parts(sent.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = rows(batches, "dest", "kind", "data")

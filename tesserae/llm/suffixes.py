@@ -32,13 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import read
-from tesserae.llm.runs import SENT, SENT_DDL, by_bucket, destinations, each_destination, each_run, make_runs, pack, ranges_to_mask, unpack, unpack_texts, with_runs
+from tesserae.llm.runs import SENT, SENT_DDL, by_bucket, each_destination, each_run, make_runs, pack, plan, ranges_to_mask, unpack, unpack_texts, with_runs
 
 LENGTH = 50
 GRAM = 24
 LEFT = LENGTH - GRAM  # bytes left of an anchor that a string may reach
 WIDTH = LEFT + LENGTH  # an anchor's surroundings: LEFT bytes before it, LENGTH from it on
-BITS = 44
 SLICE = 1 << 18
 
 KEPT = pa.schema([("__key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("kept", pa.binary())])
@@ -93,7 +92,7 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         padded = np.concatenate([np.zeros(LEFT, np.uint64), least, np.zeros(LEFT, np.uint64)])
         at = np.flatnonzero(_sliding(padded, LEFT + 1, np.maximum) == grams)
         places.append(at + first)
-        found.append(grams[at])
+        found.append(_mixed(grams[at]))  # the least of many crowd the low end; mixed, they are dealt evenly
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at, keys = np.concatenate(places), np.concatenate(found)
@@ -129,13 +128,13 @@ class _Bytes:
         return np.concatenate([none, *docs]), np.concatenate([none, *places]), np.concatenate([none.astype(np.uint64), *hashes])
 
 
-def _send_anchors(buckets: int):
+def _send_anchors(buckets: int, bits: int):
     def send(run: int, data: bytes) -> Iterator[tuple[int, int, bytes]]:
         texts = _Bytes(data)
         docs, _, hashes = texts.anchors()
         if not len(docs):
             return
-        hashes = hashes >> np.uint64(64 - BITS)
+        hashes = hashes >> np.uint64(64 - bits)
         order = np.argsort(hashes, kind="stable")
         hashes, docs = hashes[order], texts.key[docs[order]]
         new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
@@ -145,7 +144,7 @@ def _send_anchors(buckets: int):
         shared[(np.cumsum(new) - 1)[many]] = True
         hashes = hashes[new]
         for kind, keys in ((0, hashes[~shared]), (1, hashes[shared])):
-            for b, part in by_bucket(keys, BITS, buckets):
+            for b, part in by_bucket(keys, bits, buckets):
                 yield b, kind, struct.pack("<q", run) + pack(keys[part])
 
     return send
@@ -196,40 +195,40 @@ def front_decode(same: np.ndarray, rest: bytes, width: int) -> list[bytes]:
     return out
 
 
-def merge_runs(runs: list[list[bytes]], common: list[list[int]]) -> tuple[list[int], list[int]]:
-    """Merge sorted runs by a loser tree.  common[r][i]: prefix that item i of run r shares with the one before it.
+def merge_runs(runs: list[list[list[int]]], common: list[list[int]]) -> tuple[list[int], list[int]]:
+    """Merge sorted runs by a loser tree.  An item is a list of big-endian words of eight bytes, all equally long;
+    common[r][i]: how many bytes item i of run r shares with the one before it.
 
     Returns which run each item comes from, in order, and the prefix it shares with the item before.  Each node keeps a
     losing run and the prefix its head shares with the item that won there, the last one put out; heads with a longer
-    such prefix come first without a comparison, and equal ones are compared from there on only.
+    such prefix come first without a comparison, and equal ones are compared from that word on only.  Items equal to
+    the last one put out follow it at once, without a way through the tree.
     """
+    whole = 8 * next(len(r[0]) for r in runs if r)
     n = 1
     while n < len(runs):
         n *= 2
-    heads: list[bytes | None] = [r[0] if r else None for r in runs] + [None] * (n - len(runs))
+    heads: list[list[int] | None] = [r[0] if r else None for r in runs] + [None] * (n - len(runs))
     places = [0] * n
     loser, shared = [0] * n, [0] * n
 
-    def beats(a: int, b: int, known: int) -> tuple[bool, int]:
-        """Whether the head of a comes before that of b, both sharing `known` bytes with the last item; and what they share."""
+    def beats(a: int, b: int) -> tuple[bool, int]:
+        """Whether the head of a comes before that of b, and how many bytes they share."""
         x, y = heads[a], heads[b]
         if x is None or y is None:
             return y is None, -1
-        if x == y:
-            return a < b, len(x)
-        k = known
-        while x[k] == y[k]:
-            k += 1
-        return x[k] < y[k], k
-
-    winner = list(range(n)) if n > 1 else [0]
-    level, at = winner, n
+        for w, (p, q) in enumerate(zip(x, y, strict=True)):
+            if p != q:
+                return p < q, 8 * w + 8 - (((p ^ q).bit_length() + 7) >> 3)
+        return a < b, whole
+
+    level, at = list(range(n)), n
     while len(level) > 1:
         at //= 2
         up = []
         for i in range(0, len(level), 2):
             a, b = level[i], level[i + 1]
-            first, k = beats(a, b, 0)
+            first, k = beats(a, b)
             loser[at + i // 2], shared[at + i // 2] = (b, k) if first else (a, k)
             up.append(a if first else b)
         level = up
@@ -238,35 +237,52 @@ def merge_runs(runs: list[list[bytes]], common: list[list[int]]) -> tuple[list[i
     prefix: list[int] = []
     h = 0
     while heads[best] is not None:
+        run, own, i = runs[best], common[best], places[best]
         source.append(best)
         prefix.append(h)
-        places[best] += 1
-        i = places[best]
-        run = runs[best]
-        if i < len(run):
+        i += 1
+        last = len(run)
+        while i < last and own[i] >= whole:
+            source.append(best)
+            prefix.append(whole)
+            i += 1
+        places[best] = i
+        start = best
+        if i < last:
             heads[best] = run[i]
-            h = common[best][i]
+            h = own[i]
         else:
             heads[best] = None
             h = -1
-        node = (best + n) // 2
+        node = (start + n) >> 1
         while node:
             k = shared[node]
             if k > h:
                 best, loser[node] = loser[node], best
                 h, shared[node] = k, h
             elif k == h and k >= 0:
-                other = loser[node]
-                first, same = beats(best, other, h)
-                shared[node] = same
-                if not first:
-                    loser[node] = best
-                    best = other
-            node //= 2
+                if h < whole:
+                    other = loser[node]
+                    x, y = heads[best], heads[other]
+                    w = k >> 3
+                    p, q = x[w], y[w]
+                    while p == q:
+                        w += 1
+                        if w == len(x):
+                            break
+                        p, q = x[w], y[w]
+                    if p == q:
+                        shared[node] = whole
+                    else:
+                        shared[node] = 8 * w + 8 - (((p ^ q).bit_length() + 7) >> 3)
+                        if p > q:
+                            loser[node] = best
+                            best = other
+            node >>= 1
     return source, prefix
 
 
-def _send_suffixes(buckets: int):
+def _send_suffixes(buckets: int, bits: int):
     def receive(run: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
         found: list[np.ndarray] = []
         for kind, data in sent:
@@ -277,7 +293,7 @@ def _send_suffixes(buckets: int):
                 continue
             texts = _Bytes(data)
             docs, at, hashes = texts.anchors()
-            chosen = np.isin(hashes >> np.uint64(64 - BITS), np.concatenate(found))
+            chosen = np.isin(hashes >> np.uint64(64 - bits), np.concatenate(found))
             docs, at, hashes = docs[chosen], at[chosen], hashes[chosen]
             around, left, right = _surroundings(texts, docs, at)
             keys = texts.key[docs]
@@ -310,7 +326,7 @@ def _send_suffixes(buckets: int):
 
 
 def _merge_suffixes(dest: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-    runs, suffixes, common, columns, lefts = [], [], [], [], []
+    runs, suffixes, common, columns, lefts, bodies = [], [], [], [], [], []
     for kind, data in sent:
         run = struct.unpack_from("<q", data)[0]
         if kind == 1:
@@ -320,8 +336,10 @@ def _merge_suffixes(dest: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tu
         _, same, left, right, keys, at = unpack(data[24 : 24 + n_head])
         raw = zstandard.decompress(data[24 + n_head :])
         runs.append(run)
-        suffixes.append(front_decode(same, raw[:n_rest], LENGTH))
-        common.append(same.tolist())
+        own = np.frombuffer(b"".join(front_decode(same, raw[:n_rest], LENGTH)), np.uint8).reshape(len(same), LENGTH)
+        bodies.append(own)
+        suffixes.append(np.stack(_words(own), axis=1).tolist())
+        common.append(np.where(same >= LENGTH, 8 * len(suffixes[-1][0]), same).tolist())
         columns.append((left, right, keys, at))
         lefts.append(np.frombuffer(raw, np.uint8, len(same) * LEFT, n_rest).reshape(LEFT, len(same)).T)
     if not runs:
@@ -339,8 +357,8 @@ def _merge_suffixes(dest: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tu
     told: list[list[np.ndarray]] = [[] for _ in runs]
     order = kept[np.argsort(group[kept], kind="stable")]
     edges = np.flatnonzero(np.diff(group[order])) + 1
-    bodies = np.concatenate([np.frombuffer(b"".join(s), np.uint8).reshape(len(s), LENGTH) for s in suffixes]) if len(order) else None
-    before = np.concatenate(lefts) if len(order) else None
+    suffixes.clear()
+    bodies, before = np.concatenate(bodies), np.concatenate(lefts)
     for part in _blocks(order, edges, 20_000):
         around = np.concatenate([before[part], bodies[part]], axis=1)
         strings = _hashes(around, LENGTH)  # one for each number of bytes left of the anchor, LEFT first
@@ -394,12 +412,12 @@ def _remove(run: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_bytes, n_removed, the removed spans (`starts` and `lengths`, in bytes) and `kept`, the other bytes."""
-    buckets = destinations(docs)
     runs = make_runs(docs, key, text)
-    shared = each_destination(each_run(runs, _send_anchors(buckets)), _match_anchors, SENT, SENT_DDL)
-    suffixes = each_destination(with_runs(runs, shared), _send_suffixes(buckets), SENT, SENT_DDL)
-    told = each_destination(suffixes, _merge_suffixes, SENT, SENT_DDL)
-    return each_destination(with_runs(runs, told), _remove, KEPT, KEPT_DDL).withColumnRenamed("__key", key)
+    buckets, parts, bits, _ = plan(runs)
+    shared = each_destination(each_run(runs, _send_anchors(buckets, bits)), _match_anchors, SENT, SENT_DDL, parts)
+    suffixes = each_destination(with_runs(runs, shared), _send_suffixes(buckets, bits), SENT, SENT_DDL, parts)
+    told = each_destination(suffixes, _merge_suffixes, SENT, SENT_DDL, parts)
+    return each_destination(with_runs(runs, told), _remove, KEPT, KEPT_DDL, parts).withColumnRenamed("__key", key)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
