@@ -27,12 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import read
-from tesserae.llm.runs import SENT, SENT_DDL, by_bucket, destinations, each_destination, each_run, make_runs, pack, ranges_to_mask, unpack, unpack_texts, with_runs
+from tesserae.llm.runs import SENT, SENT_DDL, by_bucket, each_destination, each_run, make_runs, pack, plan, ranges_to_mask, unpack, unpack_texts, with_runs
 
 WINDOW = 13
 BLOCK = 7
-#: Bits of a block hash that are exchanged; a false match only makes a window a candidate.
-BITS = 44
+_SHARED, _INDEXED = 1, 2
 
 KEPT = pa.schema([("__key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("kept", pa.string())])
 KEPT_DDL = "__key long, n_words long, n_removed long, starts array<long>, lengths array<long>, kept string"
@@ -84,48 +83,43 @@ def _candidates(words: RunWords, keep: np.ndarray | None) -> tuple[np.ndarray, n
     return at, main, other
 
 
-def _send_blocks(buckets: int):
+def _send_blocks(buckets: int, bits: int):
+    """Every rolling window of BLOCK words probes; those at multiples of BLOCK are marked as index blocks.  A false match of the exchanged bits only makes a window a candidate."""
+
     def send(run: int, data: bytes) -> Iterator[tuple[int, int, bytes]]:
         words = RunWords(data)
         at, hashes = words.windows(BLOCK, 7)
         if not len(at):
             return
-        hashes = hashes >> np.uint64(64 - BITS)
-        own = np.unique(hashes[words.place[at] % BLOCK == 0])
+        hashes = hashes >> np.uint64(64 - bits)
         order = np.argsort(hashes, kind="stable")
-        hashes, docs = hashes[order], words.key[words.doc[at[order]]]
+        hashes, docs, indexed = hashes[order], words.key[words.doc[at[order]]], (words.place[at] % BLOCK == 0)[order]
         new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
         many = np.zeros(len(hashes), bool)
         many[1:] = ~new[1:] & (docs[1:] != docs[:-1])
-        group = np.cumsum(new) - 1
-        shared = np.zeros(int(group[-1]) + 1, bool)
-        shared[group[many]] = True
-        single = hashes[new]
-        for kind, keys in ((0, single[~shared]), (1, single[shared]), (2, own)):
-            for b, part in by_bucket(keys, BITS, buckets):
-                yield b, kind, struct.pack("<q", run) + pack(keys[part])
+        first = np.flatnonzero(new)
+        marks = _SHARED * np.logical_or.reduceat(many, first) + _INDEXED * np.logical_or.reduceat(indexed, first)
+        single = hashes[first]
+        for b, part in by_bucket(single, bits, buckets):
+            yield b, 0, struct.pack("<q", run) + pack(single[part], marks[part])
 
     return send
 
 
 def _match_blocks(dest: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-    single, shared, found = [], [], None
-    for kind, data in sent:
-        if kind < 2:
-            (single, shared)[kind].append(unpack(data[8:])[0])
-            continue
-        if found is None:
-            keys = np.sort(np.concatenate([*single, *shared, np.zeros(0, np.uint64)]))
-            found = np.unique(np.concatenate([keys[1:][keys[1:] == keys[:-1]], *shared, np.zeros(0, np.uint64)]))
-            single.clear()
-        own = unpack(data[8:])[0]
+    """Each run hears which of its index blocks are found in more than one document."""
+    got = [(struct.unpack_from("<q", data)[0], *unpack(data[8:])) for _, data in sent]
+    keys = np.sort(np.concatenate([x for _, x, _ in got]))
+    found = np.unique(np.concatenate([keys[1:][keys[1:] == keys[:-1]], *(x[m & _SHARED > 0] for _, x, m in got)]))
+    for run, own, marks in got:
+        own = own[marks & _INDEXED > 0]
         if len(found):
             own = own[found[np.minimum(np.searchsorted(found, own), len(found) - 1)] == own]
             if len(own):
-                yield struct.unpack_from("<q", data)[0], 0, pack(own)
+                yield run, 0, pack(own)
 
 
-def _send_windows(buckets: int):
+def _send_windows(buckets: int, bits: int):
     def receive(run: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
         found: list[np.ndarray] = []
         for kind, data in sent:
@@ -135,7 +129,7 @@ def _send_windows(buckets: int):
                 words = RunWords(data)
                 at, hashes = words.windows(BLOCK, 7)
                 own = words.place[at] % BLOCK == 0
-                at, hashes = at[own], hashes[own] >> np.uint64(64 - BITS)
+                at, hashes = at[own], hashes[own] >> np.uint64(64 - bits)
                 starts = at[np.isin(hashes, np.concatenate(found))]
                 first = np.maximum(starts - (WINDOW - BLOCK), 0)
                 n = len(words.ids)
@@ -208,12 +202,12 @@ def _remove(run: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_words, n_removed, the removed spans (`starts` and `lengths`, in words) and `kept`, the other words joined by a space."""
-    buckets = destinations(docs)
     runs = make_runs(docs, key, text)
-    blocks = each_destination(each_run(runs, _send_blocks(buckets)), _match_blocks, SENT, SENT_DDL)
-    windows = each_destination(with_runs(runs, blocks), _send_windows(buckets), SENT, SENT_DDL)
-    told = each_destination(windows, _match_windows, SENT, SENT_DDL)
-    return each_destination(with_runs(runs, told), _remove, KEPT, KEPT_DDL).withColumnRenamed("__key", key)
+    buckets, parts, bits, _ = plan(runs)
+    blocks = each_destination(each_run(runs, _send_blocks(buckets, bits)), _match_blocks, SENT, SENT_DDL, parts)
+    windows = each_destination(with_runs(runs, blocks), _send_windows(buckets, bits), SENT, SENT_DDL, parts)
+    told = each_destination(windows, _match_windows, SENT, SENT_DDL, parts)
+    return each_destination(with_runs(runs, told), _remove, KEPT, KEPT_DDL, parts).withColumnRenamed("__key", key)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
