@@ -9,19 +9,16 @@ don't part copies in a corpus with many of them.  df counts all documents; runs
 3. Improved consistent weighted sampling gives BANDS * ROWS samples; each weighted pair agrees in a sample with
    probability of its similarity, so a pair of 0.8 shares a band with probability 1 - (1 - 0.8**3)**14 > 0.9999.
 4. Within each band's buckets, members are compared with the smallest one, by exact weighted Jaccard similarity from
-   the shingles.  Links become classes.  Buckets that hold several classes are looked at again: members are compared
-   with up to PIVOTS members of other classes, and those that fail are dealt into finer buckets, by one more band at a
-   time.  So a group of n copies costs a small multiple of n comparisons, and no bucket is gathered in one place.
-5. That pass loses pairs.  So all members of the buckets of step 4 that still hold several classes, linked ones too,
-   meet again by a prefix filter, which loses none: with shingles in one order for all texts, rarest first, two similar
-   texts share a shingle before which neither has more than 1 - 0.8 of its weight.  Members of different classes with
-   such a shingle in common, whose weight from there on allows 0.8, are compared.  Shingles of many members are dealt
-   into cells of CELL by CELL members.
+   the shingles.  Links become classes, so that a group of n copies costs a small multiple of n comparisons.
+5. Members of buckets that still hold several classes meet again by a prefix filter, which loses none: with shingles in
+   one order for all texts, rarest first, two similar texts share a shingle before which neither has more than 1 - 0.8
+   of its weight.  Members of different classes with such a shingle in common, whose weight from there on allows 0.8,
+   are compared.  Shingles of many members are dealt into cells of CELL by CELL members.
 6. Links become classes by alternating stars.
 
-What is lost: a pair of 0.8 or more that shares no band, with probability (1 - s**3)**14 for a similarity s (below
-0.0001 at 0.8), unless other links put it into one class.  Pairs inside one class are not all compared, so n_links
-counts the links found, not all there are.
+The number of jobs is fixed but for the rounds of the stars.  What is lost: a pair of 0.8 or more that shares no band,
+with probability (1 - s**3)**14 for a similarity s (below 0.0001 at 0.8), unless other links put it into one class.
+Pairs inside one class are not all compared, so n_links counts the links found, not all there are.
 
 Null or wordless text, or null key: a class of its own (null for a null key), kept.  Rows with equal keys are one row.
 Very long texts are one vector in one row.  Other columns are ignored.
@@ -40,16 +37,16 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import batched, cut, read, rows, with_key
 from tesserae.llm.components import components
-from tesserae.llm.runs import SENT, SENT_DDL, batches_of, by_bucket, destinations, each_destination, each_run, make_runs, pack, unpack, with_runs
+from tesserae.llm.runs import SENT, SENT_DDL, batches_of, by_bucket, each_destination, each_run, make_runs, pack, plan, unpack, with_runs
 from tesserae.llm.substring import RunWords
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 3
 IDF_SHARE = 0.5
-PIVOTS = 4
 CELL = 256
-BITS = 44
+#: Bits of a shingle's hash beyond those that a mere filter would need.
+MORE_BITS = 12
 
 VECTOR = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("vector", pa.binary()), ("prefix", pa.binary())])
 VECTOR_DDL = "key long, digest binary, bands array<long>, vector binary, prefix binary"
@@ -76,7 +73,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """Of a run: for each document (by number) its different shingles, sorted, and their counts."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, bits: int):
         words = RunWords(data)
         self.keys = words.keys
         at, hashes = words.windows(SHINGLE, 5)
@@ -85,7 +82,7 @@ class Shingles:
         if short:
             whole = [struct.unpack("<Q", hashlib.blake2b(b" ".join(words.words[i]), digest_size=8).digest())[0] for i in short]
             docs, hashes = np.concatenate([docs, short]), np.concatenate([hashes, np.array(whole, np.uint64)])
-        hashes = hashes >> np.uint64(64 - BITS)
+        hashes = hashes >> np.uint64(64 - bits)
         order = np.lexsort((hashes, docs))
         docs, hashes = docs[order], hashes[order]
         new = np.ones(len(docs), bool)
@@ -95,10 +92,10 @@ class Shingles:
         self.counts = np.diff(np.append(first, len(docs)))
 
 
-def _send_counts(buckets: int):
+def _send_counts(buckets: int, bits: int):
     def send(run: int, data: bytes) -> Iterator[tuple[int, int, bytes]]:
-        found, n = np.unique(Shingles(data).hashes, return_counts=True)
-        for b, part in by_bucket(found, BITS, buckets):
+        found, n = np.unique(Shingles(data, bits).hashes, return_counts=True)
+        for b, part in by_bucket(found, bits, buckets):
             yield b, 0, struct.pack("<q", run) + pack(found[part], n[part])
 
     return send
@@ -155,7 +152,7 @@ def band_hashes(found: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _vectors(n_docs: int):
+def _vectors(n_docs: int, bits: int):
     """A document that may have a partner: digest, band hashes, the vector (its shared shingles, their weights, the whole weight), and its prefix."""
 
     def receive(run: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
@@ -166,7 +163,7 @@ def _vectors(n_docs: int):
                 continue
             if not told:
                 continue
-            own = Shingles(data)
+            own = Shingles(data, bits)
             keys, n = (np.concatenate(c) for c in zip(*told))
             order = np.argsort(keys)
             keys, n = keys[order], n[order]
@@ -232,20 +229,20 @@ def _compared(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return cut(withy.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long, similarity double"))
 
 
-def _with_component(keyed: DataFrame, links: DataFrame) -> DataFrame:
-    return keyed.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+def _with_component(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    return keyed.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
-def _left_pairs(bucket: DataFrame, links: DataFrame, vectors: DataFrame) -> DataFrame:
+def _left_pairs(bucket: DataFrame, classes: DataFrame, vectors: DataFrame) -> DataFrame:
     """(a, b), a above b: all pairs of different classes of members of buckets with several classes that may be similar; see step 5 above."""
-    member = cut(_with_component(bucket.select("key", "band", "hash"), links))
+    member = cut(_with_component(bucket.select("key", "band", "hash"), classes))
     several = member.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "hash")
-    chosen = member.join(several, ["band", "hash"], "left_semi").select("key", "component").distinct()
+    chosen = member.join(_bounded(several), ["band", "hash"], "left_semi").select("key", "component").distinct()
     entry = cut(chosen.join(vectors.select("key", "prefix"), "key").mapInArrow(_entries, ENTRY_DDL))
     # members of a shingle's largest class need not meet one another: every other member meets all
     size = entry.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
     size = size.where("main.n < n").select("shingle", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / CELL).alias("na"), F.ceil(F.col("n") / CELL).alias("nb"))
-    met = cut(entry.join(size, "shingle"))
+    met = cut(entry.join(_bounded(size), "shingle"))
     x = met.where("component <> main").select("shingle", "key", "component", "before", "total", F.pmod(F.xxhash64("key"), "na").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"))
     y = met.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("i"), F.pmod(F.xxhash64("key"), "nb").alias("j"), *[F.col(c).alias(f"{c}_y") for c in ("key", "component", "before", "total", "main")])
     inner = F.least(F.col("total") - F.col("before"), F.col("total_y") - F.col("before_y"))
@@ -255,45 +252,38 @@ def _left_pairs(bucket: DataFrame, links: DataFrame, vectors: DataFrame) -> Data
     return pairs.select(F.greatest("key", "key_y").alias("a"), F.least("key", "key_y").alias("b")).distinct()
 
 
+#: Rows that are broadcast at most; beyond, both sides of a join are shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def _bounded(small: DataFrame) -> DataFrame:
+    """Written, and broadcast where it has at most BROADCAST_KEYS rows; beyond, joins shuffle it."""
+    small = cut(small)
+    return F.broadcast(small) if small.count() <= BROADCAST_KEYS else small
+
+
 def _links(vectors: DataFrame) -> DataFrame:
     """(a, b, similarity), a above b, of class representatives that are similar; see steps 4 and 5 above."""
     every = vectors.select("key", F.posexplode("bands").alias("band", "hash"))
     size = every.groupBy("band", "hash").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
-    bucket = cut(every.join(size.select("band", "hash", "b"), ["band", "hash"]))
+    bucket = cut(every.join(_bounded(size.drop("n")), ["band", "hash"]))
+    similar = F.col("similarity") >= THRESHOLD
     found = _compared(bucket.where("key <> b").select(F.col("key").alias("a"), "b").distinct(), vectors)
-    similar, level = F.col("similarity") >= THRESHOLD, 0
-    left = cut(_with_component(bucket.select("key", "band", "hash"), found.where(similar)))
-    while True:
-        level += 1
-        one = F.min(F.struct("key", "component")).alias("one")
-        parts = left.groupBy("band", "hash", F.pmod(F.xxhash64("key", F.lit(level)), F.lit(PIVOTS)).alias("part")).agg(one, F.min("component").alias("low"), F.max("component").alias("high"))
-        chosen = parts.groupBy("band", "hash").agg(F.collect_list("one").alias("pivots"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").drop("low", "high")
-        met = left.join(chosen, ["band", "hash"]).withColumn("chosen", F.exists("pivots", lambda p: p["key"] == F.col("key")))
-        met = met.withColumn("pivot", F.explode(F.transform(F.filter("pivots", lambda p: p["component"] != F.col("component")), lambda p: p["key"]))).drop("pivots")
-        held = cut(met.withColumns({"a": F.greatest("key", "pivot"), "b": F.least("key", "pivot")}).drop("pivot"))
-        if held.isEmpty():
-            break
-        found = found.unionByName(_compared(held.select("a", "b").distinct().join(found, ["a", "b"], "left_anti"), vectors))
-        # who failed with all of the chosen ones goes on without them
-        others, names = held.where("NOT chosen"), ["key", "band", "hash", "component"]
-        linked = others.join(found.where(similar), ["a", "b"], "left_semi").select(names)
-        left = others.select(names).distinct().join(linked, names, "left_anti").withColumn("finer", F.pmod(F.col("band") + level, F.lit(BANDS)))
-        finer = every.select("key", F.col("band").alias("finer"), F.col("hash").alias("next"))
-        left = cut(left.join(finer, ["key", "finer"]).select("key", "band", F.xxhash64("hash", "next").alias("hash"), "component"))
-    pairs = _left_pairs(bucket, found.where(similar), vectors).join(found, ["a", "b"], "left_anti")
+    pairs = _left_pairs(bucket, components(found.where(similar)), vectors).join(found, ["a", "b"], "left_anti")
     return found.unionByName(_compared(pairs, vectors)).where(similar)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, class_id (the smallest key of its class), n_links (links found to or from its text's representative), kept."""
-    buckets = destinations(docs)
     keyed = with_key(docs, key, text)
     runs = make_runs(docs, key, text)
-    n_docs = keyed.where("__key IS NOT NULL").count()
-    counts = each_destination(each_run(runs, _send_counts(buckets)), _add_counts, SENT, SENT_DDL)
-    vectors = cut(each_destination(with_runs(runs, counts), _vectors(n_docs), VECTOR, VECTOR_DDL))
-    equal = vectors.groupBy("digest").agg(F.min("key").alias("least"))
-    member = cut(vectors.select("key", "digest").join(equal, "digest").select("key", "least").distinct())
+    buckets, parts, bits, n_docs = plan(runs)
+    bits = min(62, bits + MORE_BITS)
+    counts = each_destination(each_run(runs, _send_counts(buckets, bits)), _add_counts, SENT, SENT_DDL, parts)
+    vectors = cut(each_destination(with_runs(runs, counts), _vectors(n_docs, bits), VECTOR, VECTOR_DDL, parts))
+    equal = vectors.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    member = vectors.select("key", "digest").join(_bounded(equal), "digest", "left")
+    member = cut(member.select("key", F.coalesce("least", "key").alias("least")).distinct())
     alone = vectors.join(member.where("key = least").select("key"), "key", "left_semi").dropDuplicates(["key"])
     links = cut(_links(cut(alone)))
     group = components(links)
@@ -304,10 +294,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select(F.col("__key").alias(key), F.coalesce("class_id", "__key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("class_id") == F.col("__key"), F.lit(True)).alias("kept"))
 
 
-#: Keys of dropped rows are broadcast up to so many; beyond, both sides are shuffled.
-BROADCAST_KEYS = 1_000_000
-
-
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that are the first of their class, with all their columns."""
     dropped = cut(near_duplicates(docs, key, text).where("NOT kept").select(key).distinct())
