@@ -354,7 +354,8 @@ def _merge_suffixes(dest: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tu
     left, right, keys, at = (np.concatenate([c[i] for c in columns]) for i in range(4))
     origin = np.repeat(np.arange(len(runs)), [len(c[0]) for c in columns])
     kept = np.flatnonzero(~alone)
-    told: list[list[np.ndarray]] = [[] for _ in runs]
+    entries: list[np.ndarray] = []
+    starts: list[np.ndarray] = []
     order = kept[np.argsort(group[kept], kind="stable")]
     edges = np.flatnonzero(np.diff(group[order])) + 1
     suffixes.clear()
@@ -370,16 +371,24 @@ def _merge_suffixes(dest: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tu
         new = np.concatenate([[True], key[1:] != key[:-1]])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = np.flatnonzero(doc > doc[head])
+        strings = np.lib.stride_tricks.sliding_window_view(around, LENGTH, axis=1)
         for some in np.array_split(later, max(1, len(later) >> 16)):
-            spans = np.arange(LENGTH)
-            equal = (around[row[some][:, None], column[some][:, None] + spans] == around[row[head[some]][:, None], column[head[some]][:, None] + spans]).all(axis=1)
+            equal = (strings[row[some], column[some]] == strings[row[head[some]], column[head[some]]]).all(axis=1)
             entry = part[row[some[equal]]]
-            starts = at[entry] - LEFT + column[some[equal]]
-            for r in np.unique(origin[entry]):
-                told[r].append(starts[origin[entry] == r])
-    for run, starts in zip(runs, told, strict=True):
-        if starts:
-            yield run, 0, pack(np.unique(np.concatenate(starts)))
+            entries.append(origin[entry])
+            starts.append(at[entry] - LEFT + column[some[equal]])
+    if not entries:
+        return
+    whose, starts = np.concatenate(entries), np.concatenate(starts)
+    order = np.lexsort((starts, whose))
+    whose, starts = whose[order], starts[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (whose[1:] != whose[:-1]) | (starts[1:] != starts[:-1])
+    whose, starts = whose[new], starts[new]
+    edges = np.searchsorted(whose, np.arange(len(runs) + 1)).tolist()
+    for i, run in enumerate(runs):
+        if edges[i] < edges[i + 1]:
+            yield run, 0, pack(starts[edges[i] : edges[i + 1]])
 
 
 def _blocks(order: np.ndarray, edges: np.ndarray, size: int) -> Iterator[np.ndarray]:
