@@ -26,7 +26,7 @@ from tesserae.llm.common import cut, rows, shuffle_parts, with_key
 
 RUN_BYTES = 3 << 20
 #: Destinations for each shuffle partition at least, and bytes of text for each destination at most.
-SPREAD = 6
+SPREAD = 2
 DESTINATION_BYTES = 12 << 20
 #: Bits of an exchanged hash beyond those that count the bytes of all texts.
 SPARE_BITS = 8

@@ -346,20 +346,29 @@ def _merge_suffixes(dest: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tu
         return
     source, prefix = (np.array(x, np.int64) for x in merge_runs(suffixes, common))
     # neighbours that agree on the anchor are a group; groups of a single entry have no partner
-    group = np.cumsum(prefix < GRAM)
-    size = np.bincount(group)
     ranks = np.argsort(source, kind="stable")  # entry i of all runs' entries, one run after another, is item ranks[i] of the merge
-    group = group[ranks]
-    alone = size[group] < 2
+    group, suffix = np.cumsum(prefix < GRAM)[ranks], np.cumsum(prefix < LENGTH)[ranks]
+    kept = np.flatnonzero(np.bincount(group)[group] > 1)
+    if not len(kept):
+        return
     left, right, keys, at = (np.concatenate([c[i] for c in columns]) for i in range(4))
     origin = np.repeat(np.arange(len(runs)), [len(c[0]) for c in columns])
-    kept = np.flatnonzero(~alone)
-    entries: list[np.ndarray] = []
-    starts: list[np.ndarray] = []
-    order = kept[np.argsort(group[kept], kind="stable")]
-    edges = np.flatnonzero(np.diff(group[order])) + 1
     suffixes.clear()
     bodies, before = np.concatenate(bodies), np.concatenate(lefts)
+    # of entries with equal surroundings only the earliest document's are compared; all strings of the later ones are in it
+    sorts = [keys[kept], right[kept], left[kept], *_words(before[kept])[::-1], suffix[kept]]
+    by = np.lexsort(sorts)
+    kept, new = kept[by], np.ones(len(kept), bool)
+    new[1:] = np.logical_or.reduce([x[by][1:] != x[by][:-1] for x in sorts[1:]])
+    earliest = keys[kept] == keys[kept][new][np.cumsum(new) - 1]
+    late, order = kept[~earliest], kept[earliest]
+    entries, starts = [], []
+    for j in range(LEFT + 1):
+        whole = late[(left[late] >= j) & (right[late] >= LENGTH - j)]
+        entries.append(origin[whole])
+        starts.append(at[whole] - j)
+    order = order[np.bincount(group[order])[group[order]] > 1]
+    edges = np.flatnonzero(np.diff(group[order])) + 1
     for part in _blocks(order, edges, 20_000):
         around = np.concatenate([before[part], bodies[part]], axis=1)
         strings = _hashes(around, LENGTH)  # one for each number of bytes left of the anchor, LEFT first
@@ -377,8 +386,6 @@ def _merge_suffixes(dest: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tu
             entry = part[row[some[equal]]]
             entries.append(origin[entry])
             starts.append(at[entry] - LEFT + column[some[equal]])
-    if not entries:
-        return
     whose, starts = np.concatenate(entries), np.concatenate(starts)
     order = np.lexsort((starts, whose))
     whose, starts = whose[order], starts[order]
