@@ -17,7 +17,6 @@ Repeated rows give repeated results; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import codecs
 import hashlib
 import re
 from array import array
@@ -32,6 +31,8 @@ from tesserae.llm.common import batched, read, rows, with_key
 
 MAX_STATES = 120_000
 MAX_CACHED = 200_000
+#: Longer parts of a text are not remembered.
+LONGEST_CACHED = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -225,6 +226,8 @@ class _Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if isinstance(key, str) and len(key) > LONGEST_CACHED:
+            return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -269,6 +272,19 @@ class Encoder:
         return out
 
 
+def _lead(byte: int) -> tuple[int, int, int]:
+    """Of a first byte: how many bytes follow (-1: none can begin with it), and the least and greatest second one."""
+    if byte < 0x80:
+        return 0, 0, 0
+    if not 0xC2 <= byte <= 0xF4:
+        return -1, 0, 0
+    low, high = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(byte, (0x80, 0xBF))
+    return (1 if byte < 0xE0 else 2 if byte < 0xF0 else 3), low, high
+
+
+_LEADS = [_lead(b) for b in range(256)]
+
+
 class Decoder:
     """Ids to text as they come: whole characters only, the rest is held until its bytes are there."""
 
@@ -279,9 +295,21 @@ class Decoder:
         self.held = b""
 
     def _move(self, held: bytes, token: int) -> tuple[str, bytes]:
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        text = machine.decode(held + self.pieces[token])
-        return text, machine.getstate()[0]
+        """A lead byte says how many more bytes its character has, and in which range the first of them lies; what can't go on is one replacement character."""
+        data, out, i = held + self.pieces[token], [], 0
+        while i < len(data):
+            need, low, high = _LEADS[data[i]]
+            j = i + 1
+            while j - i <= need and j < len(data) and low <= data[j] <= high:
+                j, low, high = j + 1, 0x80, 0xBF
+            if j - i == need + 1 and need >= 0:
+                out.append(data[i:j].decode("utf-8"))
+            elif need > 0 and j == len(data):
+                return "".join(out), data[i:]
+            else:
+                out.append("\ufffd")
+            i = j
+        return "".join(out), b""
 
     def feed(self, ids: Iterable[int]) -> str:
         out, held, moves = [], self.held, self.moves
@@ -299,7 +327,7 @@ class Decoder:
 
     def finish(self) -> str:
         held, self.held = self.held, b""
-        return held.decode("utf-8", "replace")
+        return "\ufffd" if held else ""
 
 
 _LOADED: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
