@@ -1,8 +1,9 @@
 """Multi-party chat: each participant's view of a dialogue, with that speaker as assistant and the others as named users.
 
-A dialogue is rendered in segments of SEGMENT turn numbers, so that no group grows with the longest dialogue; segments
-of a view follow each other by number.  Every speaker but `system` is a participant.  System turns stay system turns
-in every view.  The mask of a view is 1 for its speaker's messages, which are trained on, and 0 for all others.
+A view is one row for all but dialogues of more than SEGMENT turn numbers; those are rendered in segments of so many,
+so that no row grows without bound; segments of a view follow each other by number, and each later one begins with the
+dialogue's first system turn again.  Every speaker but `system` is a participant.  System turns stay system turns in
+every view.  The mask of a view is 1 for its speaker's messages, which are trained on, and 0 for all others.
 
 Null conversation: the row is in no dialogue and is dropped.  Null turn: the segment -1, rendered by itself.  Null
 speaker: the name `unknown`.  Null text: empty.  Rows of one turn follow each other by speaker, then text; exact
@@ -16,19 +17,24 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import read
 
-SEGMENT = 64
+#: Turn numbers in a row at most.
+SEGMENT = 4096
 SYSTEM = "system"
 
 
-def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
+def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", segment: int = SEGMENT) -> DataFrame:
     """Per conversation, participant and segment: `messages` (turn, role, name, content, train), `rendered`, `mask`, `train_chars`."""
     clean = turns.where(F.col(conv).isNotNull()).select(
         F.col(conv).alias("conv_id"),
-        F.coalesce(F.floor(F.col(turn) / SEGMENT), F.lit(-1)).cast("long").alias("segment"),
+        F.coalesce(F.floor(F.col(turn) / segment), F.lit(-1)).cast("long").alias("segment"),
         F.struct(F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("said"),
     )
     segments = clean.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_set("said")).alias("said"))
     participants = clean.select("conv_id", F.col("said.speaker").alias("perspective")).where(F.col("perspective") != SYSTEM).distinct()
+    first = clean.where((F.col("said.speaker") == SYSTEM) & (F.col("segment") >= 0)).groupBy("conv_id").agg(F.min(F.struct("segment", "said")).alias("system"))
+    segments = segments.join(first, "conv_id", "left")
+    again = (F.col("segment") > 0) & (F.col("system.segment") < F.col("segment"))
+    segments = segments.withColumn("said", F.when(again, F.concat(F.array("system.said"), "said")).otherwise(F.col("said"))).drop("system")
     views = segments.join(participants, "conv_id")
 
     def message(m):
@@ -58,8 +64,11 @@ def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH t AS (SELECT DISTINCT conv_id, CAST(coalesce(floor(turn / {SEGMENT}), -1) AS BIGINT) AS segment, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text
+WITH u AS (SELECT DISTINCT conv_id, CAST(coalesce(floor(turn / {SEGMENT}), -1) AS BIGINT) AS segment, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
+y AS (SELECT * FROM u WHERE speaker = '{SYSTEM}' AND segment >= 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) = 1),
+t AS (SELECT * FROM u UNION ALL SELECT y.conv_id, g.segment, y.turn, y.speaker, y.text FROM y JOIN (SELECT DISTINCT conv_id, segment FROM u WHERE segment > 0) g
+  ON g.conv_id = y.conv_id AND g.segment > y.segment),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> '{SYSTEM}'),
 m AS (SELECT t.*, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = '{SYSTEM}' THEN '{SYSTEM}' ELSE 'user' END AS role FROM t JOIN p USING (conv_id))
 SELECT conv_id, perspective, segment, count(*) AS n_messages,
