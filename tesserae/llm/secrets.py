@@ -28,6 +28,7 @@ TRAIN_ROWS = 6000
 TREES = 15
 DEPTH = 5
 MASK = "[SECRET]"
+_SPACES = "[ \\t-\\r]+"
 
 _SECRET_NAMES = "token|secret|password|passwd|pwd|api_?key|apikey|access_?key|auth|bearer|credential|private_?key"
 _BENIGN_NAMES = "commit|sha1?|sha256|hash|md5|checksum|digest|uuid|guid|version|build|etag|revision|id|file|path|url|example|integrity"
@@ -55,7 +56,7 @@ _CLASSES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '[a-z
 #: A name of a secret, an assignment, and a value that may hold any sign but those that end it.
 _NAMED = f"(?i)[\"\\']?(?:{_SECRET_NAMES})[A-Za-z0-9_-]*[\"\\']?[=:]+[\"\\']?([^\\\\s\"\\'&,;<>{{}}\\\\[\\\\]()]{{8,}})"
 #: A run of key characters with its padding; a name and its assignment are passed over.
-_RUN = "[\"\\']?(?:[A-Za-z0-9_.-]{1,40}[\"\\']?[=:]+(?=[^=:\\\\s])[\"\\']?)?([A-Za-z0-9+/_.-]+={0,2})"
+_RUN = "[\"\\']?(?:[A-Za-z0-9_.-]+[\"\\']?[=:]+(?=[^=:\\\\s])[\"\\']?)?([A-Za-z0-9+/_.-]+={0,2})"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -176,10 +177,16 @@ def scan(docs: DataFrame, forest: str | None = None, key: str = "doc_id", text:
 
 
 def mask(docs: DataFrame, forest: str | None = None, text: str = "text") -> DataFrame:
-    """All rows and columns; each secret in the text is replaced by MASK."""
+    """All rows and columns; each secret is replaced by MASK in the words in which it was found."""
     forest = forest or train(made_findings(docs.sparkSession))
     kind, into = docs.schema[text].dataType, free_name(docs, "__findings")
-    masked = f"aggregate(array_sort(filter({into}, f -> f.score >= 0.5D), (a, b) -> length(b.candidate) - length(a.candidate)), CAST(`{text}` AS STRING), (t, f) -> replace(t, f.candidate, '{MASK}'))"
+    whole = f"CAST(`{text}` AS STRING)"
+    own = "array_sort(filter(s, f -> f.place = i), (a, b) -> length(b.candidate) - length(a.candidate))"
+    word = f"aggregate({own}, w, (t, f) -> replace(t, f.candidate, '{MASK}'))"
+    # words and what stands between them take turns; only words that hold a secret change
+    words = f"transform(split({whole}, '{_SPACES}'), (w, i) -> CASE WHEN array_contains(p, CAST(i AS BIGINT)) THEN {word} ELSE w END)"
+    text_again = f"array_join(zip_with({words}, regexp_extract_all({whole}, '{_SPACES}', 0), (w, x) -> concat(w, coalesce(x, ''))), '')"
+    masked = _let(f"filter({into}, f -> f.score >= 0.5D)", "s", f"CASE WHEN size(s) = 0 THEN {whole} ELSE {_let('array_distinct(transform(s, f -> f.place))', 'p', text_again)} END")
     return with_findings(docs, forest, text, into).withColumn(text, F.expr(masked).cast(kind)).drop(into)
 
 
