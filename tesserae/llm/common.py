@@ -58,6 +58,16 @@ def with_key(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("__key"), F.col(text).cast("string").alias("__text"))
 
 
+#: Rows that are broadcast at most; beyond, both sides of a join are shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """Written, and broadcast where it has at most BROADCAST_KEYS rows of a few numbers; beyond, joins shuffle it."""
+    small = cut(small)
+    return F.broadcast(small) if small.count() <= BROADCAST_KEYS else small
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that `df` doesn't have yet."""
     taken = {c.lower() for c in df.columns}

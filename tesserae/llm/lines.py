@@ -2,11 +2,11 @@
 
 A text's lines (cut at \\n) are grouped into chunks whose borders depend on the lines around them only: a chunk ends
 behind a line where a rolling hash over that line's and the line before's hashes falls to a residue, at the earliest
-after two lines.  Inserted or deleted lines shift no border further on.  Only chunks of several lines, of at least
-LEAST_CHARS characters without white space, count.
+after two lines; where none does in MOST_LINES lines, behind that of the least hash.  Inserted or deleted lines shift
+no border further on.  Only chunks of two or more lines that aren't blank count.
 
-Chunks meet by hash first, without their bytes; hot chunks are combined before they are sent.  The bytes of chunks
-whose hash occurs twice then meet again and are compared whole.  Of equal chunks the first stays, by key and place.
+Chunks are counted by hash first, without their bytes; counts are combined before they are sent.  The bytes of chunks
+whose hash occurs twice are then grouped whole.  Of equal chunks the first stays, by key and place.
 
 Null text: no lines; the text stays null.  Null key: the row is returned as it is, and its lines count nowhere.  Rows
 that share a key are told apart by their text; equal rows with equal keys have equal fates.  Other columns are kept.
@@ -21,36 +21,43 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import batched, cut, free_name, read, rows, with_key
+from tesserae.llm.common import batched, bounded, cut, free_name, read, rows, with_key
 
 LEAST_LINES = 2
 MOST_LINES = 64
 DIVISOR = 4
-LEAST_CHARS = 40
 
 _MASK = (1 << 64) - 1
 CHUNK = pa.schema([("__key", pa.int64()), ("__row", pa.int64()), ("place", pa.int64()), ("hash", pa.int64())])
 CHUNK_DDL = "__key long, __row long, place long, hash long"
 
 
-def chunks(text: str) -> list[tuple[int, int]]:
+def chunks(lines: list[str]) -> list[tuple[int, int]]:
     """(first line, behind the last line) of each chunk."""
-    hashes = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in text.split("\n")]
-    out, first, before = [], 0, 0
-    for i, h in enumerate(hashes):
-        rolling = ((before * 0x9E3779B97F4A7C15) & _MASK) ^ h
-        rolling = (rolling * 0xD6E8FEB86659FD93) & _MASK
+    hashes = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines]
+    rolling, before = [], 0
+    for h in hashes:
+        rolling.append((((((before * 0x9E3779B97F4A7C15) & _MASK) ^ h) * 0xD6E8FEB86659FD93) & _MASK) >> 32)
         before = h
-        if i + 1 - first >= LEAST_LINES and ((rolling >> 32) % DIVISOR == 0 or i + 1 - first >= MOST_LINES):
-            out.append((first, i + 1))
-            first = i + 1
-    if first < len(hashes):
-        out.append((first, len(hashes)))
+    out, first, n = [], 0, len(lines)
+    while first < n:
+        end = first + LEAST_LINES
+        last = min(n, first + MOST_LINES)
+        while end < last and rolling[end - 1] % DIVISOR:
+            end += 1
+        if end >= first + MOST_LINES and rolling[end - 1] % DIVISOR:
+            # no border in so many lines: behind the one of least hash, which doesn't depend on where the chunk began
+            places = range(first + LEAST_LINES, first + MOST_LINES + 1)
+            end = min(places, key=lambda i: rolling[i - 1])
+        end = min(end, n)
+        out.append((first, end))
+        first = end
     return out
 
 
 def _counts(lines: list[str]) -> bool:
-    return len(lines) >= LEAST_LINES and sum(len("".join(x.split())) for x in lines) >= LEAST_CHARS
+    """A chunk of several lines, at least LEAST_LINES of them not blank."""
+    return sum(not x.isspace() and x != "" for x in lines) >= LEAST_LINES
 
 
 def _signed(x: int) -> int:
@@ -68,7 +75,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text is None or key is None or "\n" not in text:
                 continue
             lines, own = text.split("\n"), row_id(text)
-            for a, b in chunks(text):
+            for a, b in chunks(lines):
                 if _counts(lines[a:b]):
                     yield key, own, a, _signed(xxhash.xxh3_64_intdigest("\n".join(lines[a:b]).encode("utf-8", "surrogatepass"), seed=4))
 
@@ -77,8 +84,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(__key, __row, gone): the first lines of the chunks to remove.  `docs` has __key and __text."""
-    hashed = docs.mapInArrow(_hashed, CHUNK_DDL)
-    twice = hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    hashed = cut(docs.mapInArrow(_hashed, CHUNK_DDL))
+    twice = bounded(hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     # occurrences that may repeat, by row; the bytes join them by row, not by hash
     places = cut(hashed.join(twice, "hash").groupBy("__key", "__row").agg(F.collect_set("place").alias("places")))
 
@@ -88,7 +95,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         def found():
             for key, text, chosen in rows(batches, "__key", "__text", "places"):
                 lines, own = text.split("\n"), row_id(text)
-                for a, b in chunks(text):
+                for a, b in chunks(lines):
                     if a in chosen:
                         yield key, own, a, "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")
 
@@ -97,15 +104,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     with_row = docs.where("__key IS NOT NULL AND contains(__text, '\n')")
     bodies = with_row.join(places.groupBy("__key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "__key")
     bodies = cut(bodies.select("__key", "__text", "places").mapInArrow(texts, "__key long, __row long, place long, bytes binary"))
-    first = bodies.groupBy("bytes").agg(F.min(F.struct("__key", "__row", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("bytes", "first")
-    gone = bodies.join(first, "bytes").where(F.struct("__key", "__row", "place") > F.col("first"))
+    # all but the first of equal chunks go; the first ones are told apart by place, so that no hot chunk is a join's key
+    first = bodies.groupBy("bytes").agg(F.min(F.struct("__key", "__row", "place")).alias("first")).select("first.*")
+    gone = bodies.select("__key", "__row", "place").join(first, ["__key", "__row", "place"], "left_anti")
     return gone.groupBy("__key", "__row").agg(F.sort_array(F.collect_set("place")).alias("gone"))
 
 
 def kept_text(text: str, gone: set[int]) -> tuple[str, int]:
     lines = text.split("\n")
     kept, n = [], 0
-    for a, b in chunks(text):
+    for a, b in chunks(lines):
         if a in gone:
             n += b - a
         else:

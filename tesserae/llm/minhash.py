@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import batched, cut, read, rows, with_key
+from tesserae.llm.common import BROADCAST_KEYS, batched, bounded, cut, read, rows, with_key
 from tesserae.llm.components import components
 from tesserae.llm.runs import SENT, SENT_DDL, batches_of, by_bucket, each_destination, each_run, make_runs, pack, plan, unpack, with_runs
 from tesserae.llm.substring import RunWords
@@ -237,12 +237,12 @@ def _left_pairs(bucket: DataFrame, classes: DataFrame, vectors: DataFrame) -> Da
     """(a, b), a above b: all pairs of different classes of members of buckets with several classes that may be similar; see step 5 above."""
     member = cut(_with_component(bucket.select("key", "band", "hash"), classes))
     several = member.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "hash")
-    chosen = member.join(_bounded(several), ["band", "hash"], "left_semi").select("key", "component").distinct()
+    chosen = member.join(bounded(several), ["band", "hash"], "left_semi").select("key", "component").distinct()
     entry = cut(chosen.join(vectors.select("key", "prefix"), "key").mapInArrow(_entries, ENTRY_DDL))
     # members of a shingle's largest class need not meet one another: every other member meets all
     size = entry.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
     size = size.where("main.n < n").select("shingle", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / CELL).alias("na"), F.ceil(F.col("n") / CELL).alias("nb"))
-    met = cut(entry.join(_bounded(size), "shingle"))
+    met = cut(entry.join(bounded(size), "shingle"))
     x = met.where("component <> main").select("shingle", "key", "component", "before", "total", F.pmod(F.xxhash64("key"), "na").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"))
     y = met.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("i"), F.pmod(F.xxhash64("key"), "nb").alias("j"), *[F.col(c).alias(f"{c}_y") for c in ("key", "component", "before", "total", "main")])
     inner = F.least(F.col("total") - F.col("before"), F.col("total_y") - F.col("before_y"))
@@ -252,21 +252,11 @@ def _left_pairs(bucket: DataFrame, classes: DataFrame, vectors: DataFrame) -> Da
     return pairs.select(F.greatest("key", "key_y").alias("a"), F.least("key", "key_y").alias("b")).distinct()
 
 
-#: Rows that are broadcast at most; beyond, both sides of a join are shuffled.
-BROADCAST_KEYS = 1_000_000
-
-
-def _bounded(small: DataFrame) -> DataFrame:
-    """Written, and broadcast where it has at most BROADCAST_KEYS rows; beyond, joins shuffle it."""
-    small = cut(small)
-    return F.broadcast(small) if small.count() <= BROADCAST_KEYS else small
-
-
 def _links(vectors: DataFrame) -> DataFrame:
     """(a, b, similarity), a above b, of class representatives that are similar; see steps 4 and 5 above."""
     every = vectors.select("key", F.posexplode("bands").alias("band", "hash"))
     size = every.groupBy("band", "hash").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
-    bucket = cut(every.join(_bounded(size.drop("n")), ["band", "hash"]))
+    bucket = cut(every.join(bounded(size.drop("n")), ["band", "hash"]))
     similar = F.col("similarity") >= THRESHOLD
     found = _compared(bucket.where("key <> b").select(F.col("key").alias("a"), "b").distinct(), vectors)
     pairs = _left_pairs(bucket, components(found.where(similar)), vectors).join(found, ["a", "b"], "left_anti")
@@ -282,7 +272,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     counts = each_destination(each_run(runs, _send_counts(buckets, bits)), _add_counts, SENT, SENT_DDL, parts)
     vectors = cut(each_destination(with_runs(runs, counts), _vectors(n_docs, bits), VECTOR, VECTOR_DDL, parts))
     equal = vectors.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = vectors.select("key", "digest").join(_bounded(equal), "digest", "left")
+    member = vectors.select("key", "digest").join(bounded(equal), "digest", "left")
     member = cut(member.select("key", F.coalesce("least", "key").alias("least")).distinct())
     alone = vectors.join(member.where("key = least").select("key"), "key", "left_semi").dropDuplicates(["key"])
     links = cut(_links(cut(alone)))
