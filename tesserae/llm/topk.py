@@ -1,9 +1,9 @@
 """Exact top-k search by inner product: tiles of query blocks and shards, partial selection in each, lists merged in a tree.
 
 Vectors become packed tiles of a bounded number of rows; a shard tile meets every query block (a stated query set in
-blocks of bounded size), in as many tasks as there are pairs of tiles.  A tile's product is one matrix product; of each
-query only the k best of a tile leave it.  Lists are merged some tiles at a time, then those results, by windows that
-select before they shuffle.  No step holds more than two tiles or the lists of a few queries.
+blocks of bounded size).  A tile's product is a matrix product for some of the queries at a time; of each query only
+the k best of a tile leave it.  Lists are merged FAN_IN tiles at a time, then FAN_IN of those results, and so on, by
+windows that select before they shuffle.  No step holds more than two tiles or FAN_IN lists of a query.
 
 Integers are exact: products go through doubles while sums stay under 2**53, and through 64-bit integers beyond; a sum
 that even these can't hold fails.  Ties go to the smaller id.  A vector that is null, or that holds null or non-finite
@@ -78,10 +78,9 @@ def best_of_tile(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.nd
     """For each query its k best of a tile, in any order: query index, id, score.  Candidates are in the order of their ids, so that equal scores are taken in it."""
     order = np.argsort(ids, kind="stable")
     ids, c = ids[order], c[order]
-    scores = _product(q, c)
-    chosen_q, chosen_c = [], []
+    chosen_q, chosen_c, chosen_s = [], [], []
     for first in range(0, len(q), 256):
-        part = scores[first : first + 256]
+        part = _product(q[first : first + 256], c)
         own = ids[None, :] == query_ids[first : first + 256, None]
         part = np.where(own, np.iinfo(np.int64).min, part)
         if part.shape[1] > k:
@@ -94,21 +93,49 @@ def best_of_tile(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.nd
         r, col = np.nonzero(take & ~own)
         chosen_q.append(r + first)
         chosen_c.append(col)
-    r, col = np.concatenate(chosen_q), np.concatenate(chosen_c)
-    return r, ids[col], scores[r, col]
+        chosen_s.append(part[r, col])
+    return np.concatenate(chosen_q), ids[np.concatenate(chosen_c)], np.concatenate(chosen_s)
+
+
+def _met(shards: DataFrame, blocks: DataFrame, size: int, parts: int) -> DataFrame:
+    """Each shard tile beside each query block of its length.
+
+    Blocks that are small together are broadcast, and shard tiles stay where they are.  Else both are dealt on a grid:
+    blocks into groups of about BROADCAST_BYTES, shard tiles into slices; a shard tile is sent once for each group, a
+    block once for each slice, and no cell holds more than its share of either.
+    """
+    if size <= BROADCAST_BYTES:
+        return shards.join(F.broadcast(blocks), "dim")
+    groups = -(-size // BROADCAST_BYTES)
+    slices = max(1, parts // groups)
+    own = F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group")
+    dealt = blocks.select("*", own, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    sent = shards.select("*", F.pmod(F.xxhash64("tile"), F.lit(slices)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
+    return sent.join(dealt, ["dim", "group", "slice"]).drop("group", "slice")
+
+
+def _merged(lists: DataFrame, n_tiles: int, k: int) -> DataFrame:
+    """The k best of each query: lists of FAN_IN tiles are merged, then FAN_IN of those, until one is left.  Windows select before they shuffle."""
+    width = FAN_IN
+    while width < n_tiles:
+        width *= FAN_IN
+    lists = lists.withColumn("slot", F.pmod(F.xxhash64("tile"), F.lit(width)))
+    while width > 1:
+        width //= FAN_IN
+        lists = lists.withColumn("slot", F.floor(F.col("slot") / FAN_IN))
+        w = Window.partitionBy("query_id", "query_row", "slot").orderBy(F.desc("score"), "vec_id")
+        lists = lists.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return lists.select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of `queries` against all rows of `vectors`, which has the same columns."""
-    spark = vectors.sparkSession
-    parts = shuffle_parts(spark)
+    parts = shuffle_parts(vectors.sparkSession)
     blocks = cut(tiles(scaled(queries, key, vector, scale).coalesce(max(1, parts // 4))))
+    size = blocks.agg(F.sum(F.length("ids") + F.length("values"))).first()[0] or 0
+    blocks = blocks.select("dim", F.col("tile").alias("block"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
     shards = tiles(scaled(vectors, key, vector, scale))
-    numbered = blocks.withColumn("block", F.col("tile")).select("dim", "block", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
-    # a shard is told of every block of its length by number; the packed tiles then meet by block
-    names = numbered.groupBy("dim").agg(F.collect_list("block").alias("blocks"))
-    pairs = shards.join(names, "dim").withColumn("block", F.explode("blocks")).drop("blocks")
-    met = pairs.repartition(parts, "tile", "block").join(F.broadcast(numbered.drop("dim")), "block") if _small(numbered) else pairs.join(numbered.drop("dim"), "block")
+    met = _met(shards, blocks, size, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, tile, n, ids, values, block, q_n, q_ids, q_values in rows(batches, "dim", "tile", "n", "ids", "values", "block", "q_n", "q_ids", "q_values"):
@@ -118,24 +145,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
                 s = slice(first, first + 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (query_ids[r[s]], block * TILE_ROWS + r[s], np.full(len(r[s]), tile), found[s], score[s])], schema=_LIST)
 
-    lists = met.mapInArrow(run, _LIST_DDL)
-    # a tree of two levels: within groups of tiles, then over the groups' lists
-    lists = lists.withColumn("group", F.pmod(F.xxhash64("tile"), F.lit(FAN_IN)))
-    by_group = Window.partitionBy("query_id", "query_row", "group").orderBy(F.desc("score"), "vec_id")
-    by_query = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
-    lists = lists.withColumn("rank", F.row_number().over(by_group)).where(F.col("rank") <= k).drop("rank")
-    return lists.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _merged(met.mapInArrow(run, _LIST_DDL), vectors.count() // TILE_ROWS + parts, k)
 
 
 #: Query blocks are broadcast while they are at most so large together.
 BROADCAST_BYTES = 32 << 20
 
 
-def _small(blocks: DataFrame) -> bool:
-    size = blocks.agg(F.sum(F.length("q_ids") + F.length("q_values"))).first()[0]
-    return (size or 0) <= BROADCAST_BYTES
-
-
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
