@@ -196,10 +196,26 @@ def test_minhash(spark, sf_dir, documents):
 
 
 def chunked(t):
-    from tesserae.llm.lines import chunks
-
-    lines = t.split("\n")
-    return [(a, "\n".join(lines[a:b])) for a, b in chunks(t)]
+    """Chunks by the rule as written, line by line, without the operator's code."""
+    import xxhash
+
+    lines, values, before = t.split("\n"), [], 0
+    for x in lines:
+        h = xxhash.xxh3_64_intdigest(x.encode())
+        values.append(((before * 0x9E3779B97F4A7C15 % 2**64 ^ h) * 0xD6E8FEB86659FD93 % 2**64) // 2**32)
+        before = h
+    out, held = [], []
+    for i, x in enumerate(lines):
+        held.append(i)
+        if len(held) >= 2 and values[i] % 4 == 0 or i == len(lines) - 1:
+            out.append(held)
+            held = []
+        elif len(held) == 64:
+            best = min(range(1, 64), key=lambda j: values[held[j]])
+            out.append(held[: best + 1])
+            held = held[best + 1 :]
+            assert not any(values[j] % 4 == 0 for j in held[1:])
+    return [(c[0], "\n".join(lines[c[0] : c[-1] + 1])) for c in out if c]
 
 
 def test_lines(spark, sf_dir, documents):
@@ -208,7 +224,7 @@ def test_lines(spark, sf_dir, documents):
         kept, gone = [], 0
         for _, body in chunked(t):
             n = body.count("\n") + 1
-            counts = n >= 2 and len("".join(body.split())) >= 40
+            counts = sum(bool(x.strip()) for x in body.split("\n")) >= 2
             if counts and body in seen:
                 gone += n
             else:
