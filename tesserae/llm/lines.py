@@ -28,8 +28,8 @@ MOST_LINES = 64
 DIVISOR = 4
 
 _MASK = (1 << 64) - 1
-CHUNK = pa.schema([("__key", pa.int64()), ("__row", pa.int64()), ("place", pa.int64()), ("hash", pa.int64())])
-CHUNK_DDL = "__key long, __row long, place long, hash long"
+CHUNK = pa.schema([("__key", pa.int64()), ("__row", pa.int64()), ("place", pa.int64()), ("hash", pa.int64()), ("bytes", pa.binary())])
+CHUNK_DDL = "__key long, __row long, place long, hash long, bytes binary"
 
 
 def chunks(lines: list[str]) -> list[tuple[int, int]]:
@@ -77,7 +77,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines, own = text.split("\n"), row_id(text)
             for a, b in chunks(lines):
                 if _counts(lines[a:b]):
-                    yield key, own, a, _signed(xxhash.xxh3_64_intdigest("\n".join(lines[a:b]).encode("utf-8", "surrogatepass"), seed=4))
+                    body = "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")
+                    yield key, own, a, _signed(xxhash.xxh3_64_intdigest(body, seed=4)), body
 
     return batched(found(), CHUNK, 20_000)
 
@@ -86,24 +87,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(__key, __row, gone): the first lines of the chunks to remove.  `docs` has __key and __text."""
     hashed = cut(docs.mapInArrow(_hashed, CHUNK_DDL))
     twice = bounded(hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    # occurrences that may repeat, by row; the bytes join them by row, not by hash
-    places = cut(hashed.join(twice, "hash").groupBy("__key", "__row").agg(F.collect_set("place").alias("places")))
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("__key", pa.int64()), ("__row", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
-
-        def found():
-            for key, text, chosen in rows(batches, "__key", "__text", "places"):
-                lines, own = text.split("\n"), row_id(text)
-                for a, b in chunks(lines):
-                    if a in chosen:
-                        yield key, own, a, "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")
-
-        return batched(found(), schema, 5_000)
-
-    with_row = docs.where("__key IS NOT NULL AND contains(__text, '\n')")
-    bodies = with_row.join(places.groupBy("__key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "__key")
-    bodies = cut(bodies.select("__key", "__text", "places").mapInArrow(texts, "__key long, __row long, place long, bytes binary"))
+    bodies = hashed.join(twice, "hash")
     # all but the first of equal chunks go; the first ones are told apart by place, so that no hot chunk is a join's key
     first = bodies.groupBy("bytes").agg(F.min(F.struct("__key", "__row", "place")).alias("first")).select("first.*")
     gone = bodies.select("__key", "__row", "place").join(first, ["__key", "__row", "place"], "left_anti")
