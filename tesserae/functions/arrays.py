@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 ZERO = 0.0
 
 
+def bound(value: Column, body) -> Column:
+    """`body(value)`, where the value is computed once for each row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(ZERO), lambda a, v: a + v)
 
@@ -21,31 +26,47 @@ def mean(x: Column) -> Column:
 
 
 def log_sum_exp(x: Column) -> Column:
-    top = F.array_max(x)
-    return top + F.ln(total(F.transform(x, lambda v: F.exp(v - top))))
+    return bound(F.array_max(x), lambda top: top + F.ln(total(F.transform(x, lambda v: F.exp(v - top)))))
 
 
 def softmax(x: Column) -> Column:
-    lse = log_sum_exp(x)
-    return F.transform(x, lambda v: F.exp(v - lse))
+    def divided(e):
+        return bound(total(e), lambda s: F.transform(e, lambda v: v / s))
+
+    return bound(F.array_max(x), lambda top: bound(F.transform(x, lambda v: F.exp(v - top)), divided))
+
+
+def layernorm(x: Column, weight: Column | None = None, bias: Column | None = None, eps: float = 1e-5) -> Column:
+    """By the population variance; weight and bias are arrays of the same length."""
 
+    def scaled(m):
+        return bound(F.sqrt(mean(F.transform(x, lambda v: (v - m) * (v - m))) + eps), lambda sd: F.transform(x, lambda v: (v - m) / sd))
 
-def layernorm(x: Column, eps: float = 1e-5) -> Column:
-    """By the population variance."""
-    m = mean(x)
-    sd = F.sqrt(mean(F.transform(x, lambda v: (v - m) * (v - m))) + eps)
-    return F.transform(x, lambda v: (v - m) / sd)
+    out = bound(mean(x), scaled)
+    if weight is not None:
+        out = F.zip_with(out, weight, lambda a, b: a * b)
+    return out if bias is None else F.zip_with(out, bias, lambda a, b: a + b)
 
 
 def rmsnorm(x: Column, eps: float = 1e-6) -> Column:
-    rms = F.sqrt(mean(F.transform(x, lambda v: v * v)) + eps)
-    return F.transform(x, lambda v: v / rms)
+    return bound(F.sqrt(mean(F.transform(x, lambda v: v * v)) + eps), lambda rms: F.transform(x, lambda v: v / rms))
 
 
 def cross_entropy(x: Column, target: Column) -> Column:
     return log_sum_exp(x) - F.get(x, target)
 
 
+def erf(x: Column) -> Column:
+    """The error function by a rational approximation, within 1.5e-7 (Abramowitz and Stegun 7.1.26)."""
+    t = 1 / (1 + 0.3275911 * F.abs(x))
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return F.signum(x) * (1 - poly * F.exp(-x * x))
+
+
+def gelu(x: Column) -> Column:
+    return F.transform(x, lambda v: 0.5 * v * (1 + erf(v / 2**0.5)))
+
+
 def silu(x: Column) -> Column:
     return F.transform(x, lambda v: v / (1 + F.exp(-v)))
 

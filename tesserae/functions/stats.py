@@ -2,42 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _sorted(value: Column) -> Column:
-    return F.sort_array(F.collect_list(value))
+def values_at(rows: DataFrame, keys: list[str], value: str, index: dict[str, Column]) -> DataFrame:
+    """Per group: the keys, n, and the values at these places (from 0) in order, each a column of `n`; nulls are left out.
 
-
-def percentile_floor_index(value: Column, q: float) -> Column:
-    """The value at index min(n - 1, int(q * n)) in order; null without values."""
-    values = _sorted(value)
-    return F.get(values, F.least(F.size(values) - 1, F.floor(F.lit(q) * F.size(values))).cast("int"))
-
-
-def percentile_nearest_rank(value: Column, q: float) -> Column:
-    """The value at index ceil(q * n) - 1."""
-    values = _sorted(value)
-    return F.get(values, F.greatest(F.lit(0), F.ceil(F.lit(q) * F.size(values)).cast("int") - 1))
+    Works by counts of distinct values, so that no group is gathered as a list.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*keys)
+    run = counts.withColumns({"upto": F.sum("c").over(w.orderBy(value)), "n": F.sum("c").over(w)})
+    at = [F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in index.items()]
+    return run.groupBy(*keys, "n").agg(*at)
 
 
 def percentile_linear(value: Column, q: float) -> Column:
     return F.percentile(value, F.lit(q))
 
 
-def upper_median(value: Column) -> Column:
-    """The value at index n // 2, nulls left out."""
-    values = _sorted(value)
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
-
-
-def tenth_index(value: Column, tenths: int) -> Column:
-    """The value at index tenths * n // 10."""
-    values = _sorted(value)
-    return F.get(values, F.floor(F.size(values) * tenths / 10).cast("int"))
-
-
 def cv_percent(value: Column) -> Column:
     """100 * population deviation / mean; 0 where the mean is 0."""
     return F.when(F.avg(value) == 0, F.lit(0.0)).otherwise(100 * F.stddev_pop(value) / F.avg(value))

@@ -47,7 +47,8 @@ def failure_lines(log: Column, most: int = 12, width: int = 300) -> Column:
             hit = hit | m(s)
         return (s != "") & hit & ~F.substring(s, 1, 6).contains("PASS")
 
-    lines = F.filter(F.transform(F.split(log, "\n"), lambda s: F.trim(s)), keep)
+    # all line ends and all white space, as Python's splitlines and strip take them
+    lines = F.filter(F.transform(F.split(log, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), lambda s: F.regexp_replace(s, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")), keep)
     return F.transform(F.slice(F.array_distinct(lines), 1, most), lambda s: F.substring(s, 1, width))
 
 
@@ -157,4 +158,11 @@ def field(text: Column, name: str) -> Column:
 
 
 def exception_place(trace: Column) -> Column:
-    return F.when(trace.contains("triton/compiler"), "triton_compile").when(trace.contains("triton/runtime"), "triton_runtime").otherwise("python")
+    """Where a trace ended: in the compiler or its language, elsewhere in the library, or in Python."""
+    compiled = trace.contains("/triton/compiler/") | trace.contains("/triton/language/")
+    return F.when(compiled, "triton_compile").when(trace.contains("/triton/"), "triton_runtime").otherwise("python")
+
+
+def exception_text(message: Column, head: int = 300, tail: int = 600) -> Column:
+    """A long message keeps its head and its tail."""
+    return F.when(F.length(message) > head + tail, F.concat(F.substring(message, 1, head), F.lit(" [...] "), F.right(message, F.lit(tail)))).otherwise(message)

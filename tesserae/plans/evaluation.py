@@ -82,7 +82,7 @@ def later(x):
     return t.later_pass(turns(x)).select("traj_id", "turn", "fixed_at")
 
 
-@query("w9_early_stop", f"""WITH {TURNS_SQL}, s AS (SELECT traj_id, min(turn) AS stop FROM turns WHERE verdict = 'PASS' AND turn + 1 >= 2 AND speedup > 1 GROUP BY 1),
+@query("w7_early_stop", f"""WITH {TURNS_SQL}, s AS (SELECT traj_id, min(turn) AS stop FROM turns WHERE verdict = 'PASS' AND turn + 1 >= 2 AND speedup > 1 GROUP BY 1),
 b AS (SELECT t.traj_id, count(*) FILTER (turn > stop) AS saved, count(*) AS n, coalesce(max(CASE WHEN verdict = 'PASS' THEN speedup END), 0) AS best,
   coalesce(max(CASE WHEN verdict = 'PASS' AND (stop IS NULL OR turn <= stop) THEN speedup END), 0) AS kept FROM turns t LEFT JOIN s USING (traj_id) GROUP BY 1)
 SELECT CAST(sum(saved) AS BIGINT) AS turns_saved, CAST(sum(n) AS BIGINT) AS turns_total,
@@ -117,12 +117,12 @@ def ties(x):
     return t.tie_probability(t.episodes(turns(x)), "task_id", "pass_count", 3)
 
 
-@query("f33_reordered_pairs", f"""{EPISODES_SQL}, r AS (SELECT *, reward + 0.02 * n_turns AS shaped FROM rewards WHERE task_id < 5),
-d AS (SELECT a.reward - b.reward AS d0, a.shaped - b.shaped AS d1 FROM r a JOIN r b ON a.task_id = b.task_id AND a.traj_id < b.traj_id)
+@query("f33_reordered_pairs", f"""{EPISODES_SQL}, r AS (SELECT *, reward + 0.02 * n_turns AS shaped FROM rewards),
+d AS (SELECT a.reward - b.reward AS d0, a.shaped - b.shaped AS d1 FROM r a JOIN r b ON a.task_id = b.task_id AND (a.reward < b.reward OR (a.reward = b.reward AND a.shaped < b.shaped)))
 SELECT count(*) AS n_pairs, count(*) FILTER ((((d0 > 0) <> (d1 > 0)) AND d0 <> 0) OR (d0 = 0 AND d1 <> 0)) AS n_changed FROM d WHERE d0 <> 0 OR d1 <> 0""")
 def reordered(x):
     shaped = rewards(x).withColumn("shaped", F.col("reward") + 0.02 * F.col("n_turns"))
-    return t.reordered_pairs(shaped, "task_id", "traj_id", "reward", "shaped")
+    return t.reordered_pairs(shaped, "task_id", "reward", "shaped")
 
 
 @query("f25_rewards", f"""{EPISODES_SQL} SELECT traj_id, reward,

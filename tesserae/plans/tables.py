@@ -35,12 +35,15 @@ def dispersion(x):
 @query("a5_percentiles", """WITH s AS (SELECT l_suppkey AS k, list_sort(list(l_quantity)) AS v, count(*) AS n, quantile_cont(l_quantity, 0.9) AS linear FROM lineitem GROUP BY 1)
 SELECT k, v[CAST(least(n - 1, floor(0.9 * n)) AS BIGINT) + 1] AS floor_index, v[CAST(greatest(0, ceil(0.9 * n) - 1) AS BIGINT) + 1] AS nearest_rank, linear, v[n // 2 + 1] AS upper_median, v[n * 9 // 10 + 1] AS ninth_tenth FROM s""")
 def percentiles(x):
-    """Five definitions side by side; a group's values are gathered, so the groups here are those of one supplier."""
-    q = F.col("l_quantity")
-    return x.lineitem.groupBy(F.col("l_suppkey").alias("k")).agg(
-        stats.percentile_floor_index(q, 0.9).alias("floor_index"), stats.percentile_nearest_rank(q, 0.9).alias("nearest_rank"), stats.percentile_linear(q, 0.9).alias("linear"),
-        stats.upper_median(q).alias("upper_median"), stats.tenth_index(q, 9).alias("ninth_tenth"),
-    )
+    """Five definitions side by side, by counts of distinct values: no list of a group's values is gathered."""
+    n = F.col("n")
+    index = {
+        "floor_index": F.least(n - 1, F.floor(0.9 * n)), "nearest_rank": F.greatest(F.lit(0), F.ceil(0.9 * n) - 1), "upper_median": F.floor(n / 2), "ninth_tenth": F.floor(n * 9 / 10),
+        "below": F.floor(0.9 * (n - 1)), "above": F.ceil(0.9 * (n - 1)),
+    }
+    found = stats.values_at(x.lineitem.select(F.col("l_suppkey").alias("k"), "l_quantity"), ["k"], "l_quantity", index)
+    part = 0.9 * (n - 1) - F.floor(0.9 * (n - 1))
+    return found.select("k", "floor_index", "nearest_rank", (F.col("below") + part * (F.col("above") - F.col("below"))).alias("linear"), "upper_median", "ninth_tenth")
 
 
 @query("a6_geomean", "SELECT l_shipdate IS NULL AS missing, l_linestatus AS impl, exp(avg(ln(l_extendedprice)) FILTER (l_extendedprice > 0)) AS geomean FROM lineitem GROUP BY 1, 2")
@@ -73,7 +76,7 @@ def family_summary(x):
     return sets.agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"), F.count_if(F.col("quality") == 1).alias("n_good"), stats.share(F.col("toxic") == 1).alias("toxic_share"))
 
 
-@query("a13_repeat_medians", "SELECT l_returnflag AS kernel, l_linestatus AS impl, list_sort(list(l_quantity))[count(*) // 2 + 1] AS median, count(*) AS n_repeats FROM lineitem WHERE l_partkey % 50 = 0 GROUP BY 1, 2")
+@query("a13_repeat_medians", "SELECT l_returnflag AS kernel, l_linestatus AS impl, list_sort(list(l_quantity))[count(*) // 2 + 1] AS median, count(*) AS n_repeats FROM lineitem GROUP BY 1, 2")
 def repeat_medians(x):
     """Upper median by counts of distinct values: no list of a group's values is gathered."""
     keys = ["kernel", "impl"]
@@ -108,22 +111,27 @@ def cost(x):
     return x.lineitem.select("l_partkey", "l_quantity").join(x.part.select("p_partkey", rate.alias("rate")), F.col("l_partkey") == F.col("p_partkey")).agg(F.sum(F.col("l_quantity") * F.col("rate")).alias("cost"))
 
 
-@query("a20_document_frequency", "WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT sha256(line) AS line, count(*) AS df FROM l WHERE line <> '' GROUP BY l.line HAVING count(*) >= 3")
+@query("a20_document_frequency", """WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT greatest(2, 0.05 * count(*)) AS least FROM documents WHERE lang = 'en')
+SELECT sha256(line) AS line, count(*) AS df FROM l JOIN documents USING (doc_id), n WHERE line <> '' AND lang = 'en' GROUP BY l.line, least HAVING count(*) >= least""")
 def document_frequency(x):
-    lines = x.documents.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("line <> ''")
-    return lines.groupBy(F.sha2("line", 256).alias("line")).agg(F.count("*").alias("df")).where("df >= 3")
+    """Lines of the English documents that are common: in at least two of them and in a twentieth."""
+    docs = x.documents.where("lang = 'en'")
+    least = docs.agg(F.greatest(F.lit(2.0), 0.05 * F.count("*")).alias("least"))
+    lines = docs.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("line <> ''")
+    return lines.groupBy(F.sha2("line", 256).alias("line")).agg(F.count("*").alias("df")).crossJoin(F.broadcast(least)).where("df >= least").drop("least")
 
 
-@query("a21_bootstrap", """WITH v AS (SELECT l_returnflag AS g, l_quantity AS q, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem WHERE l_orderkey % 100 = 0),
-n AS (SELECT g, count(*) AS n FROM v GROUP BY 1), p AS (SELECT g, b, (b * 7919 + k * k * 31 + 17 * k * b) % n AS i FROM n, range(200) AS r(b), range(n) AS s(k)),
+@query("a21_bootstrap", """WITH v AS (SELECT c_nationkey AS g, c_acctbal AS q, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer),
+n AS (SELECT g, count(*) AS n FROM v GROUP BY 1), p AS (SELECT g, b, (b * 7919 + k * k * 31 + 17 * k * b) % n AS i FROM n, range(2000) AS r(b), range(n) AS s(k)),
 m AS (SELECT g, b, quantile_cont(q, 0.5) AS m FROM p JOIN v USING (g, i) GROUP BY ALL) SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY g""")
-def bootstrap(x):
-    """95 % interval of the median from 2000 resamples; the draws are a fixed function of the resample and the place."""
-    w = Window.partitionBy("g").orderBy("l_orderkey", "l_linenumber", "q")
-    v = x.lineitem.select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("q"), "l_orderkey", "l_linenumber")
+def bootstrap(x, resamples: int = 2000):
+    """95 % interval of a group's median from its resamples; the draws are a fixed function of the resample and the place."""
+    w = Window.partitionBy("g").orderBy("c_custkey")
+    v = x.customer.select(F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("q"), "c_custkey")
     v = v.select("g", "q", (F.row_number().over(w) - 1).cast("long").alias("i"))
     n = v.groupBy("g").agg(F.count("*").alias("n"))
-    draws = n.select("g", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1999).cast("long"))).alias("b")).select("g", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    last = F.lit(resamples - 1).cast("long")
+    draws = n.select("g", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("b")).select("g", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     picked = draws.select("g", "b", F.expr("(b * 7919 + k * k * 31 + 17 * k * b) % n").alias("i")).join(v, ["g", "i"])
     return picked.groupBy("g", "b").agg(F.percentile("q", F.lit(0.5)).alias("m")).groupBy("g").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
@@ -149,16 +157,20 @@ def prefix_join(x):
     return a.join(a.groupBy("p").agg(F.min("doc_id").alias("first")), "p").select("doc_id", "first")
 
 
-@query("j6_baseline_ratio", "WITH b AS (SELECT p_partkey, p_retailprice FROM part) SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity / nullif(p_retailprice, 0) AS ratio FROM lineitem JOIN b ON p_partkey = l_partkey")
+@query("j6_baseline_ratio", """WITH b AS (SELECT l_partkey, list_sort(list(l_extendedprice / l_quantity))[count(*) // 2 + 1] AS base FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity / nullif(base, 0) AS ratio FROM lineitem JOIN b USING (l_partkey)""")
 def baseline_ratio(x):
-    joined = x.lineitem.join(x.part.select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select("l_orderkey", "l_linenumber", F.try_divide(F.col("l_extendedprice") / F.col("l_quantity"), F.col("p_retailprice")).alias("ratio"))
+    """Each measurement over the upper median of its part's repeats."""
+    own = x.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
+    base = stats.values_at(own.select("l_partkey", "v"), ["l_partkey"], "v", {"base": F.floor(F.col("n") / 2)})
+    return own.join(base.select("l_partkey", "base"), "l_partkey").select("l_orderkey", "l_linenumber", F.try_divide("v", "base").alias("ratio"))
 
 
 @query("j8_containment", """WITH r AS (SELECT DISTINCT item_id, trim(unnest(string_split(replace(text, chr(10), '. '), '. '))) AS s FROM benchmark), rn AS (SELECT item_id, count(*) AS n FROM r WHERE length(s) >= 20 GROUP BY 1),
 d AS (SELECT DISTINCT doc_id, trim(unnest(string_split(replace(text, chr(10), '. '), '. '))) AS s FROM documents), m AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN r USING (s) WHERE length(s) >= 20 GROUP BY ALL),
-b AS (SELECT doc_id, max(struct_pack(o := shared / n, k := -item_id, s := shared)) AS b FROM m JOIN rn USING (item_id) GROUP BY 1)
-SELECT d.doc_id, -(b).k AS item_id, coalesce((b).o, 0) AS overlap, coalesce((b).s, 0) AS shared FROM documents d LEFT JOIN b USING (doc_id)""")
+dn AS (SELECT doc_id, count(*) AS nd FROM d WHERE length(s) >= 20 GROUP BY 1),
+b AS (SELECT doc_id, max(struct_pack(o := shared / n, k := -item_id, s := shared)) AS b, max(struct_pack(j := shared / (n + nd - shared), k := -item_id)) AS c FROM m JOIN rn USING (item_id) JOIN dn USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, -(b).k AS item_id, coalesce((b).o, 0) AS overlap, coalesce((b).s, 0) AS shared, -(c).k AS jaccard_item, coalesce((c).j, 0) AS jaccard, coalesce((b).o >= 0.5, false) AS near FROM documents d LEFT JOIN b USING (doc_id)""")
 def containment(x):
     """Each document's best benchmark item by the share of the item's sentences that it holds."""
 
@@ -166,11 +178,16 @@ def containment(x):
         parts = F.split(F.regexp_replace("text", "\n", ". "), r"\. ")
         return df.select(key, F.explode(F.array_distinct(F.transform(parts, lambda s: F.trim(s)))).alias("s")).where(F.length("s") >= 20)
 
-    item = sentences(x.benchmark, "item_id")
-    sizes = item.groupBy("item_id").agg(F.count("*").alias("n"))
-    shared = sentences(x.documents, "doc_id").join(item, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).join(sizes, "item_id")
-    best = shared.groupBy("doc_id").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("o"), (-F.col("item_id")).alias("k"), "shared")).alias("b"))
-    return x.documents.select("doc_id").join(best, "doc_id", "left").select("doc_id", (-F.col("b.k")).alias("item_id"), F.coalesce("b.o", F.lit(0.0)).alias("overlap"), F.coalesce("b.shared", F.lit(0)).alias("shared"))
+    item, own = sentences(x.benchmark, "item_id"), sentences(x.documents, "doc_id")
+    sizes, own_sizes = item.groupBy("item_id").agg(F.count("*").alias("n")), own.groupBy("doc_id").agg(F.count("*").alias("nd"))
+    shared = own.join(item, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).join(sizes, "item_id").join(own_sizes, "doc_id")
+    first = (-F.col("item_id")).alias("k")
+    jaccard = F.col("shared") / (F.col("n") + F.col("nd") - F.col("shared"))
+    best = shared.groupBy("doc_id").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("o"), first, "shared")).alias("b"), F.max(F.struct(jaccard.alias("j"), first)).alias("c"))
+    return x.documents.select("doc_id").join(best, "doc_id", "left").select(
+        "doc_id", (-F.col("b.k")).alias("item_id"), F.coalesce("b.o", F.lit(0.0)).alias("overlap"), F.coalesce("b.shared", F.lit(0)).alias("shared"),
+        (-F.col("c.k")).alias("jaccard_item"), F.coalesce("c.j", F.lit(0.0)).alias("jaccard"), F.coalesce(F.col("b.o") >= 0.5, F.lit(False)).alias("near"),
+    )
 
 
 @query("j11_override", "WITH b AS (SELECT user_id, sum(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1), a AS (SELECT user_id, sum(value) AS v FROM events GROUP BY 1) SELECT * FROM b UNION ALL SELECT * FROM a WHERE user_id NOT IN (SELECT user_id FROM b)")
@@ -204,7 +221,7 @@ def set_operations(x):
     return one(a.intersect(b), "n_both").crossJoin(one(a.subtract(b), "n_first")).crossJoin(one(a.union(b).distinct(), "n_any"))
 
 
-@query("u4_jaccard", "WITH u AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS a FROM events GROUP BY 1), v AS (SELECT user_id, a, lead(a) OVER (ORDER BY user_id) AS b FROM u WHERE user_id < 100) SELECT user_id, len(list_intersect(a, b)) / CAST(len(list_distinct(a || b)) AS DOUBLE) AS jaccard FROM v WHERE b IS NOT NULL")
+@query("u4_jaccard", "WITH u AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS a FROM events GROUP BY 1), v AS (SELECT user_id, a, lead(a) OVER (ORDER BY user_id) AS b FROM u) SELECT user_id, len(list_intersect(a, b)) / CAST(len(list_distinct(a || b)) AS DOUBLE) AS jaccard FROM v WHERE b IS NOT NULL")
 def jaccard(x):
     """Each user and the next one: neighbours inside ranges of users, and the first of the next range for the last of one."""
     u = x.events.groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("a"))
@@ -233,9 +250,13 @@ def priority_dedup(x):
     return d.join(best, "sha").select("doc_id", F.when(F.col("doc_id") != F.col("best.doc_id"), F.concat(F.lit("duplicate_of_"), "best.source")).alias("drop_reason"))
 
 
-@query("w3_representative", "WITH g AS (SELECT sha256(text) AS sha, min(doc_id) AS representative, count(*) AS n, max(n_chars) AS longest FROM documents GROUP BY 1) SELECT * FROM g WHERE n > 1")
+@query("w3_representative", """WITH d AS (SELECT doc_id, sha256(text) AS sha, coalesce(quality, 0) AS q FROM documents LEFT JOIN labels USING (doc_id))
+SELECT sha, arg_min(doc_id, struct_pack(q := -q, i := doc_id)) AS representative, count(*) AS n, list_sort(list(doc_id)) AS members FROM d GROUP BY 1 HAVING count(*) > 1""")
 def representative(x):
-    return x.documents.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("representative"), F.count("*").alias("n"), F.max("n_chars").alias("longest")).where("n > 1")
+    """Of equal texts the best scored, then the first; all of them are listed, which is the feature."""
+    d = x.documents.select("doc_id", F.sha2("text", 256).alias("sha")).join(x.labels.select("doc_id", "quality"), "doc_id", "left")
+    best = F.min(F.struct(-F.coalesce("quality", F.lit(0)), "doc_id")).alias("b")
+    return d.groupBy("sha").agg(best, F.count("*").alias("n"), F.sort_array(F.collect_list("doc_id")).alias("members")).where("n > 1").select("sha", F.col("b.doc_id").alias("representative"), "n", "members")
 
 
 @query("w8_sessions", """WITH e AS (SELECT *, min(CASE WHEN event_type IN ('purchase', 'error') THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS m FROM events)
@@ -286,7 +307,7 @@ def stride(x):
     return first.withColumn("i", F.row_number().over(Window.orderBy("c_custkey")) - 1).where("i % 7 = 0").select("c_custkey")
 
 
-@query("t1_sorted_kinds", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS kind FROM events ORDER BY kind, event_id LIMIT 200")
+@query("t1_sorted_kinds", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS kind FROM events ORDER BY kind, event_id")
 def sorted_kinds(x):
     kind = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "view", 1).otherwise(2)
     return x.events.select("event_id", kind.alias("kind")).orderBy("kind", "event_id")

@@ -15,15 +15,23 @@ def vectors(x):
     return x.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 
 
-@query("x2_softmax", f"WITH {V_SQL}, s AS (SELECT vec_id, x, list_max(x) AS m FROM v), e AS (SELECT vec_id, list_transform(x, lambda e: exp(e - m)) AS e FROM s) SELECT vec_id, list_transform(e, lambda y: y / list_sum(e)) AS y FROM e")
+def by_place(df, *names):
+    """One row for each component, so that values compare as numbers."""
+    return df.select("vec_id", F.posexplode(F.arrays_zip(*names)).alias("i", "e")).select("vec_id", F.col("i").cast("long").alias("i"), *[f"e.{n}" for n in names])
+
+
+@query("x2_softmax", f"WITH {V_SQL}, s AS (SELECT vec_id, x, list_max(x) AS m FROM v), e AS (SELECT vec_id, list_transform(x, lambda e: exp(e - m)) AS e FROM s) SELECT vec_id, unnest(range(len(e))) AS i, unnest(list_transform(e, lambda y: y / list_sum(e))) AS y FROM e")
 def softmax(t):
-    return vectors(t).select("vec_id", arrays.softmax(F.col("x")).alias("y"))
+    return by_place(vectors(t).select("vec_id", arrays.softmax(F.col("x")).alias("y")), "y")
 
 
 @query("x3_norms", f"""WITH {V_SQL}, s AS (SELECT vec_id, x, list_avg(x) AS m, list_var_pop(x) AS v2, list_avg(list_transform(x, lambda e: e * e)) AS ms FROM v)
-SELECT vec_id, list_transform(x, lambda e: (e - m) / sqrt(v2 + 1e-5)) AS layer, list_transform(x, lambda e: e / sqrt(ms + 1e-6)) AS rms FROM s""")
+SELECT vec_id, unnest(range(len(x))) AS i, unnest(list_transform(x, lambda e: (e - m) / sqrt(v2 + 1e-5))) AS layer, unnest(list_transform(x, lambda e, i: (e - m) / sqrt(v2 + 1e-5) * (i / 64.0) + 0.5)) AS affine,
+  unnest(list_transform(x, lambda e: e / sqrt(ms + 1e-6))) AS rms FROM s""")
 def norms(t):
-    return vectors(t).select("vec_id", arrays.layernorm(F.col("x")).alias("layer"), arrays.rmsnorm(F.col("x")).alias("rms"))
+    weight, bias = F.transform("x", lambda v, i: (i + 1) / 64.0), F.transform("x", lambda v: F.lit(0.5))
+    found = vectors(t).select("vec_id", arrays.layernorm(F.col("x")).alias("layer"), arrays.layernorm(F.col("x"), weight, bias).alias("affine"), arrays.rmsnorm(F.col("x")).alias("rms"))
+    return by_place(found, "layer", "affine", "rms")
 
 
 @query("x7_cross_entropy", f"WITH {V_SQL}, s AS (SELECT x, label, list_max(x) AS m FROM v) SELECT avg(m + ln(list_sum(list_transform(x, lambda e: exp(e - m)))) - x[label + 1]) AS loss FROM s")
@@ -31,9 +39,9 @@ def cross_entropy(t):
     return vectors(t).agg(F.avg(arrays.cross_entropy(F.col("x"), F.col("label"))).alias("loss"))
 
 
-@query("x8_rotary", f"""WITH {V_SQL} SELECT vec_id, list_transform(range(64), lambda i: x[i + 1] * cos(label / power(10000.0, (i - i % 2) / 64.0)) + CASE WHEN i % 2 = 0 THEN -x[i + 2] ELSE x[i] END * sin(label / power(10000.0, (i - i % 2) / 64.0))) AS y FROM v""")
+@query("x8_rotary", f"""WITH {V_SQL} SELECT vec_id, unnest(range(64)) AS i, unnest(list_transform(range(64), lambda i: x[i + 1] * cos(label / power(10000.0, (i - i % 2) / 64.0)) + CASE WHEN i % 2 = 0 THEN -x[i + 2] ELSE x[i] END * sin(label / power(10000.0, (i - i % 2) / 64.0)))) AS y FROM v""")
 def rotary(t):
-    return vectors(t).select("vec_id", arrays.rotary(F.col("x"), F.col("label")).alias("y"))
+    return by_place(vectors(t).select("vec_id", arrays.rotary(F.col("x"), F.col("label")).alias("y")), "y")
 
 
 @query("x9_reductions", f"WITH {V_SQL} SELECT vec_id, list_sum(x) AS total, list_max(x) AS high FROM v")
@@ -41,9 +49,15 @@ def reductions(t):
     return vectors(t).select("vec_id", arrays.total(F.col("x")).alias("total"), F.array_max("x").alias("high"))
 
 
-@query("x6_gated_mlp", f"WITH {V_SQL} SELECT vec_id, list_transform(x, lambda e: e / (1 + exp(-e)) * e) AS gated, list_transform(x, lambda e: greatest(e, 0) * greatest(e, 0)) AS squared FROM v")
+ERF_SQL = "(1 / (1 + 0.3275911 * abs(e / sqrt(2.0))))"
+GELU_SQL = f"""0.5 * e * (1 + sign(e) * (1 - {ERF_SQL} * (0.254829592 + {ERF_SQL} * (-0.284496736 + {ERF_SQL} * (1.421413741 + {ERF_SQL} * (-1.453152027 + {ERF_SQL} * 1.061405429)))) * exp(-e * e / 2)))"""
+
+
+@query("x6_gated_mlp", f"""WITH {V_SQL} SELECT vec_id, unnest(range(len(x))) AS i, unnest(list_transform(x, lambda e: e / (1 + exp(-e)) * e)) AS gated, unnest(list_transform(x, lambda e: {GELU_SQL})) AS gelu,
+  unnest(list_transform(x, lambda e: greatest(e, 0) * greatest(e, 0))) AS squared FROM v""")
 def mlp(t):
-    return vectors(t).select("vec_id", arrays.gated(F.col("x"), F.col("x")).alias("gated"), arrays.squared_relu(F.col("x")).alias("squared"))
+    found = vectors(t).select("vec_id", arrays.gated(F.col("x"), F.col("x")).alias("gated"), arrays.gelu(F.col("x")).alias("gelu"), arrays.squared_relu(F.col("x")).alias("squared"))
+    return by_place(found, "gated", "gelu", "squared")
 
 
 @query("x1_gram_by_label", f"""WITH {V_SQL}, e AS (SELECT label, vec_id, unnest(x) AS v, unnest(range(64)) AS k FROM v), m AS (SELECT label, k, sum(v) AS s FROM e GROUP BY ALL)
@@ -55,15 +69,17 @@ def gram(t):
     return a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("product"))
 
 
-@query("x5_causal_attention", f"""WITH {V_SQL}, p AS (SELECT vec_id // 16 AS seq, vec_id % 16 AS pos, x FROM v), s AS (SELECT q.seq, q.pos, k.x[1] AS value, list_dot_product(q.x, k.x) / 8.0 AS s FROM p q JOIN p k ON q.seq = k.seq AND k.pos <= q.pos),
-w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq, pos)) AS w FROM s) SELECT seq, pos, sum(w * value) / sum(w) AS y FROM w GROUP BY seq, pos""")
+@query("x5_causal_attention", f"""WITH {V_SQL}, p AS (SELECT vec_id // 16 AS seq, vec_id % 16 AS pos, x FROM v), s AS (SELECT q.seq, q.pos, k.x AS value, list_dot_product(q.x, k.x) / 8.0 AS s FROM p q JOIN p k ON q.seq = k.seq AND k.pos <= q.pos),
+w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq, pos)) AS w FROM s), e AS (SELECT seq, pos, w, unnest(range(64)) AS i, unnest(value) AS value FROM w)
+SELECT seq, pos, i, sum(w * value) / sum(w) AS y FROM e GROUP BY seq, pos, i""")
 def attention(t):
-    """Sequences of 16 neighbours; the value is the first component."""
+    """Sequences of 16 neighbours, each vector query, key and value at once; scores over the root of the length, no later place is seen."""
     p = vectors(t).select(F.floor(F.col("vec_id") / 16).alias("seq"), (F.col("vec_id") % 16).alias("pos"), "x")
     k = p.select("seq", F.col("pos").alias("k"), F.col("x").alias("kx"))
-    s = p.join(k, "seq").where("k <= pos").select("seq", "pos", F.get("kx", F.lit(0)).alias("value"), (arrays.dot(F.col("x"), F.col("kx")) / 8.0).alias("s"))
+    s = p.join(k, "seq").where("k <= pos").select("seq", "pos", "kx", (arrays.dot(F.col("x"), F.col("kx")) / F.sqrt(F.size("x"))).alias("s"))
     w = s.withColumn("w", F.exp(F.col("s") - F.max("s").over(Window.partitionBy("seq", "pos"))))
-    return w.groupBy("seq", "pos").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("y"))
+    e = w.select("seq", "pos", "w", F.posexplode("kx").alias("i", "value"))
+    return e.groupBy("seq", "pos", F.col("i").cast("long").alias("i")).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("y"))
 
 
 @query("f29_tolerance", f"""WITH {V_SQL}, p AS (SELECT vec_id, x AS g, list_transform(x, lambda e: e + CASE WHEN vec_id % 3 = 0 THEN 0.01 * e ELSE 0.0005 END) AS o FROM v),

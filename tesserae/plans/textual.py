@@ -10,18 +10,29 @@ from tesserae.operators import curation
 from tesserae.plans.registry import query
 
 
-@query("f1_last_code_block", r"""WITH c AS (SELECT conv_id, turn, role, 'x ```python' || chr(10) || text || chr(10) || '``` y ```' || chr(10) || role || chr(10) || '```' AS t FROM conversations)
-SELECT conv_id, turn, role || chr(10) AS code, CAST(2 AS BIGINT) AS n_blocks FROM c""")
+@query("f1_last_code_block", r"""WITH c AS (SELECT doc_id, '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'and' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'no block' ELSE '```' || chr(10) || source || chr(10) || '```' END AS t, text, source FROM documents WHERE text NOT LIKE '%```%')
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE source END || chr(10) AS code, CASE WHEN doc_id % 3 = 0 OR contains(text, 'the') THEN text ELSE source END AS preferred, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n_blocks FROM c""".replace("AS preferred", "AS preferred_raw").replace("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE source END || chr(10) AS code, CASE WHEN doc_id % 3 = 0 OR contains(text, 'the') THEN text ELSE source END AS preferred_raw,", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE source END || chr(10) AS code, regexp_replace(regexp_replace(CASE WHEN doc_id % 3 = 0 OR (contains(text, 'the') AND NOT contains(source, 'the')) THEN text ELSE source END, '^\\n+', ''), '\\n+$', '') || chr(10) AS preferred,"))
 def last_block(x):
-    fenced = F.concat(F.lit("x ```python\n"), "text", F.lit("\n``` y ```\n"), "role", F.lit("\n```"))
-    return x.conversations.select("conv_id", "turn", text.last_code_block(fenced).alias("code"), F.size(F.regexp_extract_all(fenced, F.lit(r"(?s)```(?:python|py)?\s*\n(.*?)```"), 1)).cast("long").alias("n_blocks"))
+    """The last block, and the last that holds a name, else the last, with the number of blocks."""
+    last = F.when(F.col("doc_id") % 3 == 0, "no block").otherwise(F.concat(F.lit("```\n"), "source", F.lit("\n```")))
+    fenced = x.documents.where("NOT contains(text, '```')").select("doc_id", F.concat(F.lit("```python\n"), "text", F.lit("\n```\nand\n"), last).alias("t"))
+    found = text.code_block_preferring(F.col("t"), "the")
+    return fenced.select("doc_id", text.last_code_block(F.col("t")).alias("code"), found["code"].alias("preferred"), found["n_blocks"].alias("n_blocks"))
 
 
-@query("f7_families", """WITH f AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 'matmul' END, CASE WHEN text LIKE '%http%' THEN 'softmax' END, CASE WHEN text LIKE '%@%' THEN 'reduce' END], lambda t: t IS NOT NULL) AS t FROM documents),
-g AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN ['other'] ELSE t END AS family FROM f) SELECT doc_id, family, coalesce(list_filter(['matmul', 'softmax', 'reduce', 'other'], lambda o: list_contains(family, o))[1], 'other') AS primary_family FROM g""")
+def _families_sql() -> str:
+    tags = ", ".join("CASE WHEN regexp_matches(s, '" + p.replace("'", "''") + f"') THEN '{t}' END" for t, p in text.FAMILY_PATTERNS)
+    order = ", ".join(f"'{o}'" for o in text.FAMILY_ORDER)
+    return f"""WITH d AS (SELECT p_partkey, p_name || ' ' || ['nn.Linear(x)', 'F.softmax(x)', 'torch.sum(x)', 'Conv2d relu', 'plain', 'LayerNorm and rope', 'SwiGLU MLP', 'x @ y'][1 + p_partkey % 8] AS s FROM part),
+f AS (SELECT p_partkey, list_filter([{tags}], lambda t: t IS NOT NULL) AS t FROM d), g AS (SELECT p_partkey, CASE WHEN len(t) = 0 THEN ['other'] ELSE t END AS family FROM f)
+SELECT p_partkey, family, coalesce(list_filter([{order}], lambda o: list_contains(family, o))[1], 'other') AS primary_family FROM g"""
+
+
+@query("f7_families", _families_sql())
 def families(x):
-    tags = text.families(F.col("text"), [("matmul", "[0-9]{4}"), ("softmax", "http"), ("reduce", "@")])
-    return x.documents.select("doc_id", tags.alias("family")).withColumn("primary_family", text.primary_family(F.col("family")))
+    kinds = ["nn.Linear(x)", "F.softmax(x)", "torch.sum(x)", "Conv2d relu", "plain", "LayerNorm and rope", "SwiGLU MLP", "x @ y"]
+    made = F.concat("p_name", F.lit(" "), F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("p_partkey") % 8).cast("int")))
+    return x.part.select("p_partkey", text.families(made).alias("family")).withColumn("primary_family", text.primary_family(F.col("family")))
 
 
 @query("f4_normal_message", """SELECT event_id, CASE WHEN event_type IN ('numerics', 'pass') THEN event_type ELSE event_type || '|' || right(regexp_replace(props, '[0-9]+', 'N', 'g'), 200) END AS message FROM events""")
@@ -52,13 +63,13 @@ def html(x):
     return x.pages.select("page_id", F.sort_array(F.array_distinct(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]+)"'), 1))).alias("links"), F.size(words).cast("long").alias("n_words"))
 
 
-@query("s10_url_parts", r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1)) AS n FROM pages")
+@query("u6_url_hosts", r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1)) AS n FROM pages")
 def hosts(x):
     p = x.pages.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
     return p.join(p.groupBy("host").agg(F.count("*").alias("n")), "host").select("page_id", "host", "n")
 
 
-@query("f9_chat_messages", """SELECT doc_id, 'system: be brief' || chr(10) || 'user: ' || lang || chr(10) || 'assistant: ' || left(text, 100) AS rendered, [0, 0, 1] AS loss_mask FROM documents""")
+@query("f9_chat_messages", """SELECT doc_id, 'system: be brief' || chr(10) || 'user: ' || lang || chr(10) || 'assistant: ' || text AS rendered, [0, 0, 1] AS loss_mask FROM documents""")
 def chat_messages(x):
     messages = F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit("be brief")), ("user", F.col("lang")), ("assistant", F.col("text")))])
     m = x.documents.select("doc_id", messages.alias("m"))

@@ -1,29 +1,8 @@
-"""Queries over all rows, against their SQL without the cuts that it still has."""
+"""Queries whose rows come in an order."""
 
 from __future__ import annotations
 
-import pytest
-
 from tesserae.plans import catalog
-from tests.comparing import assert_same
-
-CUTS = {
-    "a13_repeat_medians": [(" WHERE l_partkey % 50 = 0", "")],
-    "a21_bootstrap": [(" WHERE l_orderkey % 100 = 0", ""), ("range(200)", "range(2000)"), ("ORDER BY l_orderkey, l_linenumber)", "ORDER BY l_orderkey, l_linenumber, l_quantity)")],
-    "f9_chat_messages": [("left(text, 100)", "text")],
-    "t1_sorted_kinds": [(" LIMIT 200", "")],
-    "u4_jaccard": [(" WHERE user_id < 100", "")],
-    "f33_reordered_pairs": [(" WHERE task_id < 5", "")],
-}
-
-
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_all_rows(spark, sf_dir, name):
-    sql = catalog.ORACLE_SQL[name]
-    for cut, whole in CUTS[name]:
-        sql = sql.replace(cut, whole)
-    assert_same(catalog.QUERIES[name](spark, sf_dir), sf_dir, sql)
-
 
 def test_order_of_all_events(spark, sf_dir):
     got = [(r["kind"], r["event_id"]) for r in catalog.QUERIES["t1_sorted_kinds"](spark, sf_dir).collect()]
