@@ -32,10 +32,42 @@ def water_fill(rows: DataFrame, group: str, key: str, budget: DataFrame, seed: i
     return rows.join(quotas(sizes, group, budget), group).withColumn("__place", place).where(F.col("__place") <= F.col("quota")).select(rows.columns)
 
 
-def systematic_sample(rows: DataFrame, stratum: str, key: str, step: int, offset: int, seed: int = 0) -> DataFrame:
-    """Every `step`-th row of each stratum, in hash order."""
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, F.col(key)))) - 1
-    return rows.withColumn("__place", place).where(F.col("__place") % step == offset).drop("__place")
+def mix(rows: DataFrame, group: str, key: str, core: Column, repair: Column, target: int | Column, generic_share: float, repair_share: float, seed: int = 0) -> DataFrame:
+    """(the columns of rows, part): core rows up to the target; generic ones up to their share of both and what is left of the target; repairs up to their share of all.
+
+    Each part is water-filled over its groups.  Budgets are one-row tables, made from counts.
+    """
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(core & ~repair).alias("n_core"), F.count_if(~core & ~repair).alias("n_generic"), F.count_if(repair).alias("n_repair"))
+    counts = counts.withColumn("core", F.least(F.col("n_core"), F.lit(target) if isinstance(target, int) else target))
+    room = (F.lit(target) if isinstance(target, int) else target) - F.col("core")
+    allowed = F.floor(F.col("core") * generic_share / (1 - generic_share))
+    counts = counts.withColumn("generic", F.least("n_generic", F.greatest(F.lit(0), F.least(room, allowed))).cast("long"))
+    counts = counts.withColumn("repair", F.least("n_repair", F.floor((F.col("core") + F.col("generic")) * repair_share / (1 - repair_share))).cast("long"))
+    out = None
+    for name, chosen in (("core", core & ~repair), ("generic", ~core & ~repair), ("repair", repair)):
+        taken = water_fill(rows.where(chosen), group, key, counts.select(F.col(name).cast("long").alias("budget")), seed).withColumn("part", F.lit(name))
+        out = taken if out is None else out.unionByName(taken)
+    return out
+
+
+def systematic_sample(rows: DataFrame, stratum: str, key: str, step: int, offset: int, seed: int = 0, unique: str | None = None) -> DataFrame:
+    """Every `step`-th row of all strata one after another, each in hash order.  With `unique`, a row whose value there occurs more than once gives way to the next of its stratum, less than `step` on, whose value is its own."""
+    sizes = rows.groupBy(stratum).agg(F.count("*").alias("__n"))
+    sizes = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy(stratum)) - F.col("__n")).drop("__n")  # one row for each stratum
+    w = Window.partitionBy(stratum).orderBy(hash_order(seed, F.col(key)))
+    placed = rows.join(F.broadcast(sizes), stratum).withColumn("__place", F.col("__before") + F.row_number().over(w) - 1).drop("__before")
+    hit = F.col("__place") % step == offset
+    if unique is None:
+        return placed.where(hit).drop("__place")
+    counted = placed.join(rows.groupBy(unique).agg((F.count("*") == 1).alias("__own")), unique)
+    ahead = Window.partitionBy(stratum).orderBy("__place").rowsBetween(0, step - 1)
+    chosen = counted.withColumn("__next", F.min(F.when(F.col("__own"), F.col("__place"))).over(ahead)).where(hit & F.col("__next").isNotNull())
+    return placed.join(chosen.select(F.col("__next").alias("__place")).distinct(), "__place", "left_semi").drop("__place")
+
+
+def scarce_copies(n: Column, wanted: int = 150, most: int = 3) -> Column:
+    """How often each row of a group of n is taken."""
+    return F.least(F.lit(most), F.ceil(wanted / n)).cast("int")
 
 
 def upsample(rows: DataFrame, key: str, copies: Column) -> DataFrame:

@@ -137,11 +137,6 @@ def all_rewards(x):
     )
 
 
-@query("a25_turn_means", f"""WITH {TURNS_SQL} SELECT CAST(turn AS INTEGER) AS turn, avg(length(message)) AS mean_chars, count(*) AS n, avg(CASE WHEN verdict = 'CRASH' THEN 1.0 ELSE 0.0 END) AS crash_share FROM turns GROUP BY turn""")
-def turn_means(x):
-    return turns(x).groupBy("turn").agg(F.avg(F.length("message")).alias("mean_chars"), F.count("*").alias("n"), stats.share(F.col("verdict") == "CRASH").alias("crash_share"))
-
-
 @query("a16_speedup_bands", f"""WITH {TURNS_SQL} SELECT CASE WHEN speedup < 0.95 THEN 'slower' WHEN speedup < 1.05 THEN 'equal' ELSE 'faster' END AS band, floor(greatest(-2.0, log2(greatest(speedup, 1e-6))) * 16) / 16 AS bin, count(*) AS n
   FROM turns WHERE verdict = 'PASS' GROUP BY ALL""")
 def bands(x):

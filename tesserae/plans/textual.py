@@ -57,12 +57,6 @@ def failure_lines(x):
     return x.documents.select("doc_id", found.alias("l")).select("doc_id", F.size("l").cast("long").alias("n"), F.get("l", F.lit(0)).alias("first"))
 
 
-@query("k5_html", r"""SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '(?:href|src)="([^"]+)"', 1))) AS links, CAST(len(list_filter(regexp_split_to_array(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r]+'), lambda w: w <> '')) AS BIGINT) AS n_words FROM pages""")
-def html(x):
-    words = F.filter(F.split(F.regexp_replace("html", "<[^>]*>", " "), "[ \t\n\r]+"), lambda w: w != "")
-    return x.pages.select("page_id", F.sort_array(F.array_distinct(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]+)"'), 1))).alias("links"), F.size(words).cast("long").alias("n_words"))
-
-
 @query("u6_url_hosts", r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1)) AS n FROM pages")
 def hosts(x):
     p = x.pages.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
@@ -86,25 +80,6 @@ def water_fill(x):
     return curation.water_fill(d, "source", "doc_id", d.agg(F.floor(F.count("*") / 3).cast("long").alias("budget")))
 
 
-@query("w13_stratified_dev", "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('0:' || doc_id)) - 1 AS i FROM documents) SELECT doc_id, lang FROM r WHERE i % 20 = 3")
-def dev(x):
-    return curation.systematic_sample(x.documents.select("doc_id", "lang"), "lang", "doc_id", 20, 3)
-
-
-@query("m2_upsample", "SELECT CASE WHEN i = 0 THEN CAST(doc_id AS VARCHAR) ELSE doc_id || '#dup' || i END AS id FROM documents, range(3) AS r(i) WHERE i = 0 OR lang = 'es'")
-def upsample(x):
-    return curation.upsample(x.documents.select("doc_id", "lang"), "doc_id", F.when(F.col("lang") == "es", 3).otherwise(1)).select("id")
-
-
-@query("m4_accounting", """WITH d AS (SELECT doc_id, sha256(text) AS sha, length(text) AS n, coalesce(quality, 1) AS q FROM documents LEFT JOIN labels USING (doc_id)), f AS (SELECT sha, min(doc_id) AS first FROM d GROUP BY 1)
-SELECT CASE WHEN q = 0 THEN 'quality' WHEN doc_id <> first THEN 'duplicate' WHEN n / 3.5 > 1000 THEN 'too_long' ELSE 'kept' END AS reason, count(*) AS n FROM d JOIN f USING (sha) GROUP BY 1""")
-def accounting(x):
-    d = x.documents.select("doc_id", F.sha2("text", 256).alias("sha"), text.token_estimate(F.col("text")).alias("tokens")).join(x.labels.select("doc_id", "quality"), "doc_id", "left")
-    first = d.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    reason = F.when(F.coalesce("quality", F.lit(1)) == 0, "quality").when(F.col("doc_id") != F.col("first"), "duplicate").when(F.col("tokens") > 1000, "too_long").otherwise("kept")
-    return d.join(first, "sha").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("w2_scan_order_dedup", "WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY role, sha256(text) ORDER BY conv_id, turn) AS n FROM conversations) SELECT conv_id, turn FROM r WHERE n = 1")
 def scan_order(x):
     first = x.conversations.groupBy("role", F.sha2("text", 256).alias("sha")).agg(F.min(F.struct("conv_id", "turn")).alias("f"))
@@ -114,20 +89,3 @@ def scan_order(x):
 @query("j10_lagged_roles", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations")
 def lagged(x):
     return x.conversations.select("conv_id", "turn", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before"))
-
-
-@query("f19_source_features")
-def source_features(x):
-    """Parsed features of code made from the part names; parsing only, nothing is run."""
-    from tesserae.functions import source
-
-    code = F.format_string("import triton\n@triton.jit\ndef k%d(x):\n    return tl.load(x)\n\ndef run(x):\n    k%d[(1,)](x)\n", F.col("p_partkey") % 50, F.col("p_partkey") % 50)
-    return x.part.select("p_partkey", source.features(code).alias("f")).select("p_partkey", "f.*")
-
-
-@query("r1_cache_stream", "SELECT event_type, count(DISTINCT props) AS n_keys FROM events GROUP BY 1")
-def cache_stream(x):
-    """Cache keys of a stream, each once (the stream part is an extension: the watermark is ours), counted by kind."""
-    from tesserae.streaming import cache
-
-    return cache.distinct_keys(x.spark, f"{x.folder}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n_keys"))

@@ -18,6 +18,22 @@ def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return lines.select(parsed.alias("r")).select("r.*")
 
 
+def schema_of(ddl: str) -> StructType:
+    return StructType.fromDDL(ddl)
+
+
+def read_if_there(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """As `read`; no rows where the path leads nowhere."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return read(spark, path, schema)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], StructType([*schema.fields]).add(BAD, StringType()))
+
+
 def good(rows: DataFrame) -> DataFrame:
     return rows.where(F.col(BAD).isNull()).drop(BAD)
 

@@ -8,17 +8,28 @@ from pyspark.sql import functions as F
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line) of whole text files, each of which is small."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
-def values(text: Column) -> Column:
-    """A map of the `key: value` lines of a text; the last of a key wins."""
-    pairs = F.transform(F.filter(F.split(text, "\n"), lambda s: s.rlike(r"^\w+: ")), lambda s: F.struct(F.regexp_extract(s, r"^(\w+): ", 1).alias("k"), F.regexp_extract(s, r"^\w+: (.*)$", 1).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+def values(text: Column, keys: list[str]) -> dict[str, Column]:
+    """The values of these keys in `key: value` lines; the last of a key wins, a missing one is null."""
+    return {k: F.try_element_at(F.regexp_extract_all(text, F.lit(rf"(?m)^{k}: (.*)$"), 1), F.lit(-1)) for k in keys}
 
 
 def number(value: Column) -> Column:
     """A number that may end in x or %; null otherwise."""
     return F.regexp_replace(value, "[x%]$", "").try_cast("double")
+
+
+#: Lines of a training log.
+TURN = r"^\[turn (\d+)\] (\w+): (\d+) chars$"
+STEP = r"^step (\d+): (\w+)=([-+.eE\d]+)$"
+
+
+def log_rows(lines: DataFrame) -> DataFrame:
+    """(kind, n, name, value) of the lines that say a turn or a step; others are left out."""
+    line = F.col("value")
+    kind = F.when(line.rlike(TURN), "turn").when(line.rlike(STEP), "step")
+    part = lambda i: F.when(F.col("kind") == "turn", F.regexp_extract("value", TURN, i)).otherwise(F.regexp_extract("value", STEP, i))
+    return lines.withColumn("kind", kind).where("kind IS NOT NULL").select("kind", part(1).cast("long").alias("n"), part(2).alias("name"), part(3).cast("double").alias("value"))

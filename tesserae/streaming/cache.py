@@ -1,22 +1,63 @@
-"""A result cache over a stream: each key once within its lifetime."""
+"""A result cache over a stream: exact lifetimes by keyed state, late results dropped by a watermark, counters."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.storage import shared_dir
 
+LIFETIME_DAYS = 7
+REPLIES = "key string, event_id long, hit boolean, stored_id long"
 
-def distinct_keys(spark: SparkSession, path: str, lifetime: str = "400 days") -> DataFrame:
-    """The first event of each key of an events file, read as a stream to its end and written to the shared folder."""
-    schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path.replace(".parquet", "*.parquet"))  # a stream reads folders or patterns
-    events = events.withColumn("at", F.col("ts").cast("timestamp"))
-    keyed = events.select("event_type", "at", F.sha2(F.concat_ws("\0", "event_type", "props"), 256).alias("key"))
-    unique = keyed.withWatermark("at", lifetime).dropDuplicatesWithinWatermark(["key"])
+
+def _run(spark: SparkSession, stream: DataFrame, schema: str) -> DataFrame:
+    """All that a stream gives until its source ends, written to the shared folder."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    unique.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("event_type string, at timestamp, key string").parquet(f"{base}/out")
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+def replies(spark: SparkSession, pattern: str, lifetime_days: float = LIFETIME_DAYS) -> DataFrame:
+    """Per event (event_id, ts, event_type, props): whether its key's stored result is still alive, and which event stored it.
+
+    A result lives for `lifetime_days` from when it was stored; a hit doesn't prolong it.  State is one row a key; the
+    events of a key in one batch are taken in the order of their time.
+    """
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    events = spark.readStream.schema(schema).parquet(pattern)
+    keyed = events.select(F.sha2(F.concat_ws("\0", "event_type", "props"), 256).alias("key"), "event_id", F.unix_micros("ts").alias("at"))
+    alive = int(lifetime_days * 86_400_000_000)
+
+    def serve(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        expires, stored = state.get if state.exists else (None, None)
+        for events in [pd.concat(list(batches)).sort_values(["at", "event_id"])]:
+            out = []
+            for event, at in zip(events["event_id"].tolist(), events["at"].tolist(), strict=True):
+                hit = expires is not None and at <= expires
+                if not hit:
+                    expires, stored = at + alive, event
+                out.append((key[0], event, hit, stored))
+            state.update((expires, stored))
+            yield pd.DataFrame(out, columns=["key", "event_id", "hit", "stored_id"])
+
+    served = keyed.groupBy("key").applyInPandasWithState(serve, REPLIES, "expires long, stored long", "append", "NoTimeout")
+    return _run(spark, served, REPLIES)
+
+
+def in_time(spark: SparkSession, batches: list[DataFrame], delay: str) -> DataFrame:
+    """The results (event_id, ts) of batches that come one after another; what is older than the watermark of the batches before is dropped."""
+    path = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    for df in batches:
+        df.select("event_id", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    return _run(spark, stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"]), "event_id long, ts timestamp")
+
+
+def counters(found: DataFrame) -> DataFrame:
+    """How many events came, how many were served from the cache, their share, and how many results are stored."""
+    return found.agg(F.count("*").alias("enqueued"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.count_distinct("key").alias("n_keys"))
