@@ -22,8 +22,8 @@ def _fill_sql(name: str, where: str, budget: str) -> str:
 CORE, REPAIR = "source IN ('src0', 'src1') AND lang <> 'es'", "lang = 'es'"
 GENERIC = "source NOT IN ('src0', 'src1') AND lang <> 'es'"
 MIX_SQL = f"""k AS (SELECT count(*) // 2 AS target, count(*) FILTER ({CORE}) AS nc, count(*) FILTER ({GENERIC}) AS ng, count(*) FILTER ({REPAIR}) AS nr FROM rows),
-k1 AS (SELECT *, least(nc, target) AS core FROM k), k2 AS (SELECT *, least(ng, greatest(0, least(target - core, CAST(floor(core * 0.4 / (1 - 0.4)) AS BIGINT)))) AS generic FROM k1),
-k3 AS (SELECT *, least(nr, CAST(floor((core + generic) * 0.1 / (1 - 0.1)) AS BIGINT)) AS repair FROM k2),
+k1 AS (SELECT *, least(nc, target) AS core FROM k), k2 AS (SELECT *, least(ng, greatest(0, least(target - core, CAST(floor(core * 0.4e0 / (1 - 0.4e0)) AS BIGINT)))) AS generic FROM k1),
+k3 AS (SELECT *, least(nr, CAST(floor((core + generic) * 0.1e0 / (1 - 0.1e0)) AS BIGINT)) AS repair FROM k2),
 {_fill_sql("mc", CORE, "(SELECT core FROM k3)")}, {_fill_sql("mg", GENERIC, "(SELECT generic FROM k3)")}, {_fill_sql("mr", REPAIR, "(SELECT repair FROM k3)")},
 mixed AS (SELECT doc_id, 'core' AS part FROM mc UNION ALL SELECT doc_id, 'generic' FROM mg UNION ALL SELECT doc_id, 'repair' FROM mr)"""
 
