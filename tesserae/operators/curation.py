@@ -12,12 +12,13 @@ def quotas(sizes: DataFrame, group: str, budget: DataFrame) -> DataFrame:
     """(group, quota): the largest common cap whose takes fit the budget; what is left goes to the largest groups, by name.
 
     sizes: one row per group (`n`); budget: one row (`budget`).  The candidates for the cap are the group sizes: between
-    two of them the sum grows by the number of larger groups with each step, so the cap follows by division.
+    two of them the sum grows by the number of larger groups with each step, so the cap follows by division; every candidate's
+    take fits, so the greatest is the cap.
     """
     w = Window.orderBy("n", group)  # over one row per group only
     by = sizes.crossJoin(budget).withColumns({"below": F.sum("n").over(w) - F.col("n"), "above": F.count("*").over(Window.partitionBy()) - F.row_number().over(w) + 1})
-    cap = by.agg(F.max("budget").alias("budget"), F.sum("n").alias("total"), F.max("n").alias("most"), F.max(F.when(F.col("below") < F.col("budget"), F.struct(F.col("n").alias("k"), F.least("n", F.floor((F.col("budget") - F.col("below")) / F.col("above"))).alias("cap")))).alias("c"))
-    cap = cap.select("budget", F.when(F.col("total") <= F.col("budget"), F.col("most")).otherwise(F.coalesce("c.cap", F.lit(0))).alias("cap"))
+    cap = by.agg(F.max("budget").alias("budget"), F.sum("n").alias("total"), F.max("n").alias("most"), F.max(F.when(F.col("below") < F.col("budget"), F.least("n", F.floor((F.col("budget") - F.col("below")) / F.col("above"))))).alias("c"))
+    cap = cap.select("budget", F.when(F.col("total") <= F.col("budget"), F.col("most")).otherwise(F.coalesce("c", F.lit(0))).alias("cap"))
     taken = sizes.crossJoin(cap).withColumn("take", F.least("n", "cap"))
     place = F.row_number().over(Window.orderBy(F.desc("n"), group))
     rest = F.col("budget") - F.sum("take").over(Window.partitionBy())
