@@ -20,7 +20,7 @@ The number of jobs is fixed but for the rounds of the stars.  What is lost: a pa
 with probability (1 - s**3)**14 for a similarity s (below 0.0001 at 0.8), unless other links put it into one class.
 Pairs inside one class are not all compared, so n_links counts the links found, not all there are.
 
-Null or wordless text, or null key: a class of its own (null for a null key), kept.  Rows with equal keys are one row.
+Null text or null key: a class of its own (null for a null key), kept.  Texts without a word are all equal: one class.  Rows with equal keys are one row.
 Very long texts are one vector in one row.  Other columns are ignored.
 """
 
@@ -280,8 +280,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     n_links = links.select(F.explode(F.array("a", "b")).alias("least")).groupBy("least").agg(F.count("*").alias("n_links"))
     classes = member.join(group.withColumnRenamed("node", "least"), "least", "left").join(n_links, "least", "left")
     classes = classes.select(F.col("key").alias("__key"), F.coalesce("component", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = keyed.select("__key").join(classes, "__key", "left")
-    return out.select(F.col("__key").alias(key), F.coalesce("class_id", "__key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("class_id") == F.col("__key"), F.lit(True)).alias("kept"))
+    blank = F.col("__text").isNotNull() & (F.length(F.translate("__text", " \t\n\x0b\x0c\r", "")) == 0)
+    first_blank = keyed.where(blank).agg(F.min("__key").alias("first_blank"))
+    out = keyed.select("__key", blank.alias("blank")).crossJoin(F.broadcast(first_blank)).join(classes, "__key", "left")
+    class_id = F.when(F.col("blank") & F.col("__key").isNotNull(), F.col("first_blank")).otherwise(F.coalesce("class_id", "__key"))
+    out = out.withColumn("class_id", class_id)
+    return out.select(F.col("__key").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("class_id") == F.col("__key"), F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,6 +19,11 @@ from tests.comparing import assert_same
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+@pytest.fixture(scope="module", params=["sf0.001", "sf0.01"])
+def sf_dir(request):
+    return f"/root/testdata/{request.param}"
+
+
 @pytest.fixture(scope="module")
 def documents(sf_dir):
     return [(r["doc_id"], r["text"] or "") for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()]
