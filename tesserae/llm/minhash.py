@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import BROADCAST_KEYS, batched, bounded, cut, read, rows, with_key
+from tesserae.llm.common import BROADCAST_KEYS, WORD_CLASS, batched, bounded, cut, read, rows, with_key
 from tesserae.llm.components import components
 from tesserae.llm.runs import SENT, SENT_DDL, batches_of, by_bucket, each_destination, each_run, make_runs, pack, plan, unpack, with_runs
 from tesserae.llm.substring import RunWords
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     n_links = links.select(F.explode(F.array("a", "b")).alias("least")).groupBy("least").agg(F.count("*").alias("n_links"))
     classes = member.join(group.withColumnRenamed("node", "least"), "least", "left").join(n_links, "least", "left")
     classes = classes.select(F.col("key").alias("__key"), F.coalesce("component", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    blank = F.col("__text").isNotNull() & (F.length(F.translate("__text", " \t\n\x0b\x0c\r", "")) == 0)
+    blank = ~F.col("__text").rlike(WORD_CLASS)  # null for a null text
     first_blank = keyed.where(blank).agg(F.min("__key").alias("first_blank"))
     out = keyed.select("__key", blank.alias("blank")).crossJoin(F.broadcast(first_blank)).join(classes, "__key", "left")
     class_id = F.when(F.col("blank") & F.col("__key").isNotNull(), F.col("first_blank")).otherwise(F.coalesce("class_id", "__key"))
