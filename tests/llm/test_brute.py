@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from tesserae.llm import quality, secrets
-from tests.llm.test_contracts import WORD, chunked, shingle_weights, weighted_jaccard
+from tests.llm.test_contracts import WORD, shingle_weights, weighted_jaccard, without_repeats
 
 NAMES = "token|secret|password|passwd|pwd|api_?key|apikey|access_?key|auth|bearer|credential|private_?key"
 BENIGN = "commit|sha1?|sha256|hash|md5|checksum|digest|uuid|guid|version|build|etag|revision|id|file|path|url|example|integrity"
@@ -106,20 +106,6 @@ def masked(text, found):
     return "".join(parts)
 
 
-def without_repeats(rows):
-    seen, out = set(), []
-    for k, t in sorted(rows):
-        kept = []
-        for _, chunk in chunked(t):
-            counts = sum(bool(x.strip()) for x in chunk.split("\n")) >= 2
-            if not (counts and chunk in seen):
-                kept.append(chunk)
-            if counts:
-                seen.add(chunk)
-        out.append((k, "\n".join(kept)))
-    return out
-
-
 def first_of_classes(rows):
     vectors, parent = shingle_weights(rows), {k: k for k, _ in rows}
 
@@ -152,7 +138,7 @@ def test_pipeline_stages(spark, sf_dir, texts, forest):
     good = {k for k, kept in judged.execute(f"SELECT doc_id, kept FROM ({quality.ORACLE_SQL})").fetchall() if kept}
     rows = [(k, t) for k, t in texts if k in good]
     assert found["quality_rules"] == dict(rows)
-    rows = without_repeats(rows)
+    rows = [(k, t) for k, _, t in without_repeats(rows)]
     assert found["line_dedup"] == dict(rows)
     rows = first_of_classes(rows)
     assert found["near_dedup"] == dict(rows)

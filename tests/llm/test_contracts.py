@@ -223,19 +223,55 @@ def chunked(t):
     return [(c[0], "\n".join(lines[c[0] : c[-1] + 1])) for c in out if c]
 
 
+def without_repeats(held):
+    """(key, lines removed, text): chunks seen before go, with the lines around them that are those around the first, within the chunks next to both."""
+    first, out = {}, []
+    for k, t in sorted(held):
+        lines, found, gone = t.split("\n"), [(place, body.split("\n")) for place, body in chunked(t)], set()
+        for i, (place, chunk) in enumerate(found):
+            if sum(bool(x.strip()) for x in chunk) < 2:
+                continue
+            before = found[i - 1][1][::-1] if i else []
+            after = found[i + 1][1] if i + 1 < len(found) else []
+            if tuple(chunk) not in first:
+                first[tuple(chunk)] = before, after
+                continue
+            gone |= set(range(place, place + len(chunk)))
+            for mine, other, at, step in ((before, first[tuple(chunk)][0], place - 1, -1), (after, first[tuple(chunk)][1], place + len(chunk), 1)):
+                for x, y in zip(mine, other):
+                    if x != y:
+                        break
+                    gone.add(at)
+                    at += step
+        out.append((k, len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    return out
+
+
 def test_lines(spark, sf_dir, documents):
-    seen, want = set(), {}
-    for k, t in sorted(documents):
-        kept, gone = [], 0
-        for _, body in chunked(t):
-            n = body.count("\n") + 1
-            counts = sum(bool(x.strip()) for x in body.split("\n")) >= 2
-            if counts and body in seen:
-                gone += n
-            else:
-                kept.append(body)
-            if counts:
-                seen.add(body)
-        want[k] = gone, sha("\n".join(kept).encode())
+    want = {k: (n, sha(t.encode())) for k, n, t in without_repeats(documents)}
     got = rows(spark, sf_dir, "op4_line_dedup")
     assert {r["doc_id"]: (r["n_removed_lines"], r["kept_sha256"]) for r in got} == want
+    assert sum(n for n, _ in want.values()) > 0
+
+
+def test_lines_around_chunks(spark):
+    """Passages cut differently at their ends, many copies dealt to several parts, and no line lost for good."""
+    import random
+
+    from tesserae.llm import lines
+
+    draw = random.Random(4)
+    passage = [f"shared line {i} of the passage" for i in range(9)]
+    held = []
+    for k in range(60):
+        own = [[f"own {draw.random()}" for _ in range(draw.randint(1, 4))] for _ in range(2)]
+        a, b = draw.randint(0, 3), draw.randint(6, 9)
+        held.append((k, "\n".join(own[0] + passage[a:b] + own[1] + ["x"] * draw.randint(0, 3))))
+    lines_parts, lines.CLASS_ROWS = lines.CLASS_ROWS, 3
+    try:
+        got = lines.remove_repeats(spark.createDataFrame(held, "doc_id long, text string").repartition(4), removed="n").collect()
+    finally:
+        lines.CLASS_ROWS = lines_parts
+    want = without_repeats(held)
+    assert sorted((r["doc_id"], r["n"], r["text"]) for r in got) == want
+    assert {x for _, t in held for x in t.split("\n")} == {x for _, _, t in want for x in t.split("\n")}
