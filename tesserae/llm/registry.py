@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, chat, lines, minhash, packing, quality, secrets, substring, suffixes, topk
+from tesserae.llm import bpe, chat, lines, minhash, packing, pieces, quality, secrets, substring, suffixes, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_chat_perspectives": chat.op9_chat_perspectives,
     "op10_topk": topk.op10_topk,
+    "op13_piece_bpe": pieces.op13_piece_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
