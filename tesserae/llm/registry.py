@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, chat, lexical, lines, minhash, packing, pieces, quality, secrets, substring, suffixes, topk
+from tesserae.llm import bpe, chat, codes, lexical, lines, minhash, packing, pieces, quality, secrets, substring, suffixes, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_chat_perspectives": chat.op9_chat_perspectives,
     "op10_topk": topk.op10_topk,
+    "op11_vector_codes": codes.op11_vector_codes,
     "op12_lexical_search": lexical.op12_lexical_search,
     "op13_piece_bpe": pieces.op13_piece_bpe,
 }
@@ -23,5 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE_SQL,
     "op9_chat_perspectives": chat.ORACLE_SQL,
     "op10_topk": topk.ORACLE_SQL,
+    "op11_vector_codes": codes.ORACLE_SQL,
     "op12_lexical_search": lexical.ORACLE_SQL,
 }
