@@ -20,7 +20,9 @@ The number of jobs is fixed but for the rounds of the stars.  What is lost: a pa
 with probability (1 - s**3)**14 for a similarity s (below 0.0001 at 0.8), unless other links put it into one class.
 Pairs inside one class are not all compared, so n_links counts the links found, not all there are.
 
-Null text or null key: a class of its own (null for a null key), kept.  Texts without a word are all equal: one class.  Rows with equal keys are one row.
+Rows are told apart by their number (their run and place in it), not by key: each input row gives one row, and of each
+class exactly one row is kept, that of the smallest key, of equal keys that of the smallest text hash, of equal rows any.
+Null text or null key: a class of its own (null for a null key), kept.  Texts without a word are all equal: one class.
 Very long texts are one vector in one row.  Other columns are ignored.
 """
 
@@ -32,12 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import BROADCAST_KEYS, WORD_CLASS, batched, bounded, cut, read, rows, with_key
+from tesserae.llm.common import batched, bounded, cut, free_name, read, rows
 from tesserae.llm.components import components
-from tesserae.llm.runs import SENT, SENT_DDL, batches_of, by_bucket, each_destination, each_run, make_runs, pack, plan, unpack, with_runs
+from tesserae.llm.runs import ROW_BYTES, RUN_BYTES, SENT, SENT_DDL, batches_of, by_bucket, each_destination, each_run, make_runs, pack, plan, unpack, unpack_texts, with_runs
 from tesserae.llm.substring import RunWords
 
 SHINGLE = 5
@@ -45,9 +48,17 @@ THRESHOLD = 0.8
 BANDS, ROWS = 14, 3
 IDF_SHARE = 0.5
 CELL = 256
+#: Of Spark's xxhash64.
+SEED = 42
 #: Bits of a shingle's hash beyond those that a mere filter would need.
 MORE_BITS = 12
 
+#: Bits of a row's number that say its place in its run.
+PLACE_BITS = 17
+assert RUN_BYTES // ROW_BYTES <= 1 << PLACE_BITS
+
+WHO = pa.schema([("node", pa.int64()), ("key", pa.int64()), ("row", pa.int64()), ("blank", pa.bool_())])
+WHO_DDL = "node long, key long, row long, blank boolean"
 VECTOR = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("vector", pa.binary()), ("prefix", pa.binary())])
 VECTOR_DDL = "key long, digest binary, bands array<long>, vector binary, prefix binary"
 ENTRY = pa.schema([("key", pa.int64()), ("component", pa.int64()), ("shingle", pa.int64()), ("before", pa.float64()), ("total", pa.float64())])
@@ -152,8 +163,26 @@ def band_hashes(found: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def numbered(run: int, place: int) -> int:
+    if run >> 63 - PLACE_BITS:
+        raise OverflowError("too many runs to number their rows")
+    return run << PLACE_BITS | place
+
+
+def _who(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's number, key, hash of its text (null for a null text) and whether it has no word (null for a null text)."""
+
+    def found():
+        for run, data in rows(batches, "run", "data"):
+            for place, (k, raw) in enumerate(unpack_texts(data)):
+                known = raw is not None
+                yield numbered(run, place), k, struct.unpack("<q", xxhash.xxh64_digest(raw, SEED)[::-1])[0] if known else None, not raw.strip() if known else None
+
+    return batched(found(), WHO, 50_000)
+
+
 def _vectors(n_docs: int, bits: int):
-    """A document that may have a partner: digest, band hashes, the vector (its shared shingles, their weights, the whole weight), and its prefix."""
+    """A document that may have a partner: its number, digest, band hashes, the vector (its shared shingles, their weights, the whole weight), and its prefix."""
 
     def receive(run: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
         told: list[list[np.ndarray]] = []
@@ -186,7 +215,7 @@ def _vectors(n_docs: int, bits: int):
                 digest = hashlib.blake2b(hashes[part].tobytes() + weight[part].tobytes(), digest_size=16).digest()
                 both = df[part] > 1
                 vector = struct.pack("<d", float(total[chosen][i])) + pack(hashes[part][both], weight[part][both].astype(np.float64).view(np.int64))
-                yield own.keys[doc], digest, found[i].tolist(), vector, prefix(hashes[part], weight[part], df[part])
+                yield numbered(run, doc), digest, found[i].tolist(), vector, prefix(hashes[part], weight[part], df[part])
 
     return receive
 
@@ -263,9 +292,8 @@ def _links(vectors: DataFrame) -> DataFrame:
     return found.unionByName(_compared(pairs, vectors)).where(similar)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, class_id (the smallest key of its class), n_links (links found to or from its text's representative), kept."""
-    keyed = with_key(docs, key, text)
+def _classified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, row, class_id, n_links, kept) of each input row; `row` is the hash of its text by Spark's xxhash64.  Written."""
     runs = make_runs(docs, key, text)
     buckets, parts, bits, n_docs = plan(runs)
     bits = min(62, bits + MORE_BITS)
@@ -273,25 +301,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     vectors = cut(each_destination(with_runs(runs, counts), _vectors(n_docs, bits), VECTOR, VECTOR_DDL, parts))
     equal = vectors.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     member = vectors.select("key", "digest").join(bounded(equal), "digest", "left")
-    member = cut(member.select("key", F.coalesce("least", "key").alias("least")).distinct())
-    alone = vectors.join(member.where("key = least").select("key"), "key", "left_semi").dropDuplicates(["key"])
-    links = cut(_links(cut(alone)))
+    member = cut(member.select("key", F.coalesce("least", "key").alias("least")))
+    links = cut(_links(cut(vectors.join(member.where("key = least").select("key"), "key", "left_semi"))))
     group = components(links)
     n_links = links.select(F.explode(F.array("a", "b")).alias("least")).groupBy("least").agg(F.count("*").alias("n_links"))
     classes = member.join(group.withColumnRenamed("node", "least"), "least", "left").join(n_links, "least", "left")
-    classes = classes.select(F.col("key").alias("__key"), F.coalesce("component", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    blank = ~F.col("__text").rlike(WORD_CLASS)  # null for a null text
-    first_blank = keyed.where(blank).agg(F.min("__key").alias("first_blank"))
-    out = keyed.select("__key", blank.alias("blank")).crossJoin(F.broadcast(first_blank)).join(classes, "__key", "left")
-    class_id = F.when(F.col("blank") & F.col("__key").isNotNull(), F.col("first_blank")).otherwise(F.coalesce("class_id", "__key"))
-    out = out.withColumn("class_id", class_id)
-    return out.select(F.col("__key").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("class_id") == F.col("__key"), F.lit(True)).alias("kept"))
+    classes = classes.select(F.col("key").alias("node"), F.coalesce("component", "least").alias("group"), "n_links")
+    # texts without a word are one group, of a number that no row has; rows without a vector are groups of one
+    keyed = F.col("blank") & F.col("key").isNotNull()
+    who = cut(runs.select("run", "data").mapInArrow(_who, WHO_DDL).join(classes, "node", "left").withColumn("group", F.when(keyed, F.lit(-1)).otherwise(F.coalesce("group", "node"))))
+    first = who.groupBy("group").agg(F.min(F.struct("key", "row", "node")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = who.join(bounded(first), "group", "left")
+    return cut(found.select("key", "row", F.coalesce("first.key", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("first.node") == F.col("node"), F.lit(True)).alias("kept")))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, class_id (the smallest key of its class), n_links (links found to or from its text's representative), kept."""
+    return _classified(docs, key, text).drop("row").withColumnRenamed("key", key)
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that are the first of their class, with all their columns."""
-    dropped = cut(near_duplicates(docs, key, text).where("NOT kept").select(key).distinct())
-    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_KEYS else dropped, key, "left_anti")
+    """The rows that are the first of their class, with all their columns; of rows of equal key and text at most one."""
+    fates = cut(_classified(docs, key, text).groupBy("key", "row").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("n_kept")).where("n > n_kept"))
+    own, row = free_name(docs, "__key"), free_name(docs, "__row")
+    marked = docs.withColumn(own, F.col(key).cast("long")).withColumn(row, F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text).cast("string"))))
+    fates = fates.select(F.col("key").alias("__fate_key"), F.col("row").alias("__fate_row"), (F.col("n_kept") > 0).alias("__once"))
+    gone = F.col(own).eqNullSafe(F.col("__fate_key")) & F.col(row).eqNullSafe(F.col("__fate_row"))
+    rest = marked.join(bounded(fates.drop("__once")), gone, "left_anti").drop(own, row)
+    once = marked.join(bounded(fates.where("__once").drop("__once")), gone, "left_semi").dropDuplicates([own, row]).drop(own, row)
+    return rest.unionByName(once)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import cut, rows, shuffle_parts, with_key
 
 RUN_BYTES = 3 << 20
+#: What a row counts besides its text.
+ROW_BYTES = 24
 #: Destinations for each shuffle partition at least, and bytes of text for each destination at most.
 SPREAD = 2
 DESTINATION_BYTES = 12 << 20
@@ -67,7 +69,7 @@ def make_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run_byte
 
         for k, t in rows(batches, "__key", "__text"):
             held.append((k, t))
-            size += len(t or "") + 24
+            size += len(t or "") + ROW_BYTES
             if size >= run_bytes:
                 yield out()
                 held, size, n = [], 0, n + 1
