@@ -9,8 +9,8 @@ around a line feed, so each word with its markers is segmented by itself, whatev
    feed with the rest of a word behind it.
 2. The chunks of all blocks meet in the chunk table, dealt by hash.  There each different one is segmented once, with
    many others in one call of the library, parted by line feeds.
-3. The ids go back to the blocks, one message for each part of the table, and are joined to the positions.  A block
-   decodes the ids of each of its chunks once.
+3. The ids go back to the blocks, one message for each part of the table, and are joined to the positions where these
+   lie, in buckets.  A block decodes the ids of each of its chunks once.
 
 What is sent of a chunk is one entry for each block that holds it, however often it occurs there, so a frequent word
 costs no more than a rare one.  Ids end with the end id; decoded texts are those of the library's decode(ids).
@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -36,8 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, read, rows, shuffle_parts, with_key
-from tesserae.llm.runs import SENT, SENT_DDL, batches_of, each_destination, pack, unpack, with_runs
+from tesserae.llm.common import read, rows, shared_dir, shuffle_parts, with_key
+from tesserae.llm.runs import SENT, SENT_DDL, batches_of, each_destination, pack, unpack
 
 MARK = "▁"
 BLOCK_BYTES = 24 << 20
@@ -153,7 +154,7 @@ def _unpack_words(data: bytes) -> list[bytes]:
 
 
 def make_blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(run, size of the chunks, words, data), written to the shared folder: a block's number means the same rows in every later job."""
+    """(run, size of the chunks, words, data), in buckets: a block's number means the same rows in every later job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n = TaskContext.get().partitionId() << 24, 0
@@ -182,7 +183,16 @@ def make_blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_B
         if keys:
             yield out()
 
-    return cut(with_key(docs, key, text).mapInArrow(run, BLOCK_DDL))
+    return bucketed(with_key(docs, key, text).mapInArrow(run, BLOCK_DDL), "run")
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Written to the shared folder in buckets by `key`, so that joins on it leave these rows where they lie.  Nothing stays in the catalogue."""
+    spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_parts(spark), key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def _ask(parts: int):
@@ -236,19 +246,14 @@ class Block:
 
 def _each(docs: DataFrame, model: str, key: str, text: str, make: Callable[[Block, Pieces], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
     blocks = make_blocks(docs, key, text)
-    least = shuffle_parts(blocks.sparkSession)
-    parts = max(least, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
+    parts = max(shuffle_parts(blocks.sparkSession), -(-(blocks.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
     told = each_destination(blocks.select("run", "words").mapInArrow(_ask(parts), SENT_DDL), _table(model), SENT, SENT_DDL, parts)
+    told = told.groupBy(F.col("dest").alias("run")).agg(F.collect_list("data").alias("told"))  # one for each part of the table
 
-    def receive(block: int, sent: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
-        answers: list[bytes] = []
-        for kind, data in sent:
-            if kind == 0:
-                answers.append(data)
-            else:
-                yield from make(Block(data, answers), _pieces(model))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_of((x for data, answers in rows(batches, "data", "told") for x in make(Block(data, answers or []), _pieces(model))), schema)
 
-    return each_destination(with_runs(blocks, told), receive, schema, ddl, least)
+    return blocks.select("run", "data").join(told.hint("merge"), "run", "left").select("data", "told").mapInArrow(run, ddl)
 
 
 def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
