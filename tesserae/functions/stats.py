@@ -1,27 +1,11 @@
-"""Aggregates whose definitions differ in detail; every percentile says which one it is."""
+"""Aggregates whose definitions differ in detail; percentiles are in operators.selection."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def values_at(rows: DataFrame, keys: list[str], value: str, index: dict[str, Column]) -> DataFrame:
-    """Per group: the keys, n, and the values at these places (from 0) in order, each a column of `n`; nulls are left out.
-
-    Works by counts of distinct values, so that no group is gathered as a list.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys)
-    run = counts.withColumns({"upto": F.sum("c").over(w.orderBy(value)), "n": F.sum("c").over(w)})
-    at = [F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in index.items()]
-    return run.groupBy(*keys, "n").agg(*at)
-
-
-def percentile_linear(value: Column, q: float) -> Column:
-    return F.percentile(value, F.lit(q))
-
-
 def cv_percent(value: Column) -> Column:
     """100 * population deviation / mean; 0 where the mean is 0."""
     return F.when(F.avg(value) == 0, F.lit(0.0)).otherwise(100 * F.stddev_pop(value) / F.avg(value))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import hash_order
+from tesserae.operators.ranks import first_by_hash, numbered
+from tesserae.storage import bounded, cut
 
 
 def quotas(sizes: DataFrame, group: str, budget: DataFrame) -> DataFrame:
@@ -27,10 +29,9 @@ def quotas(sizes: DataFrame, group: str, budget: DataFrame) -> DataFrame:
 
 
 def water_fill(rows: DataFrame, group: str, key: str, budget: DataFrame, seed: int = 0) -> DataFrame:
-    """At most `budget` rows, as evenly over groups as their sizes allow, in hash order within a group."""
+    """At most `budget` rows, as evenly over groups as their sizes allow, those first in hash order within a group."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(hash_order(seed, F.col(key))))
-    return rows.join(quotas(sizes, group, budget), group).withColumn("__place", place).where(F.col("__place") <= F.col("quota")).select(rows.columns)
+    return first_by_hash(rows, group, hash_order(seed, F.col(key)), cut(quotas(sizes, group, budget)))
 
 
 def mix(rows: DataFrame, group: str, key: str, core: Column, repair: Column, target: int | Column, generic_share: float, repair_share: float, seed: int = 0) -> DataFrame:
@@ -53,17 +54,18 @@ def mix(rows: DataFrame, group: str, key: str, core: Column, repair: Column, tar
 
 def systematic_sample(rows: DataFrame, stratum: str, key: str, step: int, offset: int, seed: int = 0, unique: str | None = None) -> DataFrame:
     """Every `step`-th row of all strata one after another, each in hash order.  With `unique`, a row whose value there occurs more than once gives way to the next of its stratum, less than `step` on, whose value is its own."""
-    sizes = rows.groupBy(stratum).agg(F.count("*").alias("__n"))
-    sizes = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy(stratum)) - F.col("__n")).drop("__n")  # one row for each stratum
-    w = Window.partitionBy(stratum).orderBy(hash_order(seed, F.col(key)))
-    placed = rows.join(F.broadcast(sizes), stratum).withColumn("__place", F.col("__before") + F.row_number().over(w) - 1).drop("__before")
-    hit = F.col("__place") % step == offset
+    placed = numbered(rows, [F.col(stratum).asc_nulls_first(), hash_order(seed, F.col(key))], "__place")
+    hit = F.pmod(F.col("__place") - offset, F.lit(step)) == 0
     if unique is None:
-        return placed.where(hit).drop("__place")
-    counted = placed.join(rows.groupBy(unique).agg((F.count("*") == 1).alias("__own")), unique)
-    ahead = Window.partitionBy(stratum).orderBy("__place").rowsBetween(0, step - 1)
-    chosen = counted.withColumn("__next", F.min(F.when(F.col("__own"), F.col("__place"))).over(ahead)).where(hit & F.col("__next").isNotNull())
-    return placed.join(chosen.select(F.col("__next").alias("__place")).distinct(), "__place", "left_semi").drop("__place")
+        return placed.where(hit & (F.col("__place") >= offset)).drop("__place")
+    placed = cut(placed)
+    many = bounded(rows.groupBy(unique).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(unique).alias("__many")))
+    marked = placed.join(many, F.col(unique).eqNullSafe(F.col("__many")), "left").withColumn("__own", F.col("__many").isNull() & F.col(unique).isNotNull())
+    # each hit answers for itself and the places up to the next one
+    marked = marked.withColumn("__hit", F.col("__place") - F.pmod(F.col("__place") - offset, F.lit(step))).where("__hit >= 0")
+    nearest = marked.groupBy("__hit", stratum).agg(F.max(hit).alias("__is"), F.min(F.when(F.col("__own"), F.col("__place"))).alias("__next"))
+    chosen = nearest.where(F.col("__is") & F.col("__next").isNotNull()).select(F.col("__next").alias("__place"))
+    return placed.join(chosen, "__place", "left_semi").drop("__place")
 
 
 def scarce_copies(n: Column, wanted: int = 150, most: int = 3) -> Column:

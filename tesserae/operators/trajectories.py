@@ -140,15 +140,3 @@ def tie_probability(values: DataFrame, group: str, value: str, size: int) -> Dat
     per = counts.groupBy(group).agg(F.sum("c").alias("n"), F.collect_list("c").alias("cs")).where(F.col("n") >= size)
     p = F.aggregate("cs", F.lit(0.0), lambda a, c: a + F.when(c >= size, F.exp(log_choose(c) - log_choose(F.col("n")))).otherwise(F.lit(0.0)))
     return per.select(p.alias("p")).agg(F.count("*").alias("n_groups"), F.avg("p").alias("tie_probability"))
-
-
-def reordered_pairs(rewards: DataFrame, group: str, before: str, after: str) -> DataFrame:
-    """Pairs within a group whose order changes between two rewards: equal rows are counted first, so only different values of a task meet."""
-    counts = rewards.groupBy(group, before, after).agg(F.count("*").alias("n"))
-    a, b = counts.alias("a"), counts.alias("b")
-    above = (F.col(f"a.{before}") < F.col(f"b.{before}")) | ((F.col(f"a.{before}") == F.col(f"b.{before}")) & (F.col(f"a.{after}") < F.col(f"b.{after}")))
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & above)
-    d0, d1 = F.col(f"a.{before}") - F.col(f"b.{before}"), F.col(f"a.{after}") - F.col(f"b.{after}")
-    changed = (((d0 > 0) != (d1 > 0)) & (d0 != 0)) | ((d0 == 0) & (d1 != 0))
-    n = F.col("a.n") * F.col("b.n")
-    return pairs.where((d0 != 0) | (d1 != 0)).agg(F.coalesce(F.sum(n), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum(F.when(changed, n)), F.lit(0)).alias("n_changed"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import scores, stats
+from tesserae.operators import inversions
 from tesserae.operators import trajectories as t
+from tesserae.operators.selection import percentiles
 from tesserae.plans.registry import Tables, query
 
 TURNS_SQL = """turns AS (SELECT user_id || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) AS traj_id, user_id % 30 AS task_id,
@@ -122,7 +124,8 @@ d AS (SELECT a.reward - b.reward AS d0, a.shaped - b.shaped AS d1 FROM r a JOIN
 SELECT count(*) AS n_pairs, count(*) FILTER ((((d0 > 0) <> (d1 > 0)) AND d0 <> 0) OR (d0 = 0 AND d1 <> 0)) AS n_changed FROM d WHERE d0 <> 0 OR d1 <> 0""")
 def reordered(x):
     shaped = rewards(x).withColumn("shaped", F.col("reward") + 0.02 * F.col("n_turns"))
-    return t.reordered_pairs(shaped, "task_id", "reward", "shaped")
+    found = inversions.reordered_pairs(shaped, "task_id", "reward", "shaped")
+    return found.select(F.col("n_pairs").cast("long").alias("n_pairs"), F.col("n_changed").cast("long").alias("n_changed"))
 
 
 @query("f25_rewards", f"""{EPISODES_SQL} SELECT traj_id, reward,
@@ -149,10 +152,10 @@ def bands(x):
 SELECT count(*) AS n, power(2, quantile_cont(l, 0.5)) AS median, avg(CASE WHEN speedup >= 1 THEN 1.0 ELSE 0.0 END) AS at_least_1, min(speedup) AS low, max(speedup) AS high, count(DISTINCT task_id) AS n_tasks FROM s""")
 def population(x):
     s = F.col("speedup")
-    return turns(x).where(t.passes() & (s > 0)).agg(
-        F.count("*").alias("n"), F.power(F.lit(2.0), stats.percentile_linear(F.log2(s), 0.5)).alias("median"), stats.share(s >= 1).alias("at_least_1"),
-        F.min(s).alias("low"), F.max(s).alias("high"), F.count_distinct("task_id").alias("n_tasks"),
-    )
+    rows = turns(x).where(t.passes() & (s > 0))
+    found = rows.agg(F.count("*").alias("n"), stats.share(s >= 1).alias("at_least_1"), F.min(s).alias("low"), F.max(s).alias("high"), F.count_distinct("task_id").alias("n_tasks"))
+    middle = percentiles(rows.select(F.log2(s).alias("l")), [], "l", {"l": 0.5}).select(F.power(F.lit(2.0), F.col("l")).alias("median"))
+    return found.join(middle, how="left")  # one row each
 
 
 @query("a28_tied_but_separable", f"""{EPISODES_SQL}, g AS (SELECT task_id, min(pass_count) = max(pass_count) AS tied, stddev_pop(n_turns) > 0.02 AS separable FROM rewards GROUP BY 1)
@@ -176,4 +179,5 @@ SELECT count(*) AS n, count(*) FILTER (a.p = b.p) AS n_same, quantile_cont(abs(a
 def two_runs(x):
     r = x.events.groupBy("user_id", (F.col("event_id") % 2).alias("run")).agg(F.max("value").alias("v"), F.max(F.col("event_type") == "purchase").alias("p"))
     both = r.groupBy("user_id").agg(*[F.max(F.when(F.col("run") == i, F.col(c))).alias(f"{c}{i}") for i in (0, 1) for c in ("v", "p")]).where("p0 IS NOT NULL AND p1 IS NOT NULL")
-    return both.agg(F.count("*").alias("n"), F.count_if(F.col("p0") == F.col("p1")).alias("n_same"), stats.percentile_linear(F.when(F.col("p0") & F.col("p1"), F.abs(F.col("v0") - F.col("v1"))), 0.5).alias("median_difference"))
+    difference = percentiles(both.select(F.when(F.col("p0") & F.col("p1"), F.abs(F.col("v0") - F.col("v1"))).alias("d")), [], "d", {"median_difference": 0.5}).drop("n")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("p0") == F.col("p1")).alias("n_same")).join(difference, how="left")  # one row each

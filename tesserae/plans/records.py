@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import scores, stats
 from tesserae.operators import trajectories as t
+from tesserae.operators.ranks import numbered
+from tesserae.operators.selection import percentiles
 from tesserae.plans.evaluation import EPISODES_SQL, TURNS_SQL, rewards, turns
 from tesserae.plans.registry import query
+from tesserae.storage import cut
 
 LABELLED_SQL = "d AS (SELECT doc_id, lang, source, n_chars, text, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
 
@@ -94,21 +97,23 @@ def baseline_matrix(x):
     """Per device and kernel: quick repeats, the first full verdict, passes, times; and the greatest deviation of all."""
     quick, full, passed = F.col("mode") == "quick", F.col("mode") == "full", F.col("verdict") == "PASS"
     q = F.when(quick, F.col("speedup"))
-    g = bench_rows(x).groupBy("gpu", "kernel").agg(
+    rows = bench_rows(x)
+    g = rows.groupBy("gpu", "kernel").agg(
         F.avg(q).alias("mean"), (100 * F.stddev_pop(q) / F.avg(q)).alias("cv"), F.count_if(passed).alias("n_pass"), F.count("*").alias("n"),
-        F.min(F.when(full, F.struct("ord", "wall", "verdict"))).alias("first"), F.percentile("wall", F.lit(0.5)).alias("p50"), F.percentile("wall", F.lit(0.95)).alias("p95"),
+        F.min(F.when(full, F.struct("ord", "wall", "verdict"))).alias("first"),
         (F.max(quick & passed) & ~F.max(full & passed & (F.col("ord") % 2 == 0))).alias("quick_only"),
     )
-    g = g.withColumn("full_verdict", F.col("first.verdict")).drop("first")
+    times = percentiles(rows, ["gpu", "kernel"], "wall", {"p50": 0.5, "p95": 0.95}).drop("n")
+    g = g.withColumn("full_verdict", F.col("first.verdict")).drop("first").join(times, ["gpu", "kernel"], "left")
     return g.crossJoin(F.broadcast(g.agg(F.max("cv").alias("max_cv"))))
 
 
 @query("a23_identity_sanity", f"""WITH {BENCH_SQL}, p AS (SELECT speedup / 25 AS s FROM r WHERE verdict = 'PASS')
 SELECT (SELECT count(*) FROM p) AS n_pass, (SELECT count(*) FROM r WHERE verdict <> 'PASS') AS n_other, quantile_cont(s, 0.5) AS median, quantile_cont(s, 0.05) AS p5, quantile_cont(s, 0.95) AS p95, count(*) FILTER (s BETWEEN 0.99 AND 1.01) AS near_one FROM p""")
 def identity_sanity(x):
-    passed, s = F.col("verdict") == "PASS", F.when(F.col("verdict") == "PASS", F.col("speedup") / 25)
-    q = lambda p: F.percentile(s, F.lit(p))
-    return bench_rows(x).agg(F.count_if(passed).alias("n_pass"), F.count_if(~passed).alias("n_other"), q(0.5).alias("median"), q(0.05).alias("p5"), q(0.95).alias("p95"), F.count_if(s.between(0.99, 1.01)).alias("near_one"))
+    passed, rows = F.col("verdict") == "PASS", bench_rows(x).withColumn("s", F.when(F.col("verdict") == "PASS", F.col("speedup") / 25))
+    counts = rows.agg(F.count_if(passed).alias("n_pass"), F.count_if(~passed).alias("n_other"), F.count_if(F.col("s").between(0.99, 1.01)).alias("near_one"))
+    return counts.join(percentiles(rows, [], "s", {"median": 0.5, "p5": 0.05, "p95": 0.95}).drop("n"), how="left")  # one row each
 
 
 @query("a24_failure_prefixes", """WITH f AS (SELECT CASE WHEN event_type = 'error' THEN 'Error ' || (user_id % 9) || ': at ' || event_id ELSE '' END AS line, event_type FROM events)
@@ -123,11 +128,13 @@ def failure_prefixes(x):
 @query("a25_turn_means", f"""WITH {TURNS_SQL} SELECT CAST(turn AS INTEGER) AS turn, avg(length(message)) AS mean_chars, count(*) AS n, avg(CASE WHEN verdict = 'CRASH' THEN 1.0 ELSE 0.0 END) AS crash_share,
   avg(CASE WHEN length(message) > 6 THEN 1.0 ELSE 0.0 END) AS truncated_share, avg(CASE WHEN verdict = 'PASS' THEN 1.0 ELSE 0.0 END) AS cached_share, quantile_cont(coalesce(speedup, 0), 0.5) FILTER (verdict <> 'PASS') AS p50_wall FROM turns GROUP BY turn""")
 def turn_means(x):
-    passed = F.col("verdict") == "PASS"
-    return turns(x).groupBy("turn").agg(
+    passed, rows = F.col("verdict") == "PASS", turns(x)
+    wall = percentiles(rows.select("turn", F.when(~passed, F.coalesce("speedup", F.lit(0.0))).alias("v")), ["turn"], "v", {"p50_wall": 0.5}).drop("n")
+    found = rows.groupBy("turn").agg(
         F.avg(F.length("message")).alias("mean_chars"), F.count("*").alias("n"), stats.share(F.col("verdict") == "CRASH").alias("crash_share"), stats.share(F.length("message") > 6).alias("truncated_share"),
-        stats.share(passed).alias("cached_share"), F.percentile(F.when(~passed, F.coalesce("speedup", F.lit(0.0))), F.lit(0.5)).alias("p50_wall"),
+        stats.share(passed).alias("cached_share"),
     )
+    return found.join(wall, "turn", "left")
 
 
 @query("a26_step_curve", """WITH c AS (SELECT CAST(ts AS DATE) AS step, -avg(value) AS y FROM events GROUP BY 1)
@@ -163,17 +170,16 @@ def expected_observed(x):
 def nested_audit(x):
     """Of nested cases those that are known to be wrong, by stage, with their labels."""
     case = F.struct(F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("label"), F.struct(F.when(F.col("event_id") % 5 != 0, F.col("value") > 100).alias("ok")).alias("native"))
-    nested = x.events.groupBy("user_id", F.col("event_type").alias("stage")).agg(F.collect_list(case).alias("cases"))
-    wrong = nested.select("stage", F.explode("cases").alias("c")).where(F.col("c.native.ok").eqNullSafe(False))
+    wrong = x.events.select(F.col("event_type").alias("stage"), case.alias("c")).where(F.col("c.native.ok").eqNullSafe(False))
     return wrong.groupBy("stage").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("c.label")).alias("labels"))
 
 
 @query("a31_speedup_by_kernel", f"""WITH {TURNS_SQL} SELECT task_id, count(*) AS n, min(speedup) AS low, power(2, quantile_cont(log2(speedup), 0.5)) AS median, max(speedup) AS high, count(DISTINCT traj_id) AS n_codes FROM turns WHERE verdict = 'PASS' AND speedup > 0 GROUP BY 1""")
 def speedup_by_kernel(x):
     s = F.col("speedup")
-    return turns(x).where(t.passes() & (s > 0)).groupBy("task_id").agg(
-        F.count("*").alias("n"), F.min(s).alias("low"), F.power(F.lit(2.0), stats.percentile_linear(F.log2(s), 0.5)).alias("median"), F.max(s).alias("high"), F.count_distinct("traj_id").alias("n_codes")
-    )
+    rows = turns(x).where(t.passes() & (s > 0))
+    middle = percentiles(rows.select("task_id", F.log2(s).alias("l")), ["task_id"], "l", {"l": 0.5}).select("task_id", F.power(F.lit(2.0), F.col("l")).alias("median"))
+    return rows.groupBy("task_id").agg(F.count("*").alias("n"), F.min(s).alias("low"), F.max(s).alias("high"), F.count_distinct("traj_id").alias("n_codes")).join(middle, "task_id")
 
 
 @query("w9_started_unfinished", """WITH l AS (SELECT user_id, event_id AS ord, event_type AS line FROM events WHERE event_type IN ('view', 'purchase')),
@@ -185,11 +191,19 @@ def started(x):
     return following.where((F.col("event_type") == "view") & ~F.col("next").eqNullSafe("purchase")).groupBy("user_id").agg(F.max("event_id").alias("current"))
 
 
+@query("w14_global_batches", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS place FROM documents) SELECT doc_id, place, place // 4 AS batch, sha256('7:' || (place // 4)) AS shuffled FROM r")
+def global_batches(x):
+    """All rows in one order of length, four to a batch; batches are shuffled by hash."""
+    placed = numbered(x.documents.select("doc_id", "n_chars"), [F.col("n_chars").asc_nulls_last(), F.col("doc_id").asc_nulls_last()])
+    batch = F.floor(F.col("place") / 4)
+    return placed.select("doc_id", "place", batch.alias("batch"), F.sha2(F.concat(F.lit("7:"), batch.cast("string")), 256).alias("shuffled"))
+
+
 @query("w14_length_batches", "WITH r AS (SELECT doc_id, lang, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1) / 4) AS BIGINT) AS batch FROM documents) SELECT doc_id, lang, batch, sha256('7:' || lang || ':' || batch) AS place FROM r")
 def length_batches(x):
     """Rows of like length, four to a batch within a language; batches are shuffled by hash."""
-    batch = F.floor((F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id")) - 1) / 4)
-    return x.documents.select("doc_id", "lang", batch.alias("batch")).withColumn("place", F.sha2(F.concat(F.lit("7:"), "lang", F.lit(":"), F.col("batch").cast("string")), 256))
+    placed = numbered(x.documents.select("doc_id", "lang", "n_chars"), [F.col("n_chars").asc_nulls_last(), F.col("doc_id").asc_nulls_last()], "n", ["lang"])
+    return placed.select("doc_id", "lang", F.floor(F.col("n") / 4).alias("batch")).withColumn("place", F.sha2(F.concat(F.lit("7:"), "lang", F.lit(":"), F.col("batch").cast("string")), 256))
 
 
 @query("t4_composite_argmax", "SELECT user_id, count(DISTINCT event_type) AS n_kinds, stddev_pop(value) AS sd, min(event_id) AS first FROM events GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 4 LIMIT 1")
@@ -202,7 +216,7 @@ def composite_argmax(x):
 def format_first(x):
     """One format before the others, in hash order, within each source."""
     order = [F.when(F.col("lang") == "en", 0).otherwise(1), F.sha2(F.concat(F.lit("0:"), F.col("doc_id").cast("string")), 256)]
-    return x.documents.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(*order)).cast("long").alias("place"))
+    return numbered(x.documents.select("doc_id", "source", "lang"), order, "place", ["source"]).select("doc_id", (F.col("place") + 1).alias("place"))
 
 
 @query("u1_labelled_union", "SELECT 'documents' AS origin, doc_id AS id, lang, CAST(NULL AS VARCHAR) AS url FROM documents UNION ALL SELECT 'pages', page_id, NULL, url FROM pages UNION ALL SELECT 'benchmark', item_id, NULL, NULL FROM benchmark")
@@ -234,8 +248,10 @@ def verdicts(x):
 @query("f38_bandwidth", """SELECT l_partkey, sum(l_extendedprice) * 1e3 / quantile_cont(l_quantity, 0.5) / 1e9 AS own_gbs, sum(l_extendedprice) * 2e3 / quantile_cont(l_quantity, 0.5) / 1e9 AS fused_gbs, 100 * sum(l_extendedprice) * 1e3 / quantile_cont(l_quantity, 0.5) / 1e9 / 300 AS pct_peak FROM lineitem GROUP BY 1""")
 def bandwidth(x):
     """Bytes over the median time, of the kernel's own traffic and of the fused one, against the peak."""
-    own = F.sum("l_extendedprice") * 1e3 / F.percentile("l_quantity", F.lit(0.5)) / 1e9
-    return x.lineitem.groupBy("l_partkey").agg(own.alias("own_gbs"), (2 * own).alias("fused_gbs"), (100 * own / 300).alias("pct_peak"))
+    middle = percentiles(x.lineitem, ["l_partkey"], "l_quantity", {"median": 0.5}).select("l_partkey", "median")
+    own = F.col("bytes") * 1e3 / F.col("median") / 1e9
+    total = x.lineitem.groupBy("l_partkey").agg(F.sum("l_extendedprice").alias("bytes")).join(middle, "l_partkey", "left")
+    return total.select("l_partkey", own.alias("own_gbs"), (2 * own).alias("fused_gbs"), (100 * own / 300).alias("pct_peak"))
 
 
 @query("m5_summary", f"""{EPISODES_SQL} SELECT 'pass_at_1' AS measure, avg(p) AS value FROM (SELECT avg(CAST(any_pass AS DOUBLE)) AS p FROM rewards GROUP BY task_id) UNION ALL
@@ -243,7 +259,7 @@ SELECT 'geomean', exp(avg(ln(best_speedup))) FROM rewards WHERE any_pass AND bes
 SELECT 'repeats', sum(pass_count) / CAST(count(*) AS DOUBLE) FROM rewards""")
 def summary(x):
     """All measures of one evaluation under their names: success within tasks first, speed, crashes, the best, passes a trajectory."""
-    r = rewards(x).persist()
+    r = cut(rewards(x))
     tasks = r.groupBy("task_id").agg(F.avg(F.col("any_pass").cast("double")).alias("p")).agg(F.avg("p").alias("pass_at_1"))
     rest = r.agg(stats.geomean(F.when(F.col("any_pass"), F.col("best_speedup"))).alias("geomean"), stats.ratio(F.sum("crash_count"), F.sum("n_turns")).alias("crash_share"), F.max("best_speedup").alias("best"), stats.ratio(F.sum("pass_count"), F.count("*")).alias("repeats"))
     both = tasks.crossJoin(rest)

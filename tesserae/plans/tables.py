@@ -6,6 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import stats
+from tesserae.operators.ranks import numbered
+from tesserae.operators.selection import percentiles as exact_percentiles
+from tesserae.operators.selection import values_at
 from tesserae.plans.registry import query
 from tesserae.storage import cut, shuffle_parts
 
@@ -35,13 +38,13 @@ def dispersion(x):
 @query("a5_percentiles", """WITH s AS (SELECT l_suppkey AS k, list_sort(list(l_quantity)) AS v, count(*) AS n, quantile_cont(l_quantity, 0.9) AS linear FROM lineitem GROUP BY 1)
 SELECT k, v[CAST(least(n - 1, floor(0.9 * n)) AS BIGINT) + 1] AS floor_index, v[CAST(greatest(0, ceil(0.9 * n) - 1) AS BIGINT) + 1] AS nearest_rank, linear, v[n // 2 + 1] AS upper_median, v[n * 9 // 10 + 1] AS ninth_tenth FROM s""")
 def percentiles(x):
-    """Five definitions side by side, by counts of distinct values: no list of a group's values is gathered."""
+    """Five definitions side by side, from the values at their places."""
     n = F.col("n")
     index = {
         "floor_index": F.least(n - 1, F.floor(0.9 * n)), "nearest_rank": F.greatest(F.lit(0), F.ceil(0.9 * n) - 1), "upper_median": F.floor(n / 2), "ninth_tenth": F.floor(n * 9 / 10),
         "below": F.floor(0.9 * (n - 1)), "above": F.ceil(0.9 * (n - 1)),
     }
-    found = stats.values_at(x.lineitem.select(F.col("l_suppkey").alias("k"), "l_quantity"), ["k"], "l_quantity", index)
+    found = values_at(x.lineitem.select(F.col("l_suppkey").alias("k"), "l_quantity"), ["k"], "l_quantity", index)
     part = 0.9 * (n - 1) - F.floor(0.9 * (n - 1))
     return found.select("k", "floor_index", "nearest_rank", (F.col("below") + part * (F.col("above") - F.col("below"))).alias("linear"), "upper_median", "ninth_tenth")
 
@@ -78,12 +81,9 @@ def family_summary(x):
 
 @query("a13_repeat_medians", "SELECT l_returnflag AS kernel, l_linestatus AS impl, list_sort(list(l_quantity))[count(*) // 2 + 1] AS median, count(*) AS n_repeats FROM lineitem GROUP BY 1, 2")
 def repeat_medians(x):
-    """Upper median by counts of distinct values: no list of a group's values is gathered."""
-    keys = ["kernel", "impl"]
-    counts = x.lineitem.groupBy(F.col("l_returnflag").alias("kernel"), F.col("l_linestatus").alias("impl"), "l_quantity").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy("l_quantity")
-    run = counts.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy(*keys))})
-    return run.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*keys).agg(F.min("l_quantity").alias("median"), F.max("n").alias("n_repeats"))
+    """Upper median of each kind's repeats."""
+    rows = x.lineitem.select(F.col("l_returnflag").alias("kernel"), F.col("l_linestatus").alias("impl"), "l_quantity")
+    return values_at(rows, ["kernel", "impl"], "l_quantity", {"median": F.floor(F.col("n") / 2)}).withColumnRenamed("n", "n_repeats")
 
 
 @query("a14_pivot", "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY 1")
@@ -111,11 +111,11 @@ def cost(x):
     return x.lineitem.select("l_partkey", "l_quantity").join(x.part.select("p_partkey", rate.alias("rate")), F.col("l_partkey") == F.col("p_partkey")).agg(F.sum(F.col("l_quantity") * F.col("rate")).alias("cost"))
 
 
-@query("a20_document_frequency", """WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT greatest(2, 0.05 * count(*)) AS least FROM documents WHERE lang = 'en')
-SELECT sha256(line) AS line, count(*) AS df FROM l JOIN documents USING (doc_id), n WHERE line <> '' AND lang = 'en' GROUP BY l.line, least HAVING count(*) >= least""")
+@query("a20_document_frequency", """WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT greatest(2, 0.05 * count(*)) AS least FROM documents)
+SELECT sha256(line) AS line, count(*) AS df FROM l, n WHERE line <> '' GROUP BY l.line, least HAVING count(*) >= least""")
 def document_frequency(x):
-    """Lines of the English documents that are common: in at least two of them and in a twentieth."""
-    docs = x.documents.where("lang = 'en'")
+    """Lines that are common: in at least two documents and in a twentieth of them."""
+    docs = x.documents
     least = docs.agg(F.greatest(F.lit(2.0), 0.05 * F.count("*")).alias("least"))
     lines = docs.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("line <> ''")
     return lines.groupBy(F.sha2("line", 256).alias("line")).agg(F.count("*").alias("df")).crossJoin(F.broadcast(least)).where("df >= least").drop("least")
@@ -162,7 +162,7 @@ SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity / nullif(base, 0)
 def baseline_ratio(x):
     """Each measurement over the upper median of its part's repeats."""
     own = x.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
-    base = stats.values_at(own.select("l_partkey", "v"), ["l_partkey"], "v", {"base": F.floor(F.col("n") / 2)})
+    base = values_at(own.select("l_partkey", "v"), ["l_partkey"], "v", {"base": F.floor(F.col("n") / 2)})
     return own.join(base.select("l_partkey", "base"), "l_partkey").select("l_orderkey", "l_linenumber", F.try_divide("v", "base").alias("ratio"))
 
 
@@ -271,22 +271,26 @@ def sessions(x):
 
 @query("w11_tail_split", "WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) - 1 AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderkey, CASE WHEN r < 0.15 * n THEN 'val' ELSE 'train' END AS split FROM r")
 def tail_split(x):
-    w = Window.partitionBy("o_orderpriority")
-    r = x.orders.select("o_orderkey", (F.row_number().over(w.orderBy(F.desc("o_orderkey"))) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    """The last rows of each group, by places that no task makes alone."""
+    rows = x.orders.select("o_orderkey", "o_orderpriority")
+    sizes = rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    r = numbered(rows, [F.desc("o_orderkey")], "r", ["o_orderpriority"]).join(F.broadcast(sizes), "o_orderpriority")
     return r.select("o_orderkey", F.when(F.col("r") < 0.15 * F.col("n"), "val").otherwise("train").alias("split"))
 
 
 @query("w12_round_robin", "WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('0:' || p_partkey)) AS n FROM part) SELECT p_partkey, p_brand, n FROM r ORDER BY n, p_brand LIMIT 100")
 def round_robin(x):
-    """The i-th of each family in turn, up to a number (the feature)."""
+    """The i-th of each family in turn, up to a number (the feature): no family gives more, so each task keeps so many of each before it sends them."""
     order = F.sha2(F.concat(F.lit("0:"), F.col("p_partkey").cast("string")), 256)
-    return x.part.select("p_partkey", "p_brand", F.row_number().over(Window.partitionBy("p_brand").orderBy(order)).cast("long").alias("n")).orderBy("n", "p_brand").limit(100)
+    first = x.part.select("p_partkey", "p_brand", F.row_number().over(Window.partitionBy("p_brand").orderBy(order)).alias("n")).where("n <= 100")
+    return first.select("p_partkey", "p_brand", F.col("n").cast("long").alias("n")).orderBy("n", "p_brand").limit(100)
 
 
 @query("w15_batches", "SELECT p_type, floor((row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1) / 8) AS batch, p_partkey FROM part")
 def batches(x):
-    n = F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey"))
-    return x.part.select("p_type", F.floor((n - 1) / 8).cast("double").alias("batch"), "p_partkey")
+    """Eight rows of a kind to a batch, in order."""
+    placed = numbered(x.part.select("p_type", "p_partkey"), [F.col("p_partkey")], "n", ["p_type"])
+    return placed.select("p_type", F.floor(F.col("n") / 8).cast("double").alias("batch"), "p_partkey")
 
 
 @query("w16_share", "SELECT n_name, count(*) AS n, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share, rank() OVER (ORDER BY count(*) DESC) AS place FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows that are broadcast at most; beyond, both sides of a join are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """Written, and broadcast where it has at most BROADCAST_ROWS rows of a few numbers; beyond, joins shuffle it."""
+    small = cut(small)
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
