@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 #: Bounds of the rewards.
 CLIP_LOW, CLIP_HIGH = -1.0, 3.0
 WIDE_CLIP_HIGH = 4.0
-SHAPING = 0.02
 NOISE_STD = 0.02
+#: A speedup counts as real above this.
+SIGNIFICANT = 1.05
 
 
 def log2_floor(x: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import scores, stats
 from tesserae.operators import trajectories as t
+from tesserae.operators.bootstrap import intervals, weight_sql
 from tesserae.operators.ranks import numbered
 from tesserae.operators.selection import percentiles
 from tesserae.plans.evaluation import EPISODES_SQL, TURNS_SQL, rewards, turns
@@ -266,13 +267,28 @@ def summary(x):
     return both.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in ("pass_at_1", "geomean", "crash_share", "best", "repeats")])).alias("m")).select("m.*")
 
 
-@query("m6_rescore", f"""WITH {BENCH_SQL}, g AS (SELECT ord, min(speedup) AS lo, exp(avg(ln(speedup))) AS geomean, bool_and(verdict = 'PASS') AS pass FROM r GROUP BY 1)
-SELECT ord, geomean, lo > 10 AND geomean > 1.05 AS sig, pass AND lo > 10 AND geomean > 1.05 AS claimed FROM g""")
+M6_RESAMPLES = 200
+
+
+@query("m6_rescore", f"""WITH r AS (SELECT l_suppkey AS code, l_returnflag AS shape, l_suppkey * 4 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS g, l_orderkey * 8 + l_linenumber AS rep, l_quantity / 24 AS ratio, l_discount < 0.1 AS pass FROM lineitem),
+w AS (SELECT g, ratio, b, {weight_sql("rep", "b")} AS w FROM r, range({M6_RESAMPLES}) AS t(b)), m AS (SELECT g, b, quantile_cont(ratio, 0.5) AS m FROM (SELECT g, b, ratio, unnest(range(w)) FROM w) GROUP BY ALL),
+c AS (SELECT g, quantile_cont(m, 0.025) AS lo FROM m GROUP BY g), s AS (SELECT code, shape, g, quantile_cont(ratio, 0.5) AS median, bool_and(pass) AS pass FROM r GROUP BY ALL)
+SELECT code, count(*) AS n_shapes, exp(avg(ln(median))) AS geomean, min(lo) AS lowest, min(lo) > 1.0 AND exp(avg(ln(median))) > 1.05 AS sig, bool_and(pass) AND min(lo) > 1.0 AND exp(avg(ln(median))) > 1.05 AS claimed,
+  coalesce(list_sort(list(shape) FILTER (lo > 1.0 AND median > 1.05)), []) AS some_shapes FROM s JOIN c USING (g) GROUP BY code""")
 def rescore(x):
-    """A claim is significant if every shape's lower bound and the mean clear theirs; the verdict comes on top."""
-    g = bench_rows(x).groupBy("ord").agg(F.min("speedup").alias("lo"), stats.geomean(F.col("speedup")).alias("geomean"), F.min(F.col("verdict") == "PASS").alias("pass"))
-    sig = (F.col("lo") > 10) & (F.col("geomean") > 1.05)
-    return g.select("ord", "geomean", sig.alias("sig"), (F.col("pass") & sig).alias("claimed"))
+    """A code's speedup is real if the lower end of every shape's interval is above 1 and the mean of its medians above 1.05; the verdict comes on top."""
+    shape = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    rows = x.lineitem.select(
+        F.col("l_suppkey").alias("code"), F.col("l_returnflag").alias("shape"), (F.col("l_suppkey") * 4 + shape).cast("long").alias("g"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rep"),
+        (F.col("l_quantity") / 24).alias("ratio"), (F.col("l_discount") < 0.1).alias("pass"),
+    )
+    lows = intervals(rows, "g", "rep", "ratio", M6_RESAMPLES).select("g", F.col("low").alias("lo"))
+    middle = percentiles(rows, ["g"], "ratio", {"median": 0.5}).drop("n")
+    s = rows.groupBy("code", "shape", "g").agg(F.min("pass").alias("pass")).join(middle, "g").join(lows, "g")
+    some = F.sort_array(F.collect_list(F.when((F.col("lo") > 1.0) & (F.col("median") > scores.SIGNIFICANT), F.col("shape")))).alias("some_shapes")
+    g = s.groupBy("code").agg(F.count("*").alias("n_shapes"), stats.geomean(F.col("median")).alias("geomean"), F.min("lo").alias("lowest"), F.min("pass").alias("pass"), some)
+    sig = (F.col("lowest") > 1.0) & (F.col("geomean") > scores.SIGNIFICANT)
+    return g.select("code", "n_shapes", "geomean", "lowest", sig.alias("sig"), (F.col("pass") & sig).alias("claimed"), "some_shapes")
 
 
 @query("m8_low_variance", f"""{EPISODES_SQL}, g AS (SELECT task_id, min(reward) <> max(reward) AND stddev_pop(reward) < 0.95 AS low, bool_or(any_pass) AND NOT bool_and(any_pass) AS mixed, bool_and(any_pass) AS all_pass, count(DISTINCT best_speedup) FILTER (any_pass) AS n_best, avg(CASE WHEN pass_count > 1 THEN 1.0 ELSE 0.0 END) AS cached FROM rewards GROUP BY 1)

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import stats
+from tesserae.operators.bootstrap import RESAMPLES, intervals, weight_sql
 from tesserae.operators.ranks import numbered
-from tesserae.operators.selection import percentiles as exact_percentiles
 from tesserae.operators.selection import values_at
 from tesserae.plans.registry import query
 from tesserae.storage import cut, shuffle_parts
@@ -121,19 +121,12 @@ def document_frequency(x):
     return lines.groupBy(F.sha2("line", 256).alias("line")).agg(F.count("*").alias("df")).crossJoin(F.broadcast(least)).where("df >= least").drop("least")
 
 
-@query("a21_bootstrap", """WITH v AS (SELECT c_nationkey AS g, c_acctbal AS q, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer),
-n AS (SELECT g, count(*) AS n FROM v GROUP BY 1), p AS (SELECT g, b, (b * 7919 + k * k * 31 + 17 * k * b) % n AS i FROM n, range(2000) AS r(b), range(n) AS s(k)),
-m AS (SELECT g, b, quantile_cont(q, 0.5) AS m FROM p JOIN v USING (g, i) GROUP BY ALL) SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY g""")
-def bootstrap(x, resamples: int = 2000):
-    """95 % interval of a group's median from its resamples; the draws are a fixed function of the resample and the place."""
-    w = Window.partitionBy("g").orderBy("c_custkey")
-    v = x.customer.select(F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("q"), "c_custkey")
-    v = v.select("g", "q", (F.row_number().over(w) - 1).cast("long").alias("i"))
-    n = v.groupBy("g").agg(F.count("*").alias("n"))
-    last = F.lit(resamples - 1).cast("long")
-    draws = n.select("g", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("b")).select("g", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    picked = draws.select("g", "b", F.expr("(b * 7919 + k * k * 31 + 17 * k * b) % n").alias("i")).join(v, ["g", "i"])
-    return picked.groupBy("g", "b").agg(F.percentile("q", F.lit(0.5)).alias("m")).groupBy("g").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+@query("a21_bootstrap", f"""WITH w AS (SELECT c_nationkey AS g, c_acctbal AS q, b, {weight_sql("c_custkey", "b")} AS w FROM customer, range({RESAMPLES}) AS r(b)),
+m AS (SELECT g, b, quantile_cont(q, 0.5) AS m FROM (SELECT g, b, q, unnest(range(w)) FROM w) GROUP BY ALL) SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY g""")
+def bootstrap(x):
+    """95 % interval of a group's median from its replicates; a row's weight in one is a fixed function of its key."""
+    rows = x.customer.select(F.col("c_nationkey").alias("g"), "c_custkey", "c_acctbal")
+    return intervals(rows, "g", "c_custkey", "c_acctbal").select(F.col("g").cast("int").alias("g"), "low", "high")
 
 
 @query("j1_left_lookup", "SELECT d.doc_id, coalesce(quality, -1) AS quality, quality IS NULL AS missing FROM documents d LEFT JOIN labels USING (doc_id)")

@@ -109,3 +109,27 @@ def test_sample_over_strata(spark):
     rows = spark.createDataFrame([(i, "big" if i % 10 else "small") for i in range(500)], "k long, s string")
     order = [r["k"] for r in rows.orderBy("s", F.sha2(F.concat(F.lit("0:"), F.col("k").cast("string")), 256)).collect()]
     assert {r["k"] for r in curation.systematic_sample(rows, "s", "k", 20, 3).collect()} == set(order[3::20])
+
+
+def test_bootstrap_medians(spark, monkeypatch):
+    """Groups beyond and below the bound, with ties; the window of a large one too narrow at first; rows of weight 0 only."""
+    from tesserae.operators import bootstrap
+
+    rng = np.random.default_rng(5)
+    rows = [(1, i, float(v)) for i, v in enumerate(rng.normal(size=700))] + [(2, i, float(v)) for i, v in enumerate(rng.integers(0, 3, 300))] + [(3, 5, 1.0), (4, 6, 2.0), (4, 7, 8.0), (None, 1, 1.0), (5, 1, None)]
+    df = spark.createDataFrame(rows, "g long, k long, v double").repartition(4)
+    want = {}
+    for g in (1, 2, 3, 4):
+        own = [(k, v) for h, k, v in rows if h == g]
+        w = bootstrap.weights(np.array([k for k, _ in own]), 0, 230)
+        for b in range(230):
+            drawn = np.repeat([v for _, v in own], w[:, b])
+            if len(drawn):
+                want[g, b] = float(np.median(drawn))
+    assert len(want) < 4 * 230
+    for large, spread, hot in ((1 << 20, 8, 5000), (100, 8, 20), (100, 0.2, 50)):
+        monkeypatch.setattr(bootstrap, "HOT", hot)
+        got = {(r["g"], r["b"]): r["median"] for r in bootstrap.medians(df, "g", "k", "v", 230, large, spread).collect()}
+        assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-12) for k in want)
+    w = bootstrap.weights(np.arange(3000), 0, 300)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.08
