@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text
 from tesserae.operators import curation
 from tesserae.plans.registry import query
-from tesserae.streaming import cache
+from tesserae.streaming import cache, runs
 
 
 def _fill_sql(name: str, where: str, budget: str) -> str:
@@ -127,7 +127,7 @@ stored(key, ts, event_id) AS (SELECT key, min(ts), arg_min(event_id, ts) FROM e
 @query("r1_cache_replies", f"WITH RECURSIVE {STORED_SQL} SELECT e.event_id, s.event_id <> e.event_id AS hit, s.event_id AS stored_id FROM e ASOF JOIN stored s ON e.key = s.key AND e.ts >= s.ts")
 def cache_replies(x):
     """Each event's reply: served from the cache while the stored result lives, computed and stored otherwise."""
-    return cache.replies(x.spark, f"{x.folder}/events*.parquet").select("event_id", "hit", "stored_id")
+    return cache.replies(x.spark, x.events).select("event_id", "hit", "stored_id")
 
 
 @query("r3_late_results", """WITH w AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events WHERE event_id % 2 = 0 AND ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events))
@@ -141,4 +141,15 @@ def late_results(x):
 
 @query("r4_counters", f"WITH RECURSIVE {STORED_SQL} SELECT (SELECT count(*) FROM e) AS enqueued, (SELECT count(*) FROM e) - (SELECT count(*) FROM stored) AS hits, 1 - (SELECT count(*) FROM stored) / (SELECT count(*) FROM e) AS hit_rate, (SELECT count(DISTINCT key) FROM e) AS n_keys")
 def counters(x):
-    return cache.counters(cache.replies(x.spark, f"{x.folder}/events*.parquet"))
+    return cache.counters(x.spark, cache.replies(x.spark, x.events))
+
+
+@query("r5_stream_append", "SELECT event_id, user_id, value FROM events")
+def stream_append(x):
+    """Every event once, though half of them come twice, in files of different batches, and the stream is run again when more have come."""
+    source, path, state = (runs.folder(x.spark, n) for n in ("source", "table", "state"))
+    schema, rows = "event_id long, user_id long, value double", x.events.select("event_id", "user_id", "value")
+    for part in (rows.where("event_id % 3 <> 0"), rows.where("event_id % 2 = 0"), rows):
+        part.write.mode("append").parquet(source)
+        cache.resumed(x.spark, source, schema, "event_id", path, state)
+    return runs.appended(x.spark, path, schema)

@@ -62,20 +62,6 @@ def test_sample_takes_the_next_unique(spark):
     assert {r["k"] for r in curation.systematic_sample(rows, "s", "k", 4, 1, unique="v").collect()} == want
 
 
-def test_cache_lifetime(spark, tmp_path):
-    """A stored result lives for its days from when it was stored; hits don't prolong it; a later batch sees the state of earlier ones."""
-    from tesserae.streaming import cache
-
-    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-    days = [(1, "01-01"), (2, "01-05"), (3, "01-08"), (4, "01-09"), (5, "01-16")]
-    made = [(i, f"2024-{d} 00:00:00", 1, "view", 0.0, "p") for i, d in days]
-    rows = spark.createDataFrame(made, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.coalesce(1).write.parquet(f"{tmp_path}/events")
-    assert rows.schema.simpleString().count("timestamp") == 1 and schema
-    got = {r["event_id"]: (r["hit"], r["stored_id"]) for r in cache.replies(spark, f"{tmp_path}/events").collect()}
-    assert got == {1: (False, 1), 2: (True, 1), 3: (True, 1), 4: (False, 4), 5: (True, 4)}
-
-
 def test_lines_of_logs(spark):
     assert one(spark, text.failure_lines(F.lit("ok\r\n\tError: a \r\nPASS Error: b\x0b FAIL: c\n\tError: a")).alias("l"))["l"] == ["Error: a", "FAIL: c"]
     rows = spark.createDataFrame([("[turn 3] user: 12 chars",), ("step 5: loss=-1.5e-3",), ("[turn x] user: 1 chars",), ("",)], "value string")
