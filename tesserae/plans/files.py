@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tesserae.functions import reports
+from tesserae.functions import reports, stats
 from tesserae.plans.registry import query
 from tesserae.sources import files, jsonl, lines
-from tesserae.storage import shared_dir
+from tesserae.storage import cut, shared_dir
 
 
 def _folder(x) -> str:
@@ -52,23 +52,62 @@ def jsonl_tolerant(x):
     return counts.crossJoin(none.agg((F.count("*") == 0).alias("found")))
 
 
+def _logs(rows, path: str, order: list[str]) -> None:
+    """Writes (log, *order, lines): a folder for each log, whose files hold its lines in order, one range of them after another."""
+    dealt = rows.repartitionByRange("log", *order).sortWithinPartitions("log", *order)
+    dealt.select("log", F.explode("lines").alias("value")).write.partitionBy("log").text(path)
+
+
 @query("s4_glob_scan", "SELECT lang AS dir, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS line_no, doc_id FROM documents")
 def glob_scan(x):
-    """Folder and line number of each row; a folder holds one file here, whose lines keep their order."""
+    """Folder and line number of each row, over files that hold a range of the folder's rows each."""
     path = _folder(x)
-    x.documents.select("lang", "doc_id", "source").repartition("lang").sortWithinPartitions("lang", "doc_id").write.partitionBy("lang").json(path)
-    found = files.lines_with_paths(x.spark, f"{path}/*/*.json")
-    return found.select("dir", F.col("line_no").cast("long").alias("line_no"), F.get_json_object("line", "$.doc_id").cast("long").alias("doc_id"))
+    rows = x.documents.select(F.col("lang").alias("log"), "doc_id", F.array(F.to_json(F.struct("doc_id", "source"))).alias("lines"))
+    _logs(rows, path, ["doc_id"])
+    found = files.lines_with_paths(x.spark, f"{path}/*/*.txt")
+    return found.select("dir", "line_no", F.get_json_object("line", "$.doc_id").cast("long").alias("doc_id"))
 
 
-@query("s5_log_rows", """SELECT 'turn' AS kind, turn AS n, role AS name, CAST(length(text) AS DOUBLE) AS value FROM conversations
-UNION ALL SELECT 'step', event_id, event_type, value FROM events""")
+@query("s5_log_rows", """SELECT 'turns' AS log, 2 * (row_number() OVER (ORDER BY conv_id, turn) - 1) AS line_no, 'turn' AS kind, turn AS n, role AS name, CAST(length(text) AS DOUBLE) AS value FROM conversations
+UNION ALL SELECT 'steps', row_number() OVER (ORDER BY event_id) - 1, 'step', event_id, event_type, value FROM events""")
 def log_scan(x):
-    path = _folder(x)
-    turns = x.conversations.select(F.format_string("[turn %d] %s: %d chars", "turn", "role", F.length("text")).alias("value"))
-    steps = x.events.select(F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit(": "), "event_type", F.lit("="), F.col("value").cast("string")).alias("value"))
-    turns.unionByName(steps).unionByName(turns.select(F.lit("saving the model").alias("value"))).write.text(path)
-    return lines.log_rows(x.spark.read.text(path))
+    """Rows out of two logs with their places, noise between them."""
+    path, b = _folder(x), F.lit(0).cast("long")
+    turns = x.conversations.select(F.lit("turns").alias("log"), F.col("conv_id").alias("a"), F.col("turn").cast("long").alias("b"), F.array(F.format_string("[turn %d] %s: %d chars", "turn", "role", F.length("text")), F.lit("saving the model")).alias("lines"))
+    step = F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit(": "), "event_type", F.lit("="), F.col("value").cast("string"))
+    _logs(turns.unionByName(x.events.select(F.lit("steps").alias("log"), F.col("event_id").alias("a"), b.alias("b"), F.array(step).alias("lines"))), path, ["a", "b"])
+    return lines.log_rows(lines.numbered(x.spark, f"{path}/*/*.txt", files.path_part(1)))
+
+
+@query("a27_time_breakdown", """WITH e AS (SELECT event_id, event_type AS t, CAST((day(ts) - 1) // 7 AS VARCHAR) AS log, row_number() OVER (PARTITION BY (day(ts) - 1) // 7 ORDER BY ts, event_id) AS i, CAST(floor(value) AS BIGINT) AS s, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+n AS (SELECT *, min(CASE WHEN t IN ('purchase', 'error') THEN i END) OVER (PARTITION BY log ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS j FROM e),
+l AS (SELECT n.*, m.t AS marker, m.event_id AS step, 2 * m.s AS roll, m.k AS train FROM n LEFT JOIN e m ON m.log = n.log AND m.i = n.j WHERE n.t IN ('view', 'click')),
+p AS (SELECT step, sum(s) AS gen, sum(k) AS bench, max(roll) AS roll, max(train) AS train, min(s) AS gen_low, max(s) AS gen_high, min(k) AS bench_low, max(k) AS bench_high FROM l WHERE marker = 'purchase' GROUP BY step HAVING count(*) = 4)
+SELECT count(*) AS n_steps, avg(gen) AS mean_gen, avg(bench) AS mean_bench, avg(roll - gen - bench) AS mean_other, avg(train) AS mean_update, 100 * sum(gen) / CAST(sum(roll + train) AS DOUBLE) AS gen_share, 100 * sum(bench) / CAST(sum(roll + train) AS DOUBLE) AS bench_share,
+  100 * sum(roll) / CAST(sum(roll + train) AS DOUBLE) AS rollout_share, min(gen_low) AS gen_low, max(gen_high) AS gen_high, min(bench_low) AS bench_low, max(bench_high) AS bench_high,
+  (SELECT count(*) FROM l WHERE marker = 'error') AS n_abandoned, (SELECT count(*) FROM l WHERE marker IS NULL) AS n_unfinished FROM p""")
+def time_breakdown(x):
+    """Where the time of training steps goes, from a log of each week: turns belong to the step line behind them, and only steps with exactly four turns count."""
+    path, clock = _folder(x), F.date_format("ts", "'['HH:mm:ss'] '")
+    k, seconds = F.get_json_object("props", "$.k").cast("long"), F.floor("value")
+    turn = F.format_string("turn %d: %d active, gen %ds, bench %ds, PASS %d", "user_id", "event_id", seconds, k, F.col("event_id") % 7)
+    step = F.format_string("step %d/9 loss 0.1 roll %ds train %ds", "event_id", 2 * seconds, k)
+    line = F.when(F.col("event_type").isin("view", "click"), F.concat(clock, turn)).when(F.col("event_type") == "purchase", F.concat(clock, step))
+    line = line.when(F.col("event_type") == "error", F.concat(F.lit("resumed from step "), F.col("event_id").cast("string"))).otherwise("saving the model")
+    _logs(x.events.select(F.floor((F.dayofmonth("ts") - 1) / 7).cast("string").alias("log"), "ts", "event_id", F.array(line).alias("lines")), path, ["ts", "event_id"])
+    turns = cut(lines.sessions(lines.numbered(x.spark, f"{path}/*/*.txt", files.path_part(1))))
+    whole = turns.where("state = 'finished'").groupBy("log", "step").agg(
+        F.count("*").alias("n"), F.sum("gen").alias("gen"), F.sum("bench").alias("bench"), F.max("roll").alias("roll"), F.max("train").alias("train"),
+        *[f(c).alias(f"{c}_{n}") for c in ("gen", "bench") for f, n in ((F.min, "low"), (F.max, "high"))],
+    ).where("n = 4")
+    all_time = F.sum(F.col("roll") + F.col("train"))
+    share = lambda c: stats.ratio(100 * F.sum(c), all_time)
+    found = whole.agg(
+        F.count("*").alias("n_steps"), F.avg("gen").alias("mean_gen"), F.avg("bench").alias("mean_bench"), F.avg(F.col("roll") - F.col("gen") - F.col("bench")).alias("mean_other"), F.avg("train").alias("mean_update"),
+        share("gen").alias("gen_share"), share("bench").alias("bench_share"), share("roll").alias("rollout_share"), F.min("gen_low").alias("gen_low"), F.max("gen_high").alias("gen_high"), F.min("bench_low").alias("bench_low"), F.max("bench_high").alias("bench_high"),
+    )
+    rest = turns.agg(F.count_if(F.col("state") == "abandoned").alias("n_abandoned"), F.count_if(F.col("state") == "unfinished").alias("n_unfinished"))
+    return found.crossJoin(rest)  # one row each
 
 
 @query("s6_key_values", """SELECT event_id, event_type AS kernel, value AS speedup, CAST(user_id AS DOUBLE) AS share, CAST(NULL AS DOUBLE) AS missing FROM events""")
@@ -109,10 +148,13 @@ def folder_of_files(x):
     return files.folder_of_texts(x.spark, f"{path}/*/*.txt")
 
 
-@query("s10_front_matter", "SELECT doc_id, lang, source AS title, sha256(text) AS body, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END AS n_keys FROM (SELECT doc_id, text, CASE WHEN doc_id % 5 <> 0 THEN lang END AS lang, CASE WHEN doc_id % 5 <> 0 THEN source END AS source FROM documents WHERE NOT starts_with(text, '---'))")
+@query("s10_front_matter", r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text ELSE '---' || chr(10) || 'lang: ' || lang || chr(10) || 'title: ' || source || chr(10) || '---' || chr(10) || text END AS t FROM documents),
+p AS (SELECT doc_id, t, CASE WHEN starts_with(t, '---' || chr(10)) THEN strpos(substr(t, 4), chr(10) || '---' || chr(10)) ELSE 0 END AS e FROM t), h AS (SELECT doc_id, t, e, string_split(substr(t, 5, greatest(0, e - 2)), chr(10)) AS head FROM p)
+SELECT doc_id, list_filter(head, lambda l: starts_with(l, 'lang: '))[1][7:] AS lang, list_filter(head, lambda l: starts_with(l, 'title: '))[1][8:] AS title, sha256(CASE WHEN e > 1 THEN substr(t, e + 8) ELSE t END) AS body, CASE WHEN e > 1 THEN len(head) ELSE 0 END AS n_keys FROM h""")
 def front_matter(x):
+    """Keys and body of all texts: of those that got front matter, and of those that begin as they will."""
     head = F.concat(F.lit("---\nlang: "), "lang", F.lit("\ntitle: "), "source", F.lit("\n---\n"))
-    made = x.documents.where("NOT startswith(text, '---')").select("doc_id", F.concat(F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(head), "text").alias("t"))
+    made = x.documents.select("doc_id", F.concat(F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(head), "text").alias("t"))
     m = made.select("doc_id", files.front_matter(F.col("t")).alias("m"), F.sha2(files.body(F.col("t")), 256).alias("body"))
     return m.select("doc_id", F.try_element_at("m", F.lit("lang")).alias("lang"), F.try_element_at("m", F.lit("title")).alias("title"), "body", F.size("m").alias("n_keys"))
 

@@ -145,18 +145,6 @@ def step_curve(x):
     return c.agg(F.min_by("y", "step").alias("first"), F.max_by("y", "step").alias("last"), F.avg("y").alias("mean"), F.min("y").alias("low"), F.max("y").alias("high"), F.count("*").alias("n_steps"))
 
 
-@query("a27_time_breakdown", """WITH s AS (SELECT conv_id AS step, sum(length(text)) FILTER (role = 'user') AS bench, sum(length(text)) FILTER (role = 'assistant') AS gen, sum(length(text)) AS total FROM conversations GROUP BY 1 HAVING count(*) = 4)
-SELECT count(*) AS n_steps, avg(gen) AS mean_gen, avg(bench) AS mean_bench, 100 * sum(coalesce(gen, 0)) / CAST(sum(total) AS DOUBLE) AS gen_share, 100 * sum(total - coalesce(gen, 0) - coalesce(bench, 0)) / CAST(sum(total) AS DOUBLE) AS other_share, min(total) AS low, max(total) AS high FROM s""")
-def time_breakdown(x):
-    """Only steps with exactly four lines count."""
-    n = F.length("text")
-    part = lambda r: F.sum(F.when(F.col("role") == r, n))
-    s = x.conversations.groupBy("conv_id").agg(part("user").alias("bench"), part("assistant").alias("gen"), F.sum(n).alias("total"), F.count("*").alias("c")).where("c = 4")
-    gen, bench = F.coalesce("gen", F.lit(0)), F.coalesce("bench", F.lit(0))
-    share = lambda v: stats.ratio(100 * F.sum(v), F.sum("total"))
-    return s.agg(F.count("*").alias("n_steps"), F.avg("gen").alias("mean_gen"), F.avg("bench").alias("mean_bench"), share(gen).alias("gen_share"), share(F.col("total") - gen - bench).alias("other_share"), F.min("total").alias("low"), F.max("total").alias("high"))
-
-
 @query("a29_expected_observed", """WITH e AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' END AS expected FROM part), o AS (SELECT l_partkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'PASS' ELSE 'FAIL' END AS observed FROM lineitem GROUP BY 1),
 a AS (SELECT p_partkey, expected, observed, expected = observed AS agree FROM e LEFT JOIN o ON p_partkey = l_partkey) SELECT *, bool_and(agree IS DISTINCT FROM false) OVER () AS all_ok FROM a""")
 def expected_observed(x):

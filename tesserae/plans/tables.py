@@ -9,6 +9,7 @@ from tesserae.functions import stats
 from tesserae.operators.bootstrap import RESAMPLES, intervals, weight_sql
 from tesserae.operators.ranks import numbered
 from tesserae.operators.selection import values_at
+from tesserae.operators.sessions import next_marker
 from tesserae.plans.registry import query
 from tesserae.storage import cut, shuffle_parts
 
@@ -255,11 +256,11 @@ def representative(x):
 @query("w8_sessions", """WITH e AS (SELECT *, min(CASE WHEN event_type IN ('purchase', 'error') THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS m FROM events)
 SELECT a.event_id, coalesce(CASE WHEN b.event_type = 'purchase' THEN 'assigned' ELSE 'abandoned' END, 'unfinished') AS state FROM e a LEFT JOIN events b ON a.m = b.event_id WHERE a.event_type NOT IN ('purchase', 'error')""".replace("coalesce(CASE WHEN b.event_type = 'purchase' THEN 'assigned' ELSE 'abandoned' END, 'unfinished')", "CASE WHEN b.event_id IS NULL THEN 'unfinished' WHEN b.event_type = 'purchase' THEN 'assigned' ELSE 'abandoned' END"))
 def sessions(x):
-    """Lines belong to the next marker of their file (here: user); one kind of marker discards them."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
-    marker = F.first(F.when(F.col("event_type").isin("purchase", "error"), F.col("event_type")), ignorenulls=True).over(w)
+    """Lines belong to the next marker of their log (here: user); one kind of marker discards them."""
+    marker = F.when(F.col("event_type").isin("purchase", "error"), F.col("event_type"))
     state = F.when(F.col("marker").isNull(), "unfinished").when(F.col("marker") == "purchase", "assigned").otherwise("abandoned")
-    return x.events.withColumn("marker", marker).where(~F.col("event_type").isin("purchase", "error")).select("event_id", state.alias("state"))
+    found = next_marker(x.events.select("user_id", "event_id", "event_type"), ["user_id"], [F.col("event_id")], marker)
+    return found.where(~F.col("event_type").isin("purchase", "error")).select("event_id", state.alias("state"))
 
 
 @query("w11_tail_split", "WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) - 1 AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderkey, CASE WHEN r < 0.15 * n THEN 'val' ELSE 'train' END AS split FROM r")

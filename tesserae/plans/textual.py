@@ -10,12 +10,13 @@ from tesserae.operators import curation
 from tesserae.plans.registry import query
 
 
-@query("f1_last_code_block", r"""WITH c AS (SELECT doc_id, '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'and' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'no block' ELSE '```' || chr(10) || source || chr(10) || '```' END AS t, text, source FROM documents WHERE text NOT LIKE '%```%')
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE source END || chr(10) AS code, CASE WHEN doc_id % 3 = 0 OR contains(text, 'the') THEN text ELSE source END AS preferred, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n_blocks FROM c""".replace("AS preferred", "AS preferred_raw").replace("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE source END || chr(10) AS code, CASE WHEN doc_id % 3 = 0 OR contains(text, 'the') THEN text ELSE source END AS preferred_raw,", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE source END || chr(10) AS code, regexp_replace(regexp_replace(CASE WHEN doc_id % 3 = 0 OR (contains(text, 'the') AND NOT contains(source, 'the')) THEN text ELSE source END, '^\\n+', ''), '\\n+$', '') || chr(10) AS preferred,"))
+@query("f1_last_code_block", r"""WITH c AS (SELECT doc_id, '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'and' || chr(10) || CASE WHEN length(text) % 3 = 0 THEN 'no block' ELSE '```' || chr(10) || source || chr(10) || '```' END AS t FROM documents),
+b AS (SELECT doc_id, regexp_extract_all(t, '(?s)```(?:python|py)?\s*\n(.*?)```', 1) AS a, regexp_extract_all(t, '(?s)```(?:python|py|Python)?[ \t]*\n(.*?)```', 1) AS b FROM c)
+SELECT doc_id, a[-1] AS code, regexp_replace(regexp_replace(coalesce(list_filter(b, lambda x: contains(x, 'the'))[-1], b[-1]), '^\n+', ''), '\n+$', '') || chr(10) AS preferred, CAST(len(b) AS BIGINT) AS n_blocks FROM b""")
 def last_block(x):
-    """The last block, and the last that holds a name, else the last, with the number of blocks."""
-    last = F.when(F.col("doc_id") % 3 == 0, "no block").otherwise(F.concat(F.lit("```\n"), "source", F.lit("\n```")))
-    fenced = x.documents.where("NOT contains(text, '```')").select("doc_id", F.concat(F.lit("```python\n"), "text", F.lit("\n```\nand\n"), last).alias("t"))
+    """The last block, and the last that holds a name, else the last, with the number of blocks; over all documents, those with fences of their own too."""
+    last = F.when(F.length("text") % 3 == 0, "no block").otherwise(F.concat(F.lit("```\n"), "source", F.lit("\n```")))
+    fenced = x.documents.select("doc_id", F.concat(F.lit("```python\n"), "text", F.lit("\n```\nand\n"), last).alias("t"))
     found = text.code_block_preferring(F.col("t"), "the")
     return fenced.select("doc_id", text.last_code_block(F.col("t")).alias("code"), found["code"].alias("preferred"), found["n_blocks"].alias("n_blocks"))
 

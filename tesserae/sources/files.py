@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tesserae.sources.lines import numbered
+
 PATH = "_metadata.file_path"
 
 
@@ -25,9 +27,8 @@ def folder_of_texts(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def lines_with_paths(spark: SparkSession, pattern: str) -> DataFrame:
-    """(dir, file, line_no, line) of small files, blank lines left out but counted."""
-    whole = spark.read.text(pattern, wholetext=True).select(path_part(1).alias("dir"), stem().alias("file"), "value")
-    return whole.select("dir", "file", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    """(dir, line_no, line): the lines of each folder's files, one after another by name; blank lines left out but counted."""
+    return numbered(spark, pattern, path_part(1)).select(F.col("log").alias("dir"), "line_no", "line").where(F.trim("line") != "")
 
 
 def last_rows(spark: SparkSession, pattern: str, schema: str, order: str) -> DataFrame:

@@ -64,8 +64,8 @@ def test_sample_takes_the_next_unique(spark):
 
 def test_lines_of_logs(spark):
     assert one(spark, text.failure_lines(F.lit("ok\r\n\tError: a \r\nPASS Error: b\x0b FAIL: c\n\tError: a")).alias("l"))["l"] == ["Error: a", "FAIL: c"]
-    rows = spark.createDataFrame([("[turn 3] user: 12 chars",), ("step 5: loss=-1.5e-3",), ("[turn x] user: 1 chars",), ("",)], "value string")
-    assert [tuple(r) for r in lines.log_rows(rows).orderBy("kind").collect()] == [("step", 5, "loss", -0.0015), ("turn", 3, "user", 12.0)]
+    rows = spark.createDataFrame([("a", 0, "[turn 3] user: 12 chars"), ("a", 1, "step 5: loss=-1.5e-3"), ("a", 2, "[turn x] user: 1 chars"), ("a", 3, "")], "log string, line_no long, line string")
+    assert [tuple(r) for r in lines.log_rows(rows).orderBy("kind").collect()] == [("a", 1, "step", 5, "loss", -0.0015), ("a", 0, "turn", 3, "user", 12.0)]
     found = lines.values(F.lit("a: 1\nb: 2x\na: 3%\n c: 4"), ["a", "b", "c"])
     assert tuple(one(spark, lines.number(found["a"]), lines.number(found["b"]), found["c"])) == (3.0, 2.0, None)
 
