@@ -121,6 +121,43 @@ def head_tail(text: Column, most: int = 800, head: int = 300) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, head), F.lit("\n...\n"), F.right(text, F.lit(most - head - 5)))).otherwise(text)
 
 
+#: What a shortened line keeps of its head and its tail, and the length from which on lines are shortened.
+LINE_HEAD, LINE_TAIL, LONG_LINE = 150, 450, 640
+
+
+def shortened(text: Column, limit: int = 1500) -> Column:
+    """A text over `limit` characters, its longest lines cut in the middle until it fits; its head and tail where that isn't enough.
+
+    Longest lines go first, of equal ones the first.  Each but the last gives all it can, so what a line has to give is
+    the excess less the sum over the longer ones: one pass over the long lines in that order.
+    """
+    lines = F.split(text, "\n")
+    numbered = F.transform(lines, lambda line, i: F.struct((-F.length(line)).alias("less"), i.alias("i")))
+    long = F.array_sort(F.filter(numbered, lambda x: -x["less"] > LONG_LINE))
+    marker = lambda cut: F.concat(F.lit(" ...["), cut.cast("string"), F.lit(" chars truncated]... "))
+    tail = lambda size, excess: F.lit(LINE_TAIL) + F.greatest(F.lit(0), size - excess - LONG_LINE)
+
+    def take(state, x):
+        size = -x["less"]
+        kept = tail(size, state["excess"])
+        cut = size - LINE_HEAD - kept
+        saved = cut - F.length(marker(cut))
+        taken = F.struct((state["excess"] - saved).alias("excess"), F.concat(state["tails"], F.array(F.struct(x["i"].alias("i"), kept.alias("tail")))).alias("tails"))
+        return F.when(state["excess"] > 0, taken).otherwise(state)
+
+    start = F.struct((F.length(text) - limit).alias("excess"), F.array().cast("array<struct<i:int,tail:int>>").alias("tails"))
+    tails = F.map_from_entries(F.aggregate(long, start, take)["tails"])
+
+    def short(line, i):
+        kept = F.try_element_at(tails, i)
+        cut = F.length(line) - LINE_HEAD - kept
+        return F.when(kept.isNull(), line).otherwise(F.concat(F.substring(line, 1, LINE_HEAD), marker(cut), F.right(line, kept)))
+
+    out = F.array_join(F.transform(lines, short), "\n")
+    ends = F.concat(F.substring(out, 1, limit // 2), F.lit("\n...[truncated]...\n"), F.right(out, F.lit(limit // 2)))
+    return F.when(F.length(text) <= limit, text).when(F.length(out) > limit + 300, ends).otherwise(out)
+
+
 def kernel_count(code: Column) -> Column:
     return F.regexp_count(code, F.lit(r"(?m)^\s*@triton\.jit")).cast("long")
 

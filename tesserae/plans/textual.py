@@ -51,6 +51,16 @@ def head_tail(x):
     return x.documents.select("doc_id", text.head_tail(F.col("text")).alias("short"), text.token_estimate(F.col("text")).alias("tokens"))
 
 
+@query("f3_shortened", """WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE length(text) > 1500),
+k AS (SELECT *, length(l) AS n, length(l) - 600 AS all_cut, coalesce(sum(CASE WHEN length(l) > 640 THEN length(l) - 600 - 26 - length(CAST(length(l) - 600 AS VARCHAR)) END) OVER (PARTITION BY doc_id ORDER BY length(l) DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given FROM l),
+t AS (SELECT *, length(text) - 1500 - given AS excess, 450 + greatest(0, n - (length(text) - 1500 - given) - 640) AS tail FROM k),
+s AS (SELECT doc_id, string_agg(CASE WHEN n > 640 AND excess > 0 THEN left(l, 150) || ' ...[' || CAST(n - 150 - tail AS BIGINT) || ' chars truncated]... ' || right(l, CAST(tail AS BIGINT)) ELSE l END, chr(10) ORDER BY i) AS o FROM t GROUP BY 1)
+SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN text WHEN length(o) > 1800 THEN left(o, 750) || chr(10) || '...[truncated]...' || chr(10) || right(o, 750) ELSE o END AS short FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id""")
+def shortened(x):
+    """Whole texts, the longest lines cut in the middle until 1,500 characters are left."""
+    return x.documents.select("doc_id", text.shortened(F.col("text")).alias("short"))
+
+
 @query("p10_failure_lines", """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split('Error: ' || text || chr(10) || 'PASS Error: x', chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '' AND NOT left(s, 6) LIKE '%PASS%' AND (s LIKE '%Error:%' OR s LIKE '%FAIL:%' OR s LIKE '%FAIL --%' OR s LIKE '%Trial %' OR s LIKE '%exceeds tol%' OR s LIKE '%Error %' OR s LIKE '%OutOfResources%' OR s LIKE '%error:%' OR s LIKE '%FATAL%' OR s LIKE '%illegal memory%' OR s LIKE '%WARNING: bench%')) AS l FROM documents)
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n, left(l[1], 300) AS first FROM l""")
 def failure_lines(x):
@@ -64,10 +74,21 @@ def hosts(x):
     return p.join(p.groupBy("host").agg(F.count("*").alias("n")), "host").select("page_id", "host", "n")
 
 
-@query("f9_chat_messages", """SELECT doc_id, 'system: be brief' || chr(10) || 'user: ' || lang || chr(10) || 'assistant: ' || text AS rendered, [0, 0, 1] AS loss_mask FROM documents""")
+@query("f9_chat_messages", """WITH d AS (SELECT doc_id, lang, text, length(text) - length(replace(text, chr(10), '')) AS n, toxic = 1 AS fixed FROM documents LEFT JOIN labels USING (doc_id)),
+l AS (SELECT *, CASE WHEN fixed THEN 'Fixed Triton ' ELSE 'Triton ' END || lang || CASE WHEN n > 0 THEN ' (' || n || ' @triton.jit kernel' || CASE WHEN n <> 1 THEN 's' ELSE '' END || ')' ELSE '' END || CASE WHEN fixed THEN ' for the bench failure above' ELSE '' END || '; full file with ModelNew below.' AS lead FROM d),
+m AS (SELECT doc_id, 'system: be brief' || chr(10) || 'user: ' || lang AS head, coalesce(lead, '') AS lead, text, fixed FROM l)
+SELECT doc_id, head || chr(10) || 'assistant: ' || CASE WHEN fixed THEN 'it' || chr(10) || 'user: failed' || chr(10) || 'assistant: ' ELSE '' END || lead || chr(10) || chr(10) || '```python' || chr(10) || regexp_replace(text, '[ \t\n\x0B\f\r]+$', '') || chr(10) || '```' AS rendered,
+  CASE WHEN fixed THEN [0, 0, 1, 0, 1] ELSE [0, 0, 1] END AS loss_mask FROM m""".replace("toxic = 1 AS fixed", "coalesce(toxic = 1, false) AS fixed"))
 def chat_messages(x):
-    messages = F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit("be brief")), ("user", F.col("lang")), ("assistant", F.col("text")))])
-    m = x.documents.select("doc_id", messages.alias("m"))
+    """Messages of each document, with a lead-in that counts; a repair shows the failed try and its feedback first.  Only what the assistant says is learned."""
+    d = x.documents.join(x.labels.select("doc_id", "toxic"), "doc_id", "left")
+    fixed = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    lead = text.lead_in(F.col("lang"), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), fixed)
+    code = F.concat(F.coalesce(lead, F.lit("")), F.lit("\n\n```python\n"), F.regexp_replace("text", "[ \\t\\n\\x0B\\f\\r]+$", ""), F.lit("\n```"))
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    head = [message("system", F.lit("be brief")), message("user", F.col("lang"))]
+    tried = [message("assistant", F.lit("it")), message("user", F.lit("failed"))]
+    m = d.select("doc_id", F.when(fixed, F.array(*head, *tried, message("assistant", code))).otherwise(F.array(*head, message("assistant", code))).alias("m"))
     return m.select("doc_id", F.array_join(F.transform("m", lambda e: F.concat(e["role"], F.lit(": "), e["content"])), "\n").alias("rendered"), F.transform("m", lambda e: (e["role"] == "assistant").cast("int")).alias("loss_mask"))
 
 

@@ -79,6 +79,33 @@ def test_texts(spark):
     assert tuple(one(spark, files.front_matter(F.lit("---\na: 1\nb: x\n---\nrest")), files.body(F.lit("---\na: 1\n---\nrest")), files.front_matter(F.lit("rest")))) == ({"a": "1", "b": "x"}, "rest", {})
 
 
+def plainly_shortened(t: str, limit: int) -> str:
+    if len(t) <= limit:
+        return t
+    own = t.split("\n")
+    size = lambda: sum(map(len, own)) + len(own) - 1
+    while size() > limit:
+        longest = max(own, key=len)
+        if len(longest) <= 640:
+            break
+        at, tail = own.index(longest), 450 + max(0, max(640, len(longest) - (size() - limit)) - 640)
+        own[at] = f"{longest[:150]} ...[{len(longest) - 150 - tail} chars truncated]... {longest[len(longest) - tail :]}"
+    out = "\n".join(own)
+    return out if len(out) <= limit + 300 else out[: limit // 2] + "\n...[truncated]...\n" + out[-(limit // 2) :]
+
+
+def test_shortened(spark):
+    """Step by step against the one pass, with ties between equal lines, lines at the bounds, and texts that can't fit."""
+    import random
+
+    rng = random.Random(8)
+    made = ["", "a" * 1500, "a" * 1501, "\n" * 1600, *["\n".join(chr(97 + i % 26) * rng.choice([0, 5, 100, 639, 640, 641, 650, 700, 700, 900, 2000, 60_000]) for i in range(rng.randrange(1, 9))) for _ in range(300)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "i long, t string")
+    for limit in (1500, 2500):
+        got = {r["i"]: r["s"] for r in df.select("i", text.shortened(F.col("t"), limit).alias("s")).collect()}
+        assert got == {i: plainly_shortened(t, limit) for i, t in enumerate(made)}
+
+
 def test_verdicts(spark):
     ok = lambda *c: F.array(*[F.struct(F.lit(a).cast("boolean").alias("ok"), F.lit(r).alias("reason")) for a, r in c])
     t, f = F.lit(True), F.lit(False)
