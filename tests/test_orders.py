@@ -133,3 +133,22 @@ def test_bootstrap_medians(spark, monkeypatch):
         assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-12) for k in want)
     w = bootstrap.weights(np.arange(3000), 0, 300)
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.08
+
+
+def test_best_matches(spark):
+    """A word that all rows and items hold, words that most hold, equal scores, sets without partners, sizes far apart."""
+    from tesserae.operators import similarity
+
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(30)]
+    made = lambda k, n: sorted({"all", *rng.sample(common, k), *(f"r{rng.randrange(400)}" for _ in range(n))})
+    items = [(i, made(rng.randrange(0, 25), rng.randrange(0, 12))) for i in range(60)] + [(60, ["all"]), (61, ["lone"]), (62, [])]
+    rows = [(i, made(rng.randrange(0, 30), rng.randrange(0, 30))) for i in range(400)] + [(400, items[7][1]), (401, ["nothing"]), (402, []), (403, None), (404, ["all", "x1", "x2"])]
+    got = {r["r"]: (r["i"], round(r["score"], 12), r["shared"]) for r in similarity.best_matches(spark.createDataFrame(rows, "r long, elements array<string>"), "r", spark.createDataFrame(items, "i long, elements array<string>"), "i").collect()}
+    want = {}
+    for r, own in rows:
+        scores = [(-len(set(own or []) & set(e)) / len(set(own or []) | set(e)), i, len(set(own or []) & set(e))) for i, e in items if set(own or []) & set(e)]
+        if scores:
+            s, i, n = min(scores)
+            want[r] = (i, round(-s, 12), n)
+    assert got == want and got[400][1] == 1.0
