@@ -188,11 +188,13 @@ def containment(x):
 WORDS = "[A-Za-z]+"
 
 
-@query("j8_best_match", f"""WITH d AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '{WORDS}'), lambda w: lower(w)))) AS w FROM documents), i AS (SELECT item_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '{WORDS}'), lambda w: lower(w)))) AS w FROM benchmark),
+BEST_MATCH_SQL = f"""WITH d AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '{WORDS}'), lambda w: lower(w)))) AS w FROM documents), i AS (SELECT item_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '{WORDS}'), lambda w: lower(w)))) AS w FROM benchmark),
 dn AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN i USING (w) GROUP BY ALL),
 b AS (SELECT doc_id, max(struct_pack(s := shared / (dn.n + n.n - shared), k := -item_id, o := shared)) AS b FROM m JOIN dn USING (doc_id) JOIN n USING (item_id) GROUP BY 1)
-SELECT d.doc_id, -(b).k AS item_id, coalesce((b).s, 0) AS score, coalesce((b).o, 0) AS shared, coalesce((b).s >= 0.5, false) AS near FROM documents d LEFT JOIN b USING (doc_id)""")
-def best_match(x):
+SELECT d.doc_id, -(b).k AS item_id, coalesce((b).s, 0) AS score, coalesce((b).o, 0) AS shared, coalesce((b).s >= 0.5, false) AS near FROM documents d LEFT JOIN b USING (doc_id)"""
+
+
+def best_words(x):
     """Each document's most similar benchmark item by the words that both use, of which most documents have many in common."""
 
     def sets(df, key):
@@ -204,6 +206,9 @@ def best_match(x):
     return found.select("doc_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), F.coalesce(F.col("score") >= 0.5, F.lit(False)).alias("near"))
 
 
+query("j8_best_match", BEST_MATCH_SQL)(best_words)
+
+
 @query("j11_override", "WITH b AS (SELECT user_id, sum(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1), a AS (SELECT user_id, sum(value) AS v FROM events GROUP BY 1) SELECT * FROM b UNION ALL SELECT * FROM a WHERE user_id NOT IN (SELECT user_id FROM b)")
 def override(x):
     total = lambda df: df.groupBy("user_id").agg(F.sum("value").alias("v"))

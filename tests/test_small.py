@@ -38,7 +38,7 @@ def test_decontamination_cases(spark):
     got = {r["doc_id"]: r for r in decontaminate(Made(spark, documents=docs, benchmark=items)).collect()}
     assert {k: r["contaminated"] for k, r in got.items()} == {0: True, 1: True, 2: False, 3: False, 4: False, 5: False, 6: True}
     assert got[0]["overlap"] == 1.0 and got[0]["jaccard"] == 1.0 and got[1]["overlap"] == 0.5 and got[1]["item_id"] == 0
-    assert got[2]["overlap"] == 0.0 and got[3]["overlap"] == 1.0
+    assert got[2]["overlap"] == 0.0 and got[3]["overlap"] == 1.0 and got[6]["equal"] is False and got[0]["shared"] == 4 and got[3]["skipped"]
 
 
 def test_mix_keeps_its_shares(spark):
