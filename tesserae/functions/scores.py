@@ -61,6 +61,58 @@ def tolerance_check(out: Column, golden: Column, atol: Column, rtol: Column) ->
     }
 
 
+def _finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+
+def _pairs(out: Column, golden: Column) -> Column:
+    return F.zip_with(out, golden, lambda o, g: F.struct(o.alias("o"), g.alias("g")))
+
+
+def _count(pairs: Column, rule) -> Column:
+    return F.size(F.filter(pairs, rule)).cast("long")
+
+
+def loose_check(out: Column, golden: Column, tol: float, loose: float) -> dict[str, Column]:
+    """Where the golden value is finite |o - g| <= t + t * |g|, else the same infinity or both NaN; by a strict and a loose t.  With `finite_only` only non-finite outputs where the golden value is finite count."""
+    pairs = _pairs(out, golden)
+    lost = _count(pairs, lambda p: _finite(p["g"]) & ~_finite(p["o"]))
+    both_nan = lambda p: F.isnan(p["o"]) & F.isnan(p["g"])
+    other = _count(pairs, lambda p: ~_finite(p["g"]) & ~((p["o"] == p["g"]) | both_nan(p)))
+    far = lambda t: _count(pairs, lambda p: _finite(p["g"]) & _finite(p["o"]) & (F.abs(p["o"] - p["g"]) > t + t * F.abs(p["g"])))
+    sound = F.filter(pairs, lambda p: _finite(p["g"]) & _finite(p["o"]))
+    return {
+        "n_viol": far(tol) + lost + other, "ok": far(tol) + lost + other == 0, "loose_ok": far(loose) + lost + other == 0, "n_nonfinite": lost, "finite_only_ok": lost == 0,
+        "max_abs": F.coalesce(F.array_max(F.transform(sound, lambda p: F.abs(p["o"] - p["g"]))), F.lit(0.0)),
+    }
+
+
+def pattern_check(out: Column, golden: Column, tol: float, strict: float) -> dict[str, Column]:
+    """NaNs must stand in the same places; then every pair is close by both bounds, infinities equal."""
+    pairs = _pairs(out, golden)
+    same = ~F.exists(pairs, lambda p: F.isnan(p["o"]) != F.isnan(p["g"]))
+    close = lambda t: (lambda p: F.isnan(p["g"]) | (p["o"] == p["g"]) | (_finite(p["o"]) & _finite(p["g"]) & (F.abs(p["o"] - p["g"]) <= t + t * F.abs(p["g"]))))
+    sound = F.filter(pairs, lambda p: _finite(p["g"]) & _finite(p["o"]))
+    return {
+        "match": same & F.forall(pairs, close(tol)), "strict": same & F.forall(pairs, close(strict)), "n_bad": F.when(same, _count(pairs, lambda p: ~close(tol)(p))),
+        "max_diff": F.when(same, F.coalesce(F.array_max(F.transform(sound, lambda p: F.abs(p["o"] - p["g"]))), F.lit(0.0))),
+    }
+
+
+def zero_rows(out: Column, golden: Column, width: int) -> Column:
+    """Rows of so many numbers that are all 0 where the golden ones aren't."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(out) - 1) / width).cast("int"))
+    zero = lambda x, i: F.forall(F.slice(x, i * width + 1, F.lit(width)), lambda v: v == 0)
+    return F.size(F.filter(starts, lambda i: zero(out, i) & ~zero(golden, i))).cast("long")
+
+
+def kernel_bench_verdict(reported: Column, log: Column, timed_out: Column) -> Column:
+    """What the run reported, if it passed; a crash by the marks of its log; a run without a result and with a traceback crashed."""
+    nothing = F.coalesce(reported, F.lit("")) == ""
+    crash = (log.contains("Traceback") & nothing) | log.contains("instantiation failed") | log.contains("SyntaxError")
+    return F.when(timed_out, "TIMEOUT").when(reported.eqNullSafe("PASS"), "PASS").when(crash, "CRASH").otherwise("FAIL")
+
+
 def tolerance_floor(rtol: Column, unit_roundoff: Column) -> Column:
     return F.greatest(rtol, 2 * unit_roundoff)
 

@@ -22,6 +22,21 @@ FAMILY_PATTERNS = [
     ("reduce", r"torch\.(sum|mean|amax|amin|prod|logsumexp|var|std|norm|max|min)\(|\.(sum|mean|amax|amin|prod|logsumexp|var|std|norm)\("),
     ("activation", r"relu|ReLU|gelu|GELU|silu|SiLU|sigmoid|Sigmoid|tanh|Tanh|\belu\b|ELU|leaky|Leaky|softplus|Softplus|hardswish|Hardswish|mish|Mish|swish|Swish|hardtanh|Hardtanh|selu|SELU|celu|CELU"),
 ]
+#: The second table, for sources without comments; the mlp family has a rule of its own.
+SECOND_PATTERNS = [
+    ("softmax", r"softmax|Softmax"),
+    ("layernorm", r"layer_norm|LayerNorm"),
+    ("rmsnorm", r"rms_norm|RMSNorm|RmsNorm|\brms\b|rsqrt\([^\n]*pow\(2\)[^\n]*mean|pow\(2\)\.mean\([^\n]*rsqrt"),
+    ("cross_entropy", r"cross_entropy|CrossEntropyLoss|nll_loss|NLLLoss"),
+    ("rotary", r"rotary|Rotary|\brope\b|RoPE|rotate_half|freqs_cis|apply_rotary"),
+    ("attention", r"scaled_dot_product_attention|MultiheadAttention|[Aa]ttention|\battn\b"),
+    ("matmul", r"matmul|\bmm\(|\bbmm\(|einsum|nn\.Linear|\bLinear\(|F\.linear|addmm|baddbmm|\S\s*@\s*\S"),
+    ("activation", r"relu|ReLU|gelu|GELU|silu|SiLU|sigmoid|Sigmoid|tanh|Tanh|swish|mish|Mish|\belu\b|ELU|hardswish|Hardswish|softplus|Softplus|hardtanh|Hardtanh|selu|SELU|\bglu\b|GLU|hardsigmoid|Hardsigmoid"),
+    ("conv", r"conv[123]d|Conv[123]d|conv_transpose|ConvTranspose"),
+    ("reduce", r"\.(sum|mean|amax|amin|max|min|prod|argmax|argmin|norm|var|std|logsumexp|cumsum|cumprod|all|any)\(|torch\.(sum|mean|amax|amin|max|min|prod|argmax|argmin|norm|var|std|logsumexp|cumsum|cumprod)\("),
+]
+MLP_NAME = r"\bmlp\b|MLP|[Ff]eed[_]?[Ff]orward|\bffn\b|FFN|gate_proj|up_proj|down_proj"
+LINEAR_CALL = r"nn\.Linear\(|\bLinear\(|F\.linear\("
 FAMILY_ORDER = ["rotary", "attention", "mlp", "matmul", "cross_entropy", "rmsnorm", "layernorm", "softmax", "reduce", "activation", "conv", "other"]
 
 
@@ -74,25 +89,28 @@ def failure_category(verdict: Column, log: Column, smoke: Column, stability: Col
 
 
 def outcome_category(code: Column, verdict: Column, reason: Column, reasons: Column, exc_type: Column, exc_where: Column) -> Column:
-    """One of ten, in this order of precedence."""
-    r, fr = F.coalesce(reason, F.lit("")), F.coalesce(reasons, F.lit(""))
-    et, where = F.coalesce(exc_type, F.lit("")), F.coalesce(exc_where, F.lit(""))
-    crash = (
-        F.when(r.startswith("import:"), "python")
-        .when((et == "OutOfResources") | r.contains("OutOfResources"), "runtime_resources")
-        .when(r.contains("fatal CUDA") | r.contains("illegal memory") | r.contains("CUDA error"), "runtime")
-        .when((et == "CompilationError") | (where == "triton_compile"), "compile")
-        .otherwise("python")
-    )
-    later = (
-        F.when(fr.contains("OutOfResources"), "runtime_resources").when(fr.contains("CompilationError"), "compile")
-        .when(fr.contains("CUDA error") | fr.contains("illegal memory"), "runtime").otherwise("python")
-    )
-    return (
-        F.when(F.trim(F.coalesce(code, F.lit(""))) == "", "format").when(verdict == "PASS", "pass")
-        .when((verdict == "TIMEOUT") | fr.contains("TIMEOUT"), "timeout").when(verdict == "INFRA_ERROR", "infra")
-        .when(verdict == "CRASH", crash).when(fr.contains("no Triton kernel launched"), "no_triton").when(fr.contains("EXC "), later).otherwise("numerics")
-    )
+    """One of ten: the first class whose condition holds."""
+    said = lambda c: F.coalesce(c, F.lit(""))
+    why, notes, raised, place = said(reason), said(reasons), said(exc_type), said(exc_where)
+    any_of = lambda c, *marks: F.lit(False) if not marks else c.contains(marks[0]) | any_of(c, *marks[1:])
+    crashed, late = verdict == "CRASH", notes.contains("EXC ")
+    classes = [
+        ("format", F.trim(said(code)) == ""),
+        ("pass", verdict == "PASS"),
+        ("timeout", (verdict == "TIMEOUT") | notes.contains("TIMEOUT")),
+        ("infra", verdict == "INFRA_ERROR"),
+        ("python", crashed & why.startswith("import:")),
+        ("runtime_resources", crashed & ((raised == "OutOfResources") | any_of(why, "OutOfResources"))),
+        ("runtime", crashed & any_of(why, "fatal CUDA", "illegal memory", "CUDA error")),
+        ("compile", crashed & ((raised == "CompilationError") | (place == "triton_compile"))),
+        ("python", crashed),
+        ("no_triton", any_of(notes, "no Triton kernel launched")),
+        ("runtime_resources", late & any_of(notes, "OutOfResources")),
+        ("compile", late & any_of(notes, "CompilationError")),
+        ("runtime", late & any_of(notes, "CUDA error", "illegal memory")),
+        ("python", late),
+    ]
+    return F.coalesce(*[F.when(condition, name) for name, condition in classes], F.lit("numerics"))
 
 
 def normal_message(category: Column, message: Column) -> Column:
@@ -107,6 +125,15 @@ def families(source: Column, patterns: list[tuple[str, str]] | None = None) -> C
     return F.when(F.size(tags) == 0, F.array(F.lit("other"))).otherwise(tags)
 
 
+def source_families(source: Column) -> Column:
+    """By the second table, over a source without comments and docstrings; an mlp by its name, or by two linear layers and an activation."""
+    plain = strip_comments(source)
+    tags = F.array_compact(F.array(*[F.when(plain.rlike(p), t) for t, p in SECOND_PATTERNS]))
+    mlp = plain.rlike(MLP_NAME) | ((F.regexp_count(plain, F.lit(LINEAR_CALL)) >= 2) & F.array_contains(tags, "activation"))
+    tags = F.when(mlp, F.array_append(tags, "mlp")).otherwise(tags)
+    return F.when(F.size(tags) == 0, F.array(F.lit("other"))).otherwise(tags)
+
+
 def primary_family(tags: Column, order: list[str] | None = None) -> Column:
     wanted = F.array(*[F.lit(x) for x in order or FAMILY_ORDER])
     return F.coalesce(F.try_element_at(F.array_intersect(wanted, tags), F.lit(1)), F.lit("other"))

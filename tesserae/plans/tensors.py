@@ -49,8 +49,9 @@ def reductions(t):
     return vectors(t).select("vec_id", arrays.total(F.col("x")).alias("total"), F.array_max("x").alias("high"))
 
 
-ERF_SQL = "(1 / (1 + 0.3275911 * abs(e / sqrt(2.0))))"
-GELU_SQL = f"""0.5 * e * (1 + sign(e) * (1 - {ERF_SQL} * (0.254829592 + {ERF_SQL} * (-0.284496736 + {ERF_SQL} * (1.421413741 + {ERF_SQL} * (-1.453152027 + {ERF_SQL} * 1.061405429)))) * exp(-e * e / 2)))"""
+#: The series by the gamma function, another way than the nested one.
+ERF_SQL = "exp(-e * e / 2) * list_sum(list_transform(range(0, 110), lambda n: exp((2 * n + 1) * ln(greatest(abs(e) / sqrt(2.0), 1e-300)) - lgamma(n + 1.5))))"
+GELU_SQL = f"0.5 * e * (1 + sign(e) * CASE WHEN abs(e) / sqrt(2.0) >= 6 THEN 1.0 ELSE {ERF_SQL} END)"
 
 
 @query("x6_gated_mlp", f"""WITH {V_SQL} SELECT vec_id, unnest(range(len(x))) AS i, unnest(list_transform(x, lambda e: e / (1 + exp(-e)) * e)) AS gated, unnest(list_transform(x, lambda e: {GELU_SQL})) AS gelu,
@@ -91,6 +92,30 @@ def tolerance(t):
     return vectors(t).select("vec_id", *[found[n].alias(n) for n in ("n_viol", "max_abs_err", "ok")])
 
 
+ODD_SQL = """o AS (SELECT vec_id, list_transform(x, lambda e, i: CASE WHEN vec_id % 7 = 0 AND i = 1 THEN 'inf'::DOUBLE WHEN vec_id % 7 = 1 AND i = 2 THEN 'nan'::DOUBLE WHEN vec_id % 7 = 2 AND i <= 8 THEN 0.0 ELSE e END) AS g,
+  list_transform(x, lambda e, i: CASE WHEN vec_id % 7 = 0 AND i = 1 THEN CASE WHEN vec_id % 2 = 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END WHEN vec_id % 7 = 1 AND i = 2 AND vec_id % 2 = 0 THEN 'nan'::DOUBLE WHEN vec_id % 7 = 3 AND i = 3 THEN 'nan'::DOUBLE
+    WHEN vec_id % 5 = 1 AND i BETWEEN 9 AND 16 THEN 0.0 ELSE e + e * (vec_id % 11) / 1000 END) AS o FROM v),
+p AS (SELECT vec_id, o, g, list_transform(list_zip(o, g), lambda t: {'o': t[1], 'g': t[2], 'of': isfinite(t[1]), 'gf': isfinite(t[2]), 'd': abs(t[1] - t[2])}) AS p FROM o),
+c AS (SELECT vec_id, o, g, p, CAST(len(list_filter(p, lambda t: t.gf AND NOT t.of)) AS BIGINT) AS lost, CAST(len(list_filter(p, lambda t: NOT t.gf AND NOT (CASE WHEN isnan(t.g) THEN isnan(t.o) ELSE t.o = t.g END))) AS BIGINT) AS other,
+  CAST(len(list_filter(p, lambda t: t.gf AND t.of AND t.d > 0.002 + 0.002 * abs(t.g))) AS BIGINT) AS far, CAST(len(list_filter(p, lambda t: t.gf AND t.of AND t.d > 0.005 + 0.005 * abs(t.g))) AS BIGINT) AS loose_far,
+  len(list_filter(p, lambda t: isnan(t.o) <> isnan(t.g))) = 0 AS same, coalesce(list_max(list_transform(list_filter(p, lambda t: t.of AND t.gf), lambda t: t.d)), 0) AS most,
+  CAST(len(list_filter(p, lambda t: NOT isnan(t.g) AND NOT (t.o = t.g OR (t.of AND t.gf AND t.d <= 0.002 + 0.002 * abs(t.g))))) AS BIGINT) AS bad, len(list_filter(p, lambda t: NOT isnan(t.g) AND NOT (t.o = t.g OR (t.of AND t.gf AND t.d <= 0.0005 + 0.0005 * abs(t.g))))) AS strict_bad FROM p)"""
+
+
+@query("f29_variants", f"""WITH {V_SQL}, {ODD_SQL} SELECT vec_id, far + lost + other AS n_viol, far + lost + other = 0 AS ok, loose_far + lost + other = 0 AS loose_ok, lost AS n_nonfinite, lost = 0 AS finite_only_ok, most AS max_abs,
+  same AND bad = 0 AS match, same AND strict_bad = 0 AS strict, CASE WHEN same THEN bad END AS n_bad, CASE WHEN same THEN most END AS max_diff,
+  CAST(len(list_filter(range(0, len(o) // 8), lambda r: len(list_filter(list_slice(o, r * 8 + 1, r * 8 + 8), lambda e: e <> 0)) = 0 AND len(list_filter(list_slice(g, r * 8 + 1, r * 8 + 8), lambda e: e <> 0)) > 0)) AS BIGINT) AS zero_rows FROM c""")
+def tolerance_variants(t):
+    """Strict and loose bounds with non-finite golden values, NaN patterns, and rows of zeros, over vectors with planted faults."""
+    k, inf, nan = F.col("vec_id"), F.lit(float("inf")), F.lit(float("nan"))
+    golden = F.transform("x", lambda e, i: F.when((k % 7 == 0) & (i == 0), inf).when((k % 7 == 1) & (i == 1), nan).when((k % 7 == 2) & (i < 8), 0.0).otherwise(e))
+    sign = F.when(k % 2 == 0, inf).otherwise(-inf)
+    out = F.transform("x", lambda e, i: F.when((k % 7 == 0) & (i == 0), sign).when((k % 7 == 1) & (i == 1) & (k % 2 == 0), nan).when((k % 7 == 3) & (i == 2), nan).when((k % 5 == 1) & i.between(8, 15), 0.0).otherwise(e + e * (k % 11) / 1000))
+    rows = vectors(t).select("vec_id", golden.alias("g"), out.alias("o"))
+    found = scores.loose_check(F.col("o"), F.col("g"), 0.002, 0.005) | scores.pattern_check(F.col("o"), F.col("g"), 0.002, 0.0005) | {"zero_rows": scores.zero_rows(F.col("o"), F.col("g"), 8)}
+    return rows.select("vec_id", *[c.alias(n) for n, c in found.items()])
+
+
 @query("f31_roofline", """WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice * 1e9 / (l_quantity * 1e-3) / 1e12 AS tflops, l_quantity * 1e6 / (l_quantity * 1e-3) / 1e9 AS gbs, l_extendedprice * 1e9 / (l_quantity * 1e6) AS intensity FROM lineitem)
 SELECT l_orderkey, l_linenumber, tflops, gbs, intensity, CASE WHEN intensity < 120e12 / 300e9 THEN 'memory' ELSE 'compute' END AS bound, CASE WHEN intensity < 120e12 / 300e9 THEN 100 * gbs / 300 ELSE 100 * tflops / 120 END AS pct_peak FROM r""")
 def roofline(t):

@@ -137,3 +137,14 @@ def test_jsonl(spark, tmp_path):
 
 def test_names_are_those_of_the_survey():
     assert len(catalog.QUERIES) >= 145 and set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
+
+
+def test_erf(spark):
+    import math
+
+    from tesserae.functions import arrays
+
+    made = [0.0, -0.0, 1e-300, 1e-8, 0.1, -0.5, 1.0, 2.5, -4.0, 5.9, 6.0, 50.0, float("inf"), float("-inf")] + [i / 97 for i in range(-600, 600, 7)]
+    for r in spark.createDataFrame([(v,) for v in made], "v double").select("v", arrays.erf(F.col("v")).alias("e")).collect():
+        assert math.isclose(r["e"], math.erf(r["v"]), rel_tol=1e-12, abs_tol=0.0), r
+    assert math.isnan(one(spark, arrays.erf(F.lit(float("nan"))).alias("e"))["e"])
