@@ -140,3 +140,78 @@ def tie_probability(values: DataFrame, group: str, value: str, size: int) -> Dat
     per = counts.groupBy(group).agg(F.sum("c").alias("n"), F.collect_list("c").alias("cs")).where(F.col("n") >= size)
     p = F.aggregate("cs", F.lit(0.0), lambda a, c: a + F.when(c >= size, F.exp(log_choose(c) - log_choose(F.col("n")))).otherwise(F.lit(0.0)))
     return per.select(p.alias("p")).agg(F.count("*").alias("n_groups"), F.avg("p").alias("tie_probability"))
+
+
+def neighbour_repairs(rounds: DataFrame, least_speedup: float) -> DataFrame:
+    """Each round but a trajectory's last (traj_id, turn, code, known, good, speedup) with `kind`, the repair that the next one would be, and `skipped`, the first reason why it is none."""
+    w = Window.partitionBy("traj_id").orderBy("turn")
+    pairs = rounds.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in ("turn", "code", "known", "good", "speedup")]).where("next_turn IS NOT NULL")
+    reasons = [
+        ("turn_not_failed", F.col("good") & (F.col("speedup") >= least_speedup)),
+        ("next_result_unknown", ~F.coalesce("next_known", F.lit(False))),
+        ("next_not_better", ~F.col("next_good")),
+        ("next_not_faster", F.col("good") & ~(F.col("next_speedup") > F.col("speedup"))),
+        ("failed_turn_no_code", F.col("code").isNull()),
+        ("next_no_code", F.col("next_code").isNull()),
+        ("identical_code", F.trim("code") == F.trim("next_code")),
+    ]
+    kind = F.when(F.col("good"), "slow_to_faster").otherwise("incorrect_to_correct")
+    return pairs.withColumns({"skipped": F.coalesce(*[F.when(c, n) for n, c in reasons]), "kind": kind})
+
+
+def later_repairs(rounds: DataFrame, key: str, starter: str) -> DataFrame:
+    """(key, target, reason) of failing rounds (traj_id, turn, code, good, passing): the code of the first later round that is known to pass, and why the pair is dropped."""
+    # read backwards, so that the window grows by one row at a time
+    back = Window.partitionBy("traj_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
+    target = F.last(F.when(F.col("passing"), F.col("code")), ignorenulls=True).over(back)
+    failing = rounds.withColumn("target", target).where(~F.col("good"))
+    reasons = [
+        ("no_later_pass", F.col("target").isNull()),
+        ("failed_no_code", F.col("code").isNull()),
+        ("failed_code_is_pass", F.col("passing")),
+        ("target_is_starter", F.col("target") == starter),
+        ("failed_same_as_target", F.col("code") == F.col("target")),
+    ]
+    told = failing.withColumn("reason", F.coalesce(*[F.when(c, n) for n, c in reasons]))
+    # of equal pairs the first, by an aggregate: a pair may be a hot one
+    first = told.where("reason IS NULL").groupBy("code", "target").agg(F.min(key).alias("first"))
+    kept = told.join(first, ["code", "target"], "left")
+    return kept.select(key, "target", F.when(F.col("reason").isNull() & (F.col(key) != F.col("first")), "duplicate_pair").otherwise(F.col("reason")).alias("reason"))
+
+
+def overridden(rows: DataFrame, run: str, base: str, over: str) -> DataFrame:
+    """The rows of run `base`, but those of the problems that run `over` covers from there only."""
+    covered = rows.where(F.col(run) == over).select("task_id").distinct()
+    return rows.where(F.col(run) == base).join(covered, "task_id", "left_anti").unionByName(rows.where(F.col(run) == over))
+
+
+def judged_episodes(turns: DataFrame, keep: list[str], least_gain: float = 1.05) -> DataFrame:
+    """One row a trajectory.  A turn solves if it passes with code that isn't the starter's, and beats it if its speedup and the lower end of the interval show a gain."""
+    solved = passes() & ~F.col("is_starter")
+    w = Window.partitionBy("traj_id").orderBy("turn")
+    seen = turns.withColumns({"solved": solved, "beat": solved & (F.col("speedup") > least_gain) & (F.col("low") > 1.0)})
+    seen = seen.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in ("verdict", "message", "solved")])
+    failed, then = F.col("verdict") != "PASS", F.col("next_verdict") != "PASS"
+    same = (F.col("verdict") == F.col("next_verdict")) & (F.col("message") == F.col("next_message"))
+    return seen.groupBy(*keep, "task_id", "traj_id").agg(
+        F.max(passes()).alias("passed"), F.max("solved").alias("solved"), F.max("beat").alias("beat"), F.max(F.col("solved") & (F.col("turn") == 0)).alias("solved_first"),
+        F.count("*").alias("turns"), F.count_if(F.col("verdict") == "CRASH").alias("crashed"), F.count_if(failed).alias("failed"), F.count_if("solved").alias("n_solved"), F.count_if(passes() & F.col("is_starter")).alias("starters"),
+        F.count_if(failed & then).alias("pairs"), F.count_if(failed & then & same).alias("same"), F.count_if(failed & F.col("next_verdict").isNotNull()).alias("fail_next"), F.count_if(failed & F.col("next_solved")).alias("fail_solved"),
+        F.max(F.when(F.col("solved"), F.col("speedup"))).alias("best"),
+    )
+
+
+def report(episodes: DataFrame, scope: str) -> DataFrame:
+    """One row for each scope: rates within problems first, then over problems; shares of turns and of neighbouring pairs; the best speedups."""
+    rate = lambda c, n: (F.avg(F.col(c).cast("double")).alias(f"{n}_1"), F.max(F.col(c).cast("int")).alias(f"{n}_n"))
+    sums = ["turns", "crashed", "failed", "n_solved", "starters", "pairs", "same", "fail_next", "fail_solved"]
+    task = episodes.groupBy(scope, "task_id").agg(
+        F.count("*").alias("episodes"), *rate("solved", "p"), *rate("solved_first", "t"), *rate("passed", "a"), *rate("beat", "b"), F.count_if("solved").alias("solving"), F.count("best").alias("n_best"), F.sum(F.ln("best")).alias("logs"), *[F.sum(c).alias(c) for c in sums]
+    )
+    share = lambda a, b: F.sum(a) / F.greatest(F.lit(1), F.sum(b))
+    return task.groupBy(scope).agg(
+        F.count("*").alias("problems"), F.sum("episodes").alias("episodes"), F.sum("turns").alias("turns"), F.avg("p_1").alias("pass_1"), F.avg("p_n").alias("pass_n"), F.avg("t_1").alias("pass_1_first"), F.avg("t_n").alias("pass_n_first"),
+        F.avg("a_1").alias("pass_1_any"), F.avg("a_n").alias("pass_n_any"), F.avg("b_1").alias("beat_1"), F.avg("b_n").alias("beat_n"), (F.sum("crashed") / F.sum("turns")).alias("crash_rate"), share("crashed", "failed").alias("crash_share"),
+        F.sum("starters").alias("starter_turns"), share("same", "pairs").alias("repeat_rate"), F.sum("pairs").alias("fail_pairs"), share("fail_solved", "fail_next").alias("solved_after_fail"), F.sum("solving").alias("solving_episodes"),
+        F.sum("n_solved").alias("solving_turns"), F.sum("p_n").alias("problems_solved"), F.exp(F.try_divide(F.sum("logs"), F.sum("n_best"))).alias("geomean"),
+    )

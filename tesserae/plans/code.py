@@ -107,29 +107,6 @@ def feedback_fields(x):
     return f.select("event_id", text.field(F.col("t"), "status").alias("status"), text.field(F.col("t"), "speedup").try_cast("double").alias("speedup"), text.field(F.col("t"), "detail").alias("detail"))
 
 
-@query("f5_failure_category", """SELECT event_id, CASE event_id % 12 WHEN 0 THEN NULL WHEN 1 THEN 'no code block' WHEN 2 THEN 'timeout' WHEN 3 THEN 'wrong ModelNew signature' WHEN 4 THEN 'out of shared memory' WHEN 5 THEN 'Triton API / compile error' WHEN 6 THEN 'numerical mismatch'
-  WHEN 7 THEN 'numerical stability' WHEN 8 THEN 'smoke test mismatch' WHEN 9 THEN 'syntax error' WHEN 10 THEN 'API/name error' ELSE 'illegal memory access' END AS category FROM events""")
-def failure_category(x):
-    logs = ["fine", "no ```python here", "slow", "instantiation failed: NameError", "OutOfResources: exceeds tol", "triton Error", "max_abs_error 3", "value nan", "bad", "IndentationError", "AttributeError", "an ILLEGAL MEMORY access"]
-    kind = (F.col("event_id") % 12).cast("int")
-    log = F.get(F.array(*[F.lit(s) for s in logs]), kind)
-    verdict = F.when(kind == 0, "PASS").when(kind == 2, "TIMEOUT").otherwise("FAIL")
-    smoke, stability = F.when(kind == 8, "FAIL").otherwise("PASS"), F.lit("PASS")
-    return x.events.select("event_id", text.failure_category(verdict, log, smoke, stability).alias("category"))
-
-
-@query("f6_outcome_category", """SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'format' WHEN 1 THEN 'pass' WHEN 2 THEN 'timeout' WHEN 3 THEN 'infra' WHEN 4 THEN 'python' WHEN 5 THEN 'runtime_resources' WHEN 6 THEN 'runtime' WHEN 7 THEN 'compile' WHEN 8 THEN 'no_triton' ELSE 'numerics' END AS category FROM events""")
-def outcome_category(x):
-    kind = (F.col("event_id") % 10).cast("int")
-    pick = lambda values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), kind)
-    verdict = pick(["FAIL", "PASS", "TIMEOUT", "INFRA_ERROR", "CRASH", "CRASH", "CRASH", "CRASH", "FAIL", "FAIL"])
-    reason = pick([None, None, None, None, "import: x", None, "fatal CUDA", None, None, None])
-    reasons = pick([None, None, None, None, None, None, None, None, "no Triton kernel launched", "exceeds tol"])
-    kinds = pick([None, None, None, None, None, "OutOfResources", None, "CompilationError", None, None])
-    source = F.when(kind == 0, " ").otherwise("def f(): pass")
-    return x.events.select("event_id", text.outcome_category(source, verdict, reason, reasons, kinds, F.lit(None).cast("string")).alias("category"))
-
-
 @query("f14_observation", """SELECT event_id, '{"verdict":"' || CASE WHEN event_type = 'purchase' THEN 'PASS' ELSE 'FAIL' END || '"' || CASE WHEN event_type = 'purchase' THEN ',"user":' || user_id ELSE '' END || '}' || CASE WHEN event_type = 'error' THEN chr(10) || 'Failures:' || chr(10) || 'Error: ' || event_id ELSE '' END || chr(10) || 'tail: ' || right(props, 5) AS observation FROM events""")
 def observation(x):
     """What a turn is told: fields that have a value, failures where there are any, and the end of the log."""
