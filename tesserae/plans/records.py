@@ -258,7 +258,7 @@ def summary(x):
 M6_RESAMPLES = 200
 
 
-@query("m6_rescore", f"""WITH r AS (SELECT l_suppkey AS code, l_returnflag AS shape, l_suppkey * 4 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS g, l_orderkey * 8 + l_linenumber AS rep, l_quantity / 24 AS ratio, l_discount < 0.1 AS pass FROM lineitem),
+@query("m6_rescore", f"""WITH r AS (SELECT l_suppkey AS code, l_returnflag AS shape, l_suppkey * 4 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS g, l_orderkey * 8 + l_linenumber AS rep, l_quantity / 22 AS ratio, l_discount < 0.1 AS pass FROM lineitem),
 w AS (SELECT g, ratio, b, {weight_sql("rep", "b")} AS w FROM r, range({M6_RESAMPLES}) AS t(b)), m AS (SELECT g, b, quantile_cont(ratio, 0.5) AS m FROM (SELECT g, b, ratio, unnest(range(w)) FROM w) GROUP BY ALL),
 c AS (SELECT g, quantile_cont(m, 0.025) AS lo FROM m GROUP BY g), s AS (SELECT code, shape, g, quantile_cont(ratio, 0.5) AS median, bool_and(pass) AS pass FROM r GROUP BY ALL)
 SELECT code, count(*) AS n_shapes, exp(avg(ln(median))) AS geomean, min(lo) AS lowest, min(lo) > 1.0 AND exp(avg(ln(median))) > 1.05 AS sig, bool_and(pass) AND min(lo) > 1.0 AND exp(avg(ln(median))) > 1.05 AS claimed,
@@ -268,7 +268,7 @@ def rescore(x):
     shape = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     rows = x.lineitem.select(
         F.col("l_suppkey").alias("code"), F.col("l_returnflag").alias("shape"), (F.col("l_suppkey") * 4 + shape).cast("long").alias("g"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rep"),
-        (F.col("l_quantity") / 24).alias("ratio"), (F.col("l_discount") < 0.1).alias("pass"),
+        (F.col("l_quantity") / 22).alias("ratio"), (F.col("l_discount") < 0.1).alias("pass"),
     )
     lows = intervals(rows, "g", "rep", "ratio", M6_RESAMPLES).select("g", F.col("low").alias("lo"))
     middle = percentiles(rows, ["g"], "ratio", {"median": 0.5}).drop("n")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import scores, stats, text
+from tesserae.operators import poison
 from tesserae.operators import trajectories as t
 from tesserae.operators.selection import percentiles
 from tesserae.plans.evaluation import TURNS_SQL, turns
@@ -148,7 +149,7 @@ def neighbour_pairs(x):
     return t.neighbour_repairs(rounds(x), 1.0).select("event_id", "skipped", "kind")
 
 
-@query("m10_later_pass", f"""WITH {ROUNDS_SQL}, g AS (SELECT DISTINCT code FROM r WHERE code IS NOT NULL AND good AND speedup > 1.5), m AS (SELECT r.*, g.code IS NOT NULL AS passing FROM r LEFT JOIN g USING (code)),
+@query("m10_later_pass", f"""WITH {ROUNDS_SQL}, g AS (SELECT DISTINCT code FROM r WHERE code IS NOT NULL AND good AND speedup > 1.0), m AS (SELECT r.*, g.code IS NOT NULL AS passing FROM r LEFT JOIN g USING (code)),
 n AS (SELECT *, min(CASE WHEN passing THEN turn END) OVER (PARTITION BY traj_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS j FROM m),
 f AS (SELECT n.event_id, n.code, n.passing, n.j, b.code AS target FROM n LEFT JOIN n b ON b.traj_id = n.traj_id AND b.turn = n.j WHERE NOT n.good),
 k AS (SELECT *, CASE WHEN j IS NULL THEN 'no_later_pass' WHEN code IS NULL THEN 'failed_no_code' WHEN passing THEN 'failed_code_is_pass' WHEN target = '0' THEN 'target_is_starter' WHEN code = target THEN 'failed_same_as_target' END AS reason FROM f)
@@ -156,7 +157,7 @@ SELECT event_id, target, coalesce(reason, CASE WHEN row_number() OVER (PARTITION
 def later_pass(x):
     """Each failing round with the first later one of its trajectory whose code is known to pass, and why a pair is dropped; of equal pairs the first stays."""
     r = rounds(x)
-    passing = r.where(F.col("good") & (F.col("speedup") > 1.5) & F.col("code").isNotNull()).select("code").distinct().withColumn("passing", F.lit(True))
+    passing = r.where(F.col("good") & (F.col("speedup") > 1.0) & F.col("code").isNotNull()).select("code").distinct().withColumn("passing", F.lit(True))
     marked = r.join(passing, "code", "left").withColumn("passing", F.coalesce("passing", F.lit(False)))
     return t.later_repairs(marked, "event_id", "0")
 
@@ -195,3 +196,26 @@ def report(x):
         found = t.report(own, "scope").join(middle, "scope", "left")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def _measured(rows: list[dict]) -> list[dict]:
+    """A batch of measurements; one bad row breaks it, as a dying worker would."""
+    out = []
+    for r in rows:
+        k = int(r["props"].partition('"k": ')[2].rstrip("}"))
+        if r["event_type"] == "error":
+            raise RuntimeError(f"lost at {r['event_id']}")
+        out.append({"per_k": r["value"] / k})  # fails where k is 0
+    return out
+
+
+@query("r6_poison_rows", """WITH e AS (SELECT event_id, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type = 'error' AS lost FROM events)
+SELECT event_id, CASE WHEN NOT lost AND k <> 0 THEN value / k END AS per_k, CASE WHEN lost THEN 'RuntimeError: lost at ' || event_id WHEN k = 0 THEN 'ZeroDivisionError: division by zero' END AS error,
+  (SELECT count(*) FROM e WHERE lost) AS n_lost, (SELECT count(*) FROM e WHERE NOT lost AND k = 0) AS n_divided FROM e""")
+def poison_rows(x):
+    """Every row's result or error; a row that raises costs no other row its result."""
+    rows = x.events.select("event_id", "event_type", "value", "props")
+    found = poison.guarded(rows, ["event_id"], _measured, "per_k double")
+    counts = poison.errors_by_kind(found).groupBy().pivot("kind", ["RuntimeError", "ZeroDivisionError"]).agg(F.sum("n"))
+    counts = counts.select(F.coalesce("RuntimeError", F.lit(0)).alias("n_lost"), F.coalesce("ZeroDivisionError", F.lit(0)).alias("n_divided"))
+    return found.select("event_id", "per_k", F.replace("error", F.lit("float division"), F.lit("division")).alias("error")).crossJoin(F.broadcast(counts))  # one row

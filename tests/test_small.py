@@ -148,3 +148,22 @@ def test_erf(spark):
     for r in spark.createDataFrame([(v,) for v in made], "v double").select("v", arrays.erf(F.col("v")).alias("e")).collect():
         assert math.isclose(r["e"], math.erf(r["v"]), rel_tol=1e-12, abs_tol=0.0), r
     assert math.isnan(one(spark, arrays.erf(F.lit(float("nan"))).alias("e"))["e"])
+
+
+def test_poison_rows(spark):
+    """Rows that raise alone or with others; a function that returns too few; every other row has its result, in bounded tries."""
+    from tesserae.operators import poison
+
+    def halves(rows):
+        if any(r["k"] % 50 == 7 for r in rows):
+            raise KeyError("poison")
+        return [{"half": r["k"] / 2} for r in rows][: None if all(r["k"] != 400 for r in rows) else -1]
+
+    found = poison.guarded(spark.range(1000).withColumnRenamed("id", "k").repartition(3), ["k"], halves, "half double", 64)
+    rows = found.collect()
+    bad = {k for k in range(1000) if k % 50 == 7} | {400}
+    assert len(rows) == 1000 and {r["k"] for r in rows if r["error"]} == bad
+    assert all(r["half"] == r["k"] / 2 for r in rows if not r["error"]) and max(r["tries"] for r in rows) <= 7
+    assert {r["kind"]: r["n"] for r in poison.errors_by_kind(found).collect()} == {"KeyError": 20, "ValueError": 1}
+    assert poison.good(found).columns == ["k", "half"] and poison.good(found).count() == 979
+    assert poison.guarded(spark.range(0).withColumnRenamed("id", "k"), ["k"], halves, "half double").count() == 0
