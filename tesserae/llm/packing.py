@@ -5,8 +5,8 @@ segments of about half a million tokens.  A window may end where a document ends
 inside sentences longer than a window, anywhere else in steps (at a penalty in tokens each, for truncation).  A window
 of a power of two tokens needs no padding; others are padded to the full length.  The programme minimises
 padding plus penalties:  best(j) = penalty(j) + min over i of best(i) + padding(j - i).  For padded windows that is
-the minimum of best(i) + i over a sliding range of places, which a monotone queue gives; the few windows of an exact
-power of two are looked up.  Nothing is shuffled; a split's state is a segment, or its longest document.
+the minimum of best(i) + i over a sliding range of places, which a monotone queue gives; the windows of an exact power
+of two are looked up, of each place.  Nothing is shuffled; a split's state is a segment, or its longest document.
 
 Null text: empty, so just the end token.  Null and repeated keys: each row is a document of its own.  Other columns
 are ignored.  The order is that of the input; a split that runs again gives the same windows.
@@ -133,11 +133,10 @@ def best_cuts(places: list[int], penalties: list[int]) -> list[int]:
             queue.popleft()
         i = queue[0]
         cost = best[i] + places[i] - p + WINDOW
-        if penalties[j] == 0:
-            for power in _POWERS:
-                exact = at.get(p - power)
-                if exact is not None and best[exact] < cost:
-                    i, cost = exact, best[exact]
+        for power in _POWERS:
+            exact = at.get(p - power)
+            if exact is not None and best[exact] < cost:
+                i, cost = exact, best[exact]
         cost += penalties[j]
         best[j], came[j], at[p] = cost, i, j
         value = cost + p

@@ -275,3 +275,31 @@ def test_lines_around_chunks(spark):
     want = without_repeats(held)
     assert sorted((r["doc_id"], r["n"], r["text"]) for r in got) == want
     assert {x for _, t in held for x in t.split("\n")} == {x for _, _, t in want for x in t.split("\n")}
+
+
+def test_packing_is_the_cheapest():
+    """The cuts against a programme that tries every earlier place, with penalties, exact powers of two, and places too far apart for sentences."""
+    import random
+
+    from tesserae.llm import packing
+
+    rng = random.Random(11)
+    powers = {1 << k for k in range(12)}
+    for case in range(300):
+        steps = rng.choice([[1, 2, 4, 8, 16, 64, 128, 512, 1024, 2048], [*range(5, 60)], [100, 156, 256, 300, 700, 1900]])
+        places, penalties, at = [], [], 0
+        for _ in range(rng.randrange(1, 60)):
+            at += rng.choice(steps)
+            places.append(at)
+            penalties.append(rng.choice([0, 2, 32]) if case % 3 else 0)
+        penalties[-1] = 0
+        best, every = [0], [0, *places]
+        for j in range(1, len(every)):
+            cost = min(best[i] + (0 if every[j] - every[i] in powers else 2048 - (every[j] - every[i])) for i in range(j) if every[j] - every[i] <= 2048)
+            best.append(cost + penalties[j - 1])
+        cuts, total, before = packing.best_cuts(places, penalties), 0, 0
+        for c in cuts:
+            assert 0 < c - before <= 2048
+            total += (0 if c - before in powers else 2048 - (c - before)) + penalties[places.index(c)]
+            before = c
+        assert before == places[-1] and total == best[-1]
