@@ -215,3 +215,13 @@ def report(episodes: DataFrame, scope: str) -> DataFrame:
         F.sum("starters").alias("starter_turns"), share("same", "pairs").alias("repeat_rate"), F.sum("pairs").alias("fail_pairs"), share("fail_solved", "fail_next").alias("solved_after_fail"), F.sum("solving").alias("solving_episodes"),
         F.sum("n_solved").alias("solving_turns"), F.sum("p_n").alias("problems_solved"), F.exp(F.try_divide(F.sum("logs"), F.sum("n_best"))).alias("geomean"),
     )
+
+
+def stopped(turns: DataFrame, most_turns: int, answer_tokens: int, context_tokens: int) -> DataFrame:
+    """(traj_id, n_kept, n_turns, stopped_by): a trajectory (traj_id, turn, tokens) goes on while it has turns left and what was said before leaves room for two answers."""
+    w = Window.partitionBy("traj_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("tokens").over(w), F.lit(0.0))
+    seen = turns.select("traj_id", (F.col("turn") < most_turns).alias("early"), (before + 2 * answer_tokens <= context_tokens).alias("room"))
+    go = F.col("early") & F.col("room")
+    why = F.when(F.min(go), "ended").when(F.max(F.col("early") & ~F.col("room")), "context").otherwise("turns")
+    return seen.groupBy("traj_id").agg(F.count_if(go).alias("n_kept"), F.count("*").alias("n_turns"), why.alias("stopped_by"))

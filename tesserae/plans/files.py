@@ -159,16 +159,17 @@ def front_matter(x):
     return m.select("doc_id", F.try_element_at("m", F.lit("lang")).alias("lang"), F.try_element_at("m", F.lit("title")).alias("title"), "body", F.size("m").alias("n_keys"))
 
 
-@query("k2_resumed_append", "SELECT doc_id, 1 AS n_writes, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS run FROM documents")
+@query("k2_resumed_append", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS n_writes, CASE WHEN doc_id % 4 = 0 THEN 'corrected' WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS run FROM documents")
 def resumed_append(x):
-    """A second run appends only what the first has not written; a third finds nothing to do.  The last write of a key wins."""
+    """A second run appends only what the first has not written; a third finds nothing to do; then some rows are written again.  The last write of a key wins, by the time of its file."""
     path, docs = _folder(x), x.documents.select("doc_id")
     schema = "doc_id long, run string"
     jsonl.append_new(docs.where("doc_id % 2 = 0").withColumn("run", F.lit("first")), path, "doc_id", None)
     for run in ("second", "third"):
         jsonl.append_new(docs.withColumn("run", F.lit(run)), path, "doc_id", x.spark.read.schema(schema).json(path))
-    written = x.spark.read.schema(schema).json(path)
-    return jsonl.last_write(written, "doc_id", "run").join(written.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_writes")), "doc_id").select("doc_id", "n_writes", "run")
+    jsonl.append_new(docs.where("doc_id % 4 = 0").withColumn("run", F.lit("corrected")), path, "doc_id", None)
+    written = x.spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_modification_time").alias("at"))
+    return jsonl.last_write(written, "doc_id", "at").join(written.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_writes")), "doc_id").select("doc_id", "n_writes", "run")
 
 
 @query("k3_parquet_splits", "SELECT CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY 1")

@@ -12,7 +12,7 @@ from tesserae.operators.ranks import numbered
 from tesserae.operators.selection import percentiles
 from tesserae.plans.evaluation import EPISODES_SQL, TURNS_SQL, rewards, turns
 from tesserae.plans.registry import query
-from tesserae.storage import cut
+from tesserae.storage import bounded, cut
 
 LABELLED_SQL = "d AS (SELECT doc_id, lang, source, n_chars, text, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
 
@@ -72,7 +72,7 @@ def symbol_allowlist(x):
     """Words of a name that an allow list lacks."""
     symbols = x.part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("s"))
     allowed = x.part.where("p_partkey % 3 = 0").select(F.get(F.split("p_name", " "), F.lit(1)).alias("s")).distinct()
-    unknown = symbols.join(F.broadcast(allowed), "s", "left_anti").groupBy("p_partkey").agg(F.sort_array(F.collect_set("s")).alias("unknown"))
+    unknown = symbols.join(bounded(allowed), "s", "left_anti").groupBy("p_partkey").agg(F.sort_array(F.collect_set("s")).alias("unknown"))
     return x.part.select("p_partkey").join(unknown, "p_partkey", "left").select("p_partkey", F.coalesce("unknown", F.array().cast("array<string>")).alias("unknown"))
 
 
@@ -117,6 +117,28 @@ def identity_sanity(x):
     return counts.join(percentiles(rows, [], "s", {"median": 0.5, "p5": 0.05, "p95": 0.95}).drop("n"), how="left")  # one row each
 
 
+@query("a22_quick_only", f"""WITH {BENCH_SQL}, o AS (SELECT gpu, kernel, ord, bool_and(verdict = 'PASS') FILTER (mode = 'quick') AS quick, bool_and(verdict = 'PASS') FILTER (mode = 'full') AS full_ok, min(speedup) FILTER (mode = 'quick') AS low FROM r GROUP BY ALL)
+SELECT gpu, kernel, ord, low FROM o WHERE quick AND NOT full_ok""")
+def quick_only(x):
+    """Runs that pass every quick repeat and fail in full."""
+    quick, full, passed = F.col("mode") == "quick", F.col("mode") == "full", F.col("verdict") == "PASS"
+    runs = bench_rows(x).groupBy("gpu", "kernel", "ord").agg(F.min(F.when(quick, passed)).alias("quick"), F.min(F.when(full, passed)).alias("full"), F.min(F.when(quick, F.col("speedup"))).alias("low"))
+    return runs.where("quick AND NOT full").select("gpu", "kernel", "ord", "low")
+
+
+@query("a23_identity_by_file", f"""WITH {BENCH_SQL}, f AS (SELECT gpu || '/' || kernel AS file, ord, speedup / 25 AS s, verdict = 'PASS' AS passed FROM r)
+SELECT file, count(*) AS n, count(DISTINCT ord) AS n_problems, count(*) FILTER (passed) / CAST(count(*) AS DOUBLE) AS pass_share, count(DISTINCT CASE WHEN passed THEN ord END) AS n_passed, quantile_cont(CASE WHEN passed THEN s END, 0.5) AS median, (SELECT count(DISTINCT ord) FROM f) AS all_problems FROM f GROUP BY 1""")
+def identity_by_file(x):
+    """Of each file its share of passes and its problems, and how many problems there are in all."""
+    passed = F.col("verdict") == "PASS"
+    rows = bench_rows(x).select(F.concat("gpu", F.lit("/"), "kernel").alias("file"), "ord", passed.alias("passed"), F.when(passed, F.col("speedup") / 25).alias("s"))
+    # problems of a file are counted as rows of their own, so that no file is one task's set
+    problems = rows.groupBy("file", "ord").agg(F.max("passed").alias("ever"), F.count("*").alias("c"), F.count_if("passed").alias("p"))
+    by = problems.groupBy("file").agg(F.sum("c").alias("n"), F.count("*").alias("n_problems"), (F.sum("p") / F.sum("c")).alias("pass_share"), F.count_if("ever").alias("n_passed"))
+    every = rows.select("ord").distinct().agg(F.count("*").alias("all_problems"))
+    return by.join(percentiles(rows, ["file"], "s", {"median": 0.5}).drop("n"), "file", "left").crossJoin(F.broadcast(every))  # one row
+
+
 @query("a24_failure_prefixes", """WITH f AS (SELECT CASE WHEN event_type = 'error' THEN 'Error ' || (user_id % 9) || ': at ' || event_id ELSE '' END AS line, event_type FROM events)
 SELECT coalesce(nullif(split_part(line, ':', 1), ''), event_type) AS prefix, count(*) AS n FROM f GROUP BY 1 ORDER BY n DESC, prefix LIMIT 6""")
 def failure_prefixes(x):

@@ -227,10 +227,12 @@ def grid(x):
     return x.nation.select("n_name", F.explode(F.array(F.lit("fp16"), F.lit("bf16"))).alias("dtype")).select("n_name", "dtype", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("sample"))
 
 
-@query("j14_seen_unseen", "WITH s AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'), e AS (SELECT DISTINCT user_id FROM events WHERE value > 400) SELECT (SELECT count(*) FROM s JOIN e USING (user_id)) AS solved_seen, (SELECT count(*) FROM s ANTI JOIN e USING (user_id)) AS solved_unseen, 1000 - (SELECT count(*) FROM e) AS n_unseen")
-def seen_unseen(x, total: int = 1000):
+@query("j14_seen_unseen", "WITH s AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'), e AS (SELECT DISTINCT user_id FROM events WHERE value > 400), u AS (SELECT user_id FROM events UNION SELECT c_custkey FROM customer) SELECT (SELECT count(*) FROM s JOIN e USING (user_id)) AS solved_seen, (SELECT count(*) FROM s ANTI JOIN e USING (user_id)) AS solved_unseen, (SELECT count(*) FROM u) - (SELECT count(*) FROM e) AS n_unseen")
+def seen_unseen(x):
+    """Solved problems that were seen before and that weren't; of all there are, how many weren't seen."""
     by = x.events.groupBy("user_id").agg(F.max(F.col("event_type") == "purchase").alias("s"), F.max(F.col("value") > 400).alias("e"))
-    return by.agg(F.count_if(F.col("s") & F.col("e")).alias("solved_seen"), F.count_if(F.col("s") & ~F.col("e")).alias("solved_unseen"), (F.lit(total) - F.count_if("e")).alias("n_unseen"))
+    by = x.customer.select(F.col("c_custkey").alias("user_id")).distinct().join(by, "user_id", "full").select(F.coalesce("s", F.lit(False)).alias("s"), F.coalesce("e", F.lit(False)).alias("e"))
+    return by.agg(F.count_if(F.col("s") & F.col("e")).alias("solved_seen"), F.count_if(F.col("s") & ~F.col("e")).alias("solved_unseen"), F.count_if(~F.col("e")).alias("n_unseen"))
 
 
 @query("u3_set_operations", "SELECT (SELECT count(*) FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)) AS n_both, (SELECT count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)) AS n_first, (SELECT count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)) AS n_any")

@@ -198,6 +198,27 @@ def report(x):
     return out
 
 
+@query("r7_stopped", """WITH c AS (SELECT conv_id, turn, role, length(text) / 3.5 AS tokens FROM conversations), s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT conv_id, count(*) FILTER (turn < 6 AND before + 2 * 100 <= 700) AS n_kept, count(*) AS n_turns, CASE WHEN bool_and(turn < 6 AND before + 2 * 100 <= 700) THEN 'ended' WHEN bool_or(turn < 6 AND before + 2 * 100 > 700) THEN 'context' ELSE 'turns' END AS stopped_by FROM s GROUP BY 1""")
+def stopped(x):
+    """How far each dialogue goes until its turns or its context run out, of which two more answers must fit."""
+    c = x.conversations.select(F.col("conv_id").alias("traj_id"), "turn", text.token_estimate(F.col("text")).alias("tokens"))
+    return t.stopped(c, 6, 100, 700).withColumnRenamed("traj_id", "conv_id")
+
+
+@query("f37_token_mask", """WITH w AS (SELECT conv_id, turn, role, len(regexp_extract_all(text, '[^ \t\n\r]+')) AS n FROM conversations), s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM w)
+SELECT conv_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS BIGINT) AS n_learned, coalesce(list(start || '+' || n ORDER BY turn) FILTER (role = 'assistant'), []) AS spans, CAST(coalesce(sum(CASE WHEN turn = last THEN n END), 0) AS BIGINT) AS n_last FROM s GROUP BY 1""")
+def token_mask(x):
+    """Which words of a dialogue are learned: of every assistant turn, as spans, or of the last one only."""
+    words = F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), 0))
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    s = x.conversations.select("conv_id", "turn", (F.col("role") == "assistant").alias("own"), words.cast("long").alias("n"))
+    s = s.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    span = F.struct("turn", F.concat(F.col("start").cast("string"), F.lit("+"), F.col("n").cast("string")).alias("span"))
+    by = s.groupBy("conv_id").agg(F.sum("n").alias("n_tokens"), F.coalesce(F.sum(F.when(F.col("own"), F.col("n"))), F.lit(0)).alias("n_learned"), F.sort_array(F.collect_list(F.when(F.col("own"), span))).alias("s"), F.coalesce(F.max_by("n", F.when(F.col("own"), F.col("turn"))), F.lit(0)).alias("n_last"))
+    return by.select("conv_id", "n_tokens", "n_learned", F.transform("s", lambda e: e["span"]).alias("spans"), "n_last")
+
+
 def _measured(rows: list[dict]) -> list[dict]:
     """A batch of measurements; one bad row breaks it, as a dying worker would."""
     out = []

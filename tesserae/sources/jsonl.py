@@ -43,9 +43,10 @@ def bad_count(rows: DataFrame) -> DataFrame:
 
 
 def last_write(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows that share a key, the one written last."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """Of rows that share a key, the one written last; by an aggregate, so that a key written very often is no window."""
+    others = [c for c in rows.columns if c not in (key, order)]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("__last"), F.max(order).alias(order))
+    return best.select(key, order, *[F.col("__last")[c].alias(c) for c in others]).select(rows.columns)
 
 
 def append_new(rows: DataFrame, path: str, key: str, existing: DataFrame | None) -> None:
