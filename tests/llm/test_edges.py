@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from tesserae.llm import bpe, chat, lines, minhash, packing, quality, secrets, substring, suffixes, topk
+from tesserae.llm import bpe, chat, lines, minhash, packing, pieces, quality, secrets, substring, suffixes, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, run long, least string, __gone string, __quality string"
 PASSAGE = " ".join(f"word{i} is next{i} to the old{i} wall{i}" for i in range(30)) + "."
@@ -22,6 +22,7 @@ OPERATORS = {
     "substring": substring.remove_repeats,
     "packing": lambda d: packing.pack_documents(d, public_tokenizers.path("byte_bpe_50k.json")),
     "suffixes": suffixes.remove_repeats,
+    "pieces": lambda d: pieces.digest_documents(d, public_tokenizers.path("piece_bpe_32k.model")),
 }
 
 
@@ -99,3 +100,14 @@ def test_topk_ties_and_nulls(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in topk.top_k(v, v.where("vec_id % 20 = 0"), 2).collect())
     assert got == [(0, 1, 1), (0, 2, 20), (20, 1, 0), (20, 2, 1)]
+
+
+def test_chat_and_topk_on_empty_and_clashing_tables(spark):
+    v = spark.createDataFrame([], "vec_id long, embedding array<double>, query_id long, score long, rank int")
+    assert topk.top_k(v, v, 3).count() == 0
+    some = spark.createDataFrame([(0, [1.0, 2.0], 9, 9, 9), (1, [2.0, 1.0], 9, 9, 9), (2, [], 9, 9, 9)], v.schema)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(some, some.where("vec_id = 0"), 3).collect())
+    assert got == [(0, 1, 1, 4 * 64 * 64)]
+    turns = spark.createDataFrame([(1, 0, "ann", "hi", "p", "m", 1), (1, 1, "bob", "you", "p", "m", 1)], "conv_id long, turn long, role string, text string, perspective string, messages string, mask int")
+    assert {r["perspective"] for r in chat.perspectives(turns).collect()} == {"ann", "bob"}
+    assert chat.perspectives(turns.limit(0)).count() == 0
