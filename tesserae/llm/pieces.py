@@ -150,7 +150,7 @@ def _unpack_words(data: bytes) -> list[bytes]:
     sizes, raw = _part(data, 2)
     ends = np.cumsum(_from_planes(sizes), dtype=np.int64).tolist()
     raw = zstandard.decompress(raw)
-    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def make_blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -201,6 +201,8 @@ def _ask(parts: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for block, data in rows(batches, "run", "words"):
             words = _unpack_words(data)
+            if not words:
+                continue
             dealt = np.array([zlib.crc32(w) for w in words], np.uint32) % np.uint32(parts)
             order = np.argsort(dealt, kind="stable")
             present, first = np.unique(dealt[order], return_index=True)

@@ -54,3 +54,8 @@ def test_query(spark, sf_dir, model):
         ids = [*model.encode(text or ""), model.eos_id()]
         want.append((key, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest()))
     assert sorted(map(tuple, pieces.op13_piece_bpe(spark, sf_dir).collect())) == sorted(want)
+
+
+def test_texts_without_chunks(spark, model):
+    docs = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, pieces.encode_documents(docs, PATH).collect())) == [(1, [model.eos_id()], ""), (2, [model.eos_id()], "")]
