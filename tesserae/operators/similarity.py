@@ -15,15 +15,20 @@ from tesserae.operators.ranks import numbered
 from tesserae.storage import bounded, cut
 
 #: First elements of a row whose items give its first similarity.
-SEEDS = 3
+SEEDS = 10
 #: Rounding of the bounds; comparisons themselves are exact.
 SLACK = 1e-9
 
 
-def _numbered_sets(sets: DataFrame, key: str, places: DataFrame) -> DataFrame:
-    """(key, size, ids): the size of each set, and the numbers of its elements that items have, in order."""
-    each = sets.select(key, F.size("elements").alias("size"), F.explode("elements").alias("element")).join(places, "element")
-    return cut(each.groupBy(key).agg(F.max("size").alias("size"), F.sort_array(F.collect_list("id")).alias("ids")))
+def _known(sets: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
+    """(key, size, element): the elements of each set that items have, with the size of the whole set; written."""
+    each = sets.select(key, F.size("elements").alias("size"), F.explode("elements").alias("element"))
+    return cut(each.join(vocabulary, "element", "left_semi"))
+
+
+def _numbered_sets(known: DataFrame, key: str, places: DataFrame) -> DataFrame:
+    """(key, size, ids): the numbers of each set's elements, in order."""
+    return cut(known.join(places, "element").groupBy(key).agg(F.max("size").alias("size"), F.sort_array(F.collect_list("id")).alias("ids")))
 
 
 def _jaccard(shared: Column, a: Column, b: Column) -> Column:
@@ -44,9 +49,10 @@ def best_matches(rows: DataFrame, row: str, items: DataFrame, item: str) -> Data
     rows and items: a key that tells them apart, and `elements`, an array without repetitions.
     """
     vocabulary = bounded(items.select(F.explode("elements").alias("element")).distinct())
-    counts = rows.select(F.explode("elements").alias("element")).join(vocabulary, "element", "left_semi").groupBy("element").agg(F.count("*").alias("n"))
+    own = _known(rows, row, vocabulary)
+    counts = own.groupBy("element").agg(F.count("*").alias("n"))
     places = bounded(numbered(counts, [F.col("n"), F.col("element")], "id").select("element", F.col("id").cast("int").alias("id")))
-    own, asked = _numbered_sets(rows, row, places), _numbered_sets(items, item, places)
+    own, asked = _numbered_sets(own, row, places), _numbered_sets(_known(items, item, vocabulary), item, places)
     index = asked.select(F.col(item), F.col("size").alias("__size"), F.size("ids").alias("__known"), F.posexplode("ids").alias("__at", "id"))
     index = bounded(index)
     small = bounded(asked)
