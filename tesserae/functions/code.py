@@ -44,7 +44,7 @@ def _parsed(code: str | None) -> ast.Module | None:
 
 
 def check(code: str | None, entry: str, forbidden: list[str], follow_aliases: bool) -> tuple:
-    """What a kernel file holds and what speaks against it.  With `follow_aliases`, imported and assigned names stand for what they name, and `.apply` and calls of local functions count as ways to a launch."""
+    """What a kernel file holds and what speaks against it.  With `follow_aliases`, imported and assigned names stand for what they name.  A launch counts wherever it stands; whether anything calls that place is not followed."""
     tree = _parsed(code)
     if tree is None:
         return False, [], [], False, [], [], ["syntax"], False
@@ -135,13 +135,14 @@ def renamed(code: Column, names: dict[str, str]) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """`ratio` of the two texts' matching blocks, and the lines that a diff adds and removes."""
+    """`ratio` of the lines in matching blocks, and the lines that a diff adds and removes."""
 
     def run(left: pd.Series, right: pd.Series) -> pd.DataFrame:
         rows = []
         for x, y in zip(left, right, strict=True):
-            diff = list(difflib.unified_diff((x or "").splitlines(), (y or "").splitlines(), lineterm="", n=0))[2:]
-            rows.append((difflib.SequenceMatcher(None, x or "", y or "").ratio(), [d for d in diff if d[:1] in "+-"]))
+            old, new = (x or "").split("\n"), (y or "").split("\n")
+            diff = list(difflib.unified_diff(old, new, lineterm="", n=0))[2:]
+            rows.append((difflib.SequenceMatcher(None, old, new, autojunk=False).ratio(), [d for d in diff if d[:1] in "+-"]))
         return pd.DataFrame(rows, columns=["ratio", "diff"])
 
     return F.pandas_udf(run, "ratio double, diff array<string>")(a, b)

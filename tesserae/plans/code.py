@@ -73,7 +73,10 @@ def launches(x):
     """Whether a kernel is launched, how many there are by pattern of their decorators, and what is imported from internals."""
     s = sources(x)
     checked = s.withColumn("f", code.static_check(F.col("code"), "ModelNew", [], follow_aliases=True))
-    counted = F.when(F.col("kind") == 3, F.regexp_count("code", F.lit(r"(?m)^\s*@KJIT"))).otherwise(text.kernel_count(F.col("code")))
+    # decorators by their own name, or by a name that the source gives them
+    alias = F.nullif(F.regexp_extract("code", r"(?m)^(\w+) = triton\.jit$", 1), F.lit(""))
+    pattern = F.concat(F.lit(r"(?m)^\s*@(triton\.jit"), F.coalesce(F.concat(F.lit("|"), alias), F.lit("")), F.lit(r")\b"))
+    counted = F.regexp_count("code", pattern)
     return checked.select("p_partkey", (F.size("f.launched") > 0).alias("launches"), F.when(F.col("f.parses"), counted).otherwise(0).cast("int").alias("n_kernels"), code.imports_of(F.col("code"), r"torch\._inductor").alias("internals"))
 
 
@@ -84,11 +87,10 @@ def rename(x):
     return x.part.select("p_partkey", code.renamed(made, {"old": "y", "old2": "new"}).alias("code"))
 
 
-@query("f13_likeness", "SELECT conv_id, turn, CASE WHEN text = '' THEN 1.0 ELSE 2.0 * length(text) / (2 * length(text) + 1) END AS ratio, ['-' || text, '+' || text || '!'] AS diff FROM conversations WHERE text NOT LIKE '%' || chr(10) || '%' AND text <> '' AND length(text) < 150 AND text NOT LIKE '%!'")
+@query("f13_likeness", """WITH l AS (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations) SELECT conv_id, turn, (len(l) - 1) / CAST(len(l) AS DOUBLE) AS ratio, ['-' || l[-1], '+' || l[-1] || '!'] AS diff FROM l""")
 def likeness(x):
-    """Each short one-line text and itself with a mark behind it."""
-    turns = x.conversations.where("NOT contains(text, '\n') AND text <> '' AND length(text) < 150 AND NOT endswith(text, '!')")
-    return turns.select("conv_id", "turn", code.likeness(F.col("text"), F.concat("text", F.lit("!"))).alias("f")).select("conv_id", "turn", "f.ratio", "f.diff")
+    """Each text and itself with a mark behind it, line by line."""
+    return x.conversations.select("conv_id", "turn", code.likeness(F.col("text"), F.concat("text", F.lit("!"))).alias("f")).select("conv_id", "turn", "f.ratio", "f.diff")
 
 
 @query("p7_format_guard", """SELECT p_partkey, CASE WHEN p_partkey % 4 = 2 THEN 'does_not_parse' WHEN p_partkey % 5 = 0 THEN 'holds_fence' ELSE 'kept' END AS reason FROM part""")
