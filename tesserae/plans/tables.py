@@ -12,7 +12,7 @@ from tesserae.operators.ranks import numbered
 from tesserae.operators.selection import values_at
 from tesserae.operators.sessions import next_marker
 from tesserae.plans.registry import query
-from tesserae.storage import cut, shuffle_parts
+from tesserae.storage import bounded, cut, shuffle_parts
 
 
 @query("a1_histogram", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -169,13 +169,14 @@ SELECT d.doc_id, -(b).k AS item_id, coalesce((b).o, 0) AS overlap, coalesce((b).
 def containment(x):
     """Each document's best benchmark item by the share of the item's sentences that it holds."""
 
-    def sentences(df, key):
-        parts = F.split(F.regexp_replace("text", "\n", ". "), r"\. ")
-        return df.select(key, F.explode(F.array_distinct(F.transform(parts, lambda s: F.trim(s)))).alias("s")).where(F.length("s") >= 20)
+    def sentences(df, key, size):
+        parts = F.transform(F.split(F.regexp_replace("text", "\n", ". "), r"\. "), lambda s: F.trim(s))
+        own = F.filter(F.array_distinct(parts), lambda s: F.length(s) >= 20)
+        return df.select(key, F.size(own).alias(size), F.explode(own).alias("s"))
 
-    item, own = sentences(x.benchmark, "item_id"), sentences(x.documents, "doc_id")
-    sizes, own_sizes = item.groupBy("item_id").agg(F.count("*").alias("n")), own.groupBy("doc_id").agg(F.count("*").alias("nd"))
-    shared = own.join(item, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).join(sizes, "item_id").join(own_sizes, "doc_id")
+    # a text is split once, and its size goes with its sentences
+    item, own = bounded(sentences(x.benchmark, "item_id", "n")), sentences(x.documents, "doc_id", "nd")
+    shared = own.join(item, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("nd").alias("nd"))
     first = (-F.col("item_id")).alias("k")
     jaccard = F.col("shared") / (F.col("n") + F.col("nd") - F.col("shared"))
     best = shared.groupBy("doc_id").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("o"), first, "shared")).alias("b"), F.max(F.struct(jaccard.alias("j"), first)).alias("c"))
