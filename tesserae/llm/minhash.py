@@ -12,8 +12,10 @@ don't part copies in a corpus with many of them.  df counts all documents; runs
    the shingles.  Links become classes, so that a group of n copies costs a small multiple of n comparisons.
 5. Members of buckets that still hold several classes meet again by a prefix filter, which loses none: with shingles in
    one order for all texts, rarest first, two similar texts share a shingle before which neither has more than 1 - 0.8
-   of its weight.  Members of different classes with such a shingle in common, whose weight from there on allows 0.8,
-   are compared.  Shingles of many members are dealt into cells of CELL by CELL members.
+   of its weight.  First, members outside a shingle's largest class meet one member of that class, which joins most
+   of a large group's stragglers to it.  Then all members of classes that are still different, with such a shingle in
+   common whose weight from there on allows 0.8, are compared.  Shingles of many members are dealt into cells of CELL
+   by CELL members.
 6. Links become classes by alternating stars.
 
 The number of jobs is fixed but for the rounds of the stars.  What is lost: a pair of 0.8 or more that shares no band,
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import batched, bounded, cut, free_name, read, rows
@@ -262,22 +264,41 @@ def _with_component(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     return keyed.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
-def _left_pairs(bucket: DataFrame, classes: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(a, b), a above b: all pairs of different classes of members of buckets with several classes that may be similar; see step 5 above."""
+def _left_entries(bucket: DataFrame, classes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The prefix entries, with their classes, of the members of buckets that still hold several classes; written."""
     member = cut(_with_component(bucket.select("key", "band", "hash"), classes))
     several = member.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "hash")
     chosen = member.join(bounded(several), ["band", "hash"], "left_semi").select("key", "component").distinct()
-    entry = cut(chosen.join(vectors.select("key", "prefix"), "key").mapInArrow(_entries, ENTRY_DDL))
-    # members of a shingle's largest class need not meet one another: every other member meets all
+    return cut(chosen.join(vectors.select("key", "prefix"), "key").mapInArrow(_entries, ENTRY_DDL))
+
+
+def _met(entry: DataFrame) -> DataFrame:
+    """The entries of shingles that several classes have, with the shingle's largest class (`main`) and the cells that it is dealt into; written."""
     size = entry.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
     size = size.where("main.n < n").select("shingle", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / CELL).alias("na"), F.ceil(F.col("n") / CELL).alias("nb"))
-    met = cut(entry.join(bounded(size), "shingle"))
+    return cut(entry.join(bounded(size), "shingle"))
+
+
+def _may() -> Column:
+    """Whether two entries' weights from the shingle on allow THRESHOLD."""
+    inner = F.least(F.col("total") - F.col("before"), F.col("total_y") - F.col("before_y"))
+    return inner >= (THRESHOLD - 1e-9) * (F.col("total") + F.col("total_y") - inner)
+
+
+def _main_pairs(met: DataFrame) -> DataFrame:
+    """(a, b): each member outside a shingle's largest class, and one of that class: as many as there are entries."""
+    least = met.where("component = main").groupBy("shingle").agg(F.min(F.struct("before", "key", "total")).alias("y"))
+    pairs = met.where("component <> main").join(bounded(least), "shingle").select("key", "before", "total", F.col("y.key").alias("key_y"), F.col("y.before").alias("before_y"), F.col("y.total").alias("total_y"))
+    return pairs.where(_may()).select(F.greatest("key", "key_y").alias("a"), F.least("key", "key_y").alias("b")).distinct()
+
+
+def _left_pairs(met: DataFrame) -> DataFrame:
+    """(a, b), a above b: all pairs of different classes that share an entry's shingle and may be similar; see step 5 above."""
+    # members of a shingle's largest class need not meet one another: every other member meets all
     x = met.where("component <> main").select("shingle", "key", "component", "before", "total", F.pmod(F.xxhash64("key"), "na").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"))
     y = met.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("i"), F.pmod(F.xxhash64("key"), "nb").alias("j"), *[F.col(c).alias(f"{c}_y") for c in ("key", "component", "before", "total", "main")])
-    inner = F.least(F.col("total") - F.col("before"), F.col("total_y") - F.col("before_y"))
     once = (F.col("component_y") == F.col("main_y")) | (F.col("key") > F.col("key_y"))
-    may = inner >= (THRESHOLD - 1e-9) * (F.col("total") + F.col("total_y") - inner)
-    pairs = x.alias("x").join(y, ["shingle", "i", "j"]).where((F.col("component") != F.col("component_y")) & once & may)
+    pairs = x.alias("x").join(y, ["shingle", "i", "j"]).where((F.col("component") != F.col("component_y")) & once & _may())
     return pairs.select(F.greatest("key", "key_y").alias("a"), F.least("key", "key_y").alias("b")).distinct()
 
 
@@ -288,7 +309,12 @@ def _links(vectors: DataFrame) -> DataFrame:
     bucket = cut(every.join(bounded(size.drop("n")), ["band", "hash"]))
     similar = F.col("similarity") >= THRESHOLD
     found = _compared(bucket.where("key <> b").select(F.col("key").alias("a"), "b").distinct(), vectors)
-    pairs = _left_pairs(bucket, components(found.where(similar)), vectors).join(found, ["a", "b"], "left_anti")
+    entry = _left_entries(bucket, components(found.where(similar)), vectors)
+    if entry.isEmpty():
+        return found.where(similar)
+    found = cut(found.unionByName(_compared(_main_pairs(_met(entry)).join(found, ["a", "b"], "left_anti"), vectors)))
+    entry = _with_component(entry.drop("component"), components(found.where(similar)))
+    pairs = _left_pairs(_met(entry)).join(found, ["a", "b"], "left_anti")
     return found.unionByName(_compared(pairs, vectors)).where(similar)
 
 
