@@ -8,10 +8,12 @@ older than the watermark is dropped by the engine.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,6 +21,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tesserae.streaming import runs
 
+# The driver starts a worker of its own for stateful processors, which has no packages that were added later.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LIFETIME_DAYS = 7
 EVENTS = "event_id long, ts timestamp, event_type string, props string"
 REPLIES = "key string, event_id long, hit boolean, stored_id long"

@@ -106,3 +106,15 @@ def test_late_results(spark):
     second = events(spark, [(1000, "01-10 00:00:00", "a"), (1001, "01-19 12:00:00", "a"), (1002, "02-01 00:00:00", "a")])
     got = {r["event_id"] for r in cache.in_time(spark, [first, second], "2 days").collect()}
     assert got == set(range(200)) | {1001, 1002}
+
+
+def test_processor_needs_no_package(tmp_path):
+    """The driver's own worker has no packages that were added later."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"], input=cloudpickle.dumps(cache.Cache(5)), cwd=tmp_path, env=env, check=True)
