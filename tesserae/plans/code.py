@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import code, text
 from tesserae.plans.registry import query
+from tesserae.storage import bounded, cut, shuffle_parts
 
 #: p % 4: 0 launches its kernel, 1 does not, 2 does not parse, 3 calls what is forbidden and launches through an alias.
 _BODY = """import triton
@@ -26,6 +27,11 @@ class ModelNew:
 _KINDS = [("triton.jit", "kernel_{n}[(1,)](x)", ""), ("triton.jit", "pass", ""), ("triton.jit", "kernel_{n}[(1,)](x)", " +"), ("KJIT", "kernel_{n}[(1,)](torch.matmul(x, x))", "")]
 
 
+def parts(x):
+    """(p_partkey), dealt to all tasks: a file of millions of keys is a few MB, which one task would read and parse alone."""
+    return x.part.select("p_partkey").repartition(shuffle_parts(x.spark), "p_partkey")
+
+
 def sources(x):
     """(p_partkey, kind, code)."""
     n, kind = (F.col("p_partkey") % 50).cast("string"), F.col("p_partkey") % 4
@@ -33,7 +39,7 @@ def sources(x):
     for i, (jit, call, end) in enumerate(_KINDS):
         body = _BODY.replace("{jit}", jit).replace("{call}", call).replace("{end}", end)
         made = F.when(kind == i, F.replace(F.lit(body), F.lit("{n}"), n)).otherwise(made)
-    return x.part.select("p_partkey", kind.alias("kind"), made.alias("code"))
+    return parts(x).select("p_partkey", kind.alias("kind"), made.alias("code"))
 
 
 @query("f20_static_check", """SELECT p_partkey, p_partkey % 4 <> 2 AS parses, CASE p_partkey % 4 WHEN 2 THEN [] WHEN 3 THEN [] ELSE ['kernel_' || p_partkey % 50] END AS jit_kernels, CASE WHEN p_partkey % 4 = 0 THEN ['kernel_' || p_partkey % 50] ELSE [] END AS launched,
@@ -54,10 +60,11 @@ def static_check_aliases(x):
 @query("f19_source_features", """SELECT p_partkey, p_partkey % 4 <> 2 AS parses, CASE WHEN p_partkey % 4 <> 2 THEN 'kernel_' || p_partkey % 50 || ' ' || p_partkey % 4 END AS same, CASE WHEN p_partkey % 4 = 2 THEN [] ELSE ['forward', 'kernel_' || p_partkey % 50] END AS functions FROM part""")
 def source_features(x):
     """Equal trees have equal keys: the key is told by the least text that has it."""
-    f = sources(x).select("p_partkey", "kind", code.features(F.col("code")).alias("f")).select("p_partkey", "kind", "f.*")
+    f = sources(x).select("p_partkey", "kind", code.features(F.col("code")).alias("f"))
+    f = cut(f.select("p_partkey", "kind", "f.parses", "f.ast_key", "f.functions"))  # for the keys and the join
     kernel = F.concat(F.lit("kernel_"), (F.col("p_partkey") % 50).cast("string"), F.lit(" "), F.col("kind").cast("string"))
     named = f.where("ast_key IS NOT NULL").groupBy("ast_key").agg(F.min(kernel).alias("same"))
-    return f.join(named, "ast_key", "left").select("p_partkey", "parses", "same", "functions")
+    return f.join(bounded(named), "ast_key", "left").select("p_partkey", "parses", "same", "functions")
 
 
 @query("f22_normal_view", """SELECT p_partkey, CAST(12 AS BIGINT) AS n_lines, CAST(CASE WHEN p_partkey % 4 = 2 THEN 0 ELSE 1 END AS BIGINT) AS n_classes, CAST(CASE WHEN p_partkey % 4 = 2 THEN 0 ELSE 2 END AS BIGINT) AS n_bodies,
@@ -84,7 +91,7 @@ def launches(x):
 def rename(x):
     """Names only: not behind a dot, in strings, comments or longer names."""
     made = F.concat(F.lit('old = x.old + old2("old", old_) # old '), F.col("p_partkey").cast("string"), F.lit("\n"))
-    return x.part.select("p_partkey", code.renamed(made, {"old": "y", "old2": "new"}).alias("code"))
+    return parts(x).select("p_partkey", code.renamed(made, {"old": "y", "old2": "new"}).alias("code"))
 
 
 @query("f13_likeness", """WITH l AS (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations) SELECT conv_id, turn, (len(l) - 1) / CAST(len(l) AS DOUBLE) AS ratio, ['-' || l[-1], '+' || l[-1] || '!'] AS diff FROM l""")
