@@ -104,7 +104,7 @@ def likeness(x):
 def format_guard(x):
     """A target that holds a fence or doesn't parse goes; what can be told without parsing is told first."""
     s = sources(x).withColumn("code", F.when(F.col("p_partkey") % 5 == 0, F.concat("code", F.lit("# ```\n"))).otherwise(F.col("code")))
-    return s.select("p_partkey", F.when(~code.features(F.col("code"))["parses"], "does_not_parse").when(F.col("code").contains("```"), "holds_fence").otherwise("kept").alias("reason"))
+    return s.select("p_partkey", F.when(~code.parses(F.col("code")), "does_not_parse").when(F.col("code").contains("```"), "holds_fence").otherwise("kept").alias("reason"))
 
 
 @query("f2_feedback_fields", """SELECT event_id, event_type AS status, value AS speedup, CASE WHEN event_id % 3 = 0 THEN 'nested' ELSE NULL END AS detail FROM events""")

@@ -32,3 +32,12 @@ def test_equal_texts_are_looked_at_once():
     seen = []
     found = code._told(pd.Series(["a", None, "b", "a", None]), lambda c: (seen.append(c), c)[1:] * 2, ["x", "y"])
     assert len(seen) == 3 and found["x"].tolist() == ["a", None, "b", "a", None] and list(found) == ["x", "y"]
+
+
+def test_parses(spark, sf_dir):
+    """Only whether a text parses is told, without its features."""
+    texts = ["x = 1", "def f(:", "", None, "x = 1", "\0", "(" * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = [r["p"] for r in rows.select("i", code.parses(F.col("t")).alias("p")).orderBy("i").collect()]
+    assert got == [True, False, True, True, True, False, False]
+    assert "ast_key" not in plan(plans.format_guard(Tables(spark, sf_dir)))
