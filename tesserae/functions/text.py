@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ LINEAR_CALL = r"nn\.Linear\(|\bLinear\(|F\.linear\("
 FAMILY_ORDER = ["rotary", "attention", "mlp", "matmul", "cross_entropy", "rmsnorm", "layernorm", "softmax", "reduce", "activation", "conv", "other"]
 
 
+def once(value: Column, told: Callable[[Column], Column]) -> Column:
+    """What `told` makes of a value that is computed once, however often it is used; in a lambda, where it would be computed for each element."""
+    return F.get(F.transform(F.array(value), told), F.lit(0))
+
+
 def last_code_block(text: Column, tags: str = "python|py", spaces: str = r"\s*") -> Column:
     """The last fenced block, or null."""
     return F.try_element_at(F.regexp_extract_all(text, F.lit(rf"(?s)```(?:{tags})?{spaces}\n(.*?)```"), 1), F.lit(-1))
@@ -156,33 +163,34 @@ def shortened(text: Column, limit: int = 1500) -> Column:
     """A text over `limit` characters, its longest lines cut in the middle until it fits; its head and tail where that isn't enough.
 
     Longest lines go first, of equal ones the first.  Each but the last gives all it can, so what a line has to give is
-    the excess less the sum over the longer ones: one pass over the long lines in that order.
+    the excess less the sum over the longer ones: one pass over the long lines in that order tells the last line that
+    is cut and its tail.  A line is cut if it doesn't come behind that one.
     """
-    lines = F.split(text, "\n")
-    numbered = F.transform(lines, lambda line, i: F.struct((-F.length(line)).alias("less"), i.alias("i")))
-    long = F.array_sort(F.filter(numbered, lambda x: -x["less"] > LONG_LINE))
     marker = lambda cut: F.concat(F.lit(" ...["), cut.cast("string"), F.lit(" chars truncated]... "))
-    tail = lambda size, excess: F.lit(LINE_TAIL) + F.greatest(F.lit(0), size - excess - LONG_LINE)
+    # behind no line: none is cut
+    start = F.struct((F.length(text) - limit).alias("excess"), F.lit(-(1 << 31)).cast("int").alias("less"), F.lit(0).alias("i"), F.lit(0).alias("tail"))
 
     def take(state, x):
         size = -x["less"]
-        kept = tail(size, state["excess"])
+        kept = F.lit(LINE_TAIL) + F.greatest(F.lit(0), size - state["excess"] - LONG_LINE)
         cut = size - LINE_HEAD - kept
-        saved = cut - F.length(marker(cut))
-        taken = F.struct((state["excess"] - saved).alias("excess"), F.concat(state["tails"], F.array(F.struct(x["i"].alias("i"), kept.alias("tail")))).alias("tails"))
+        taken = F.struct((state["excess"] - cut + F.length(marker(cut))).alias("excess"), x["less"].alias("less"), x["i"].alias("i"), kept.alias("tail"))
         return F.when(state["excess"] > 0, taken).otherwise(state)
 
-    start = F.struct((F.length(text) - limit).alias("excess"), F.array().cast("array<struct<i:int,tail:int>>").alias("tails"))
-    tails = F.map_from_entries(F.aggregate(long, start, take)["tails"])
+    def last_cut(lines):
+        long = F.filter(F.transform(lines, lambda line, i: F.struct((-F.length(line)).alias("less"), i.alias("i"))), lambda x: -x["less"] > LONG_LINE)
+        return F.aggregate(F.array_sort(long), start, take)
 
-    def short(line, i):
-        kept = F.try_element_at(tails, i)
-        cut = F.length(line) - LINE_HEAD - kept
-        return F.when(kept.isNull(), line).otherwise(F.concat(F.substring(line, 1, LINE_HEAD), marker(cut), F.right(line, kept)))
+    def short(line, i, last):
+        less = -F.length(line)
+        is_last = (less == last["less"]) & (i == last["i"])
+        kept = F.when(is_last, last["tail"]).otherwise(LINE_TAIL)
+        goes = (-less > LONG_LINE) & ((less < last["less"]) | ((less == last["less"]) & (i <= last["i"])))
+        return F.when(goes, F.concat(F.substring(line, 1, LINE_HEAD), marker(F.length(line) - LINE_HEAD - kept), F.right(line, kept))).otherwise(line)
 
-    out = F.array_join(F.transform(lines, short), "\n")
-    ends = F.concat(F.substring(out, 1, limit // 2), F.lit("\n...[truncated]...\n"), F.right(out, F.lit(limit // 2)))
-    return F.when(F.length(text) <= limit, text).when(F.length(out) > limit + 300, ends).otherwise(out)
+    joined = once(F.split(text, "\n"), lambda lines: once(last_cut(lines), lambda last: F.array_join(F.transform(lines, lambda line, i: short(line, i, last)), "\n")))
+    ends = lambda out: F.concat(F.substring(out, 1, limit // 2), F.lit("\n...[truncated]...\n"), F.right(out, F.lit(limit // 2)))
+    return F.when(F.length(text) <= limit, text).otherwise(once(joined, lambda out: F.when(F.length(out) > limit + 300, ends(out)).otherwise(out)))
 
 
 def kernel_count(code: Column) -> Column:
