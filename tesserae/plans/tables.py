@@ -172,7 +172,9 @@ def containment(x):
     def sentences(df, key, size):
         parts = F.transform(F.split(F.regexp_replace("text", "\n", ". "), r"\. "), lambda s: F.trim(s))
         own = F.filter(F.array_distinct(parts), lambda s: F.length(s) >= 20)
-        return df.select(key, F.size(own).alias(size), F.explode(own).alias("s"))
+        # what stands beside a generator is computed for each of its rows, so the size is taken before
+        sized = df.select(key, own.alias("own")).select(key, F.size("own").alias(size), "own")
+        return sized.select(key, size, F.explode_outer("own").alias("s")).where("s IS NOT NULL")
 
     # a text is split once, and its size goes with its sentences
     item, own = bounded(sentences(x.benchmark, "item_id", "n")), sentences(x.documents, "doc_id", "nd")

@@ -7,6 +7,8 @@ import time
 from pyspark.sql import functions as F
 
 from tesserae.functions import text
+from tesserae.plans import tables
+from tesserae.plans.registry import Tables
 from tests.test_small import plainly_shortened
 
 
@@ -16,3 +18,12 @@ def test_shortening_of_many_lines(spark):
     began = time.time()
     assert df.first()["s"] == plainly_shortened(made, 200_000) != made
     assert time.time() - began < 15
+
+
+def above_generator(df) -> str:
+    """The plan of what is computed for each row that the documents' generator makes."""
+    return df._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0]
+
+
+def test_sentences_are_split_before_they_are_rows(spark, sf_dir):
+    assert "regexp_replace" not in above_generator(tables.containment(Tables(spark, sf_dir)))
