@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +39,20 @@ SECOND_PATTERNS = [
     ("conv", r"conv[123]d|Conv[123]d|conv_transpose|ConvTranspose"),
     ("reduce", r"\.(sum|mean|amax|amin|max|min|prod|argmax|argmin|norm|var|std|logsumexp|cumsum|cumprod|all|any)\(|torch\.(sum|mean|amax|amin|max|min|prod|argmax|argmin|norm|var|std|logsumexp|cumsum|cumprod)\("),
 ]
+#: Every match of a family's pattern, in either table or by name of an mlp, holds one of these.  Looking for them is far cheaper than the patterns, which then are only tried where one is found.
+FAMILY_STEMS = {
+    "softmax": ["oftmax"],
+    "layernorm": ["ayer_norm", "ayerNorm", "ayernorm"],
+    "rmsnorm": ["rms", "RMSNorm", "RmsNorm", "rsqrt"],
+    "cross_entropy": ["cross_entropy", "CrossEntropy", "nll_loss", "NLLLoss", "log_softmax"],
+    "rotary": ["otary", "rope", "RoPE", "rotate_half", "freqs_cis"],
+    "attention": ["ttention", "scaled_dot_product", "attn"],
+    "mlp": ["MLP", "Mlp", "mlp", "orward", "oward", "FFN", "ffn", "GLU", "_proj"],
+    "matmul": ["@", "matmul", "mm(", ".mm", ".bmm", "addmm", "addbmm", "Linear", "F.linear", "einsum"],
+    "conv": ["onv1d", "onv2d", "onv3d", "onv_transpose", "onvTranspose", "F.conv"],
+    "reduce": ["("],
+    "activation": ["elu", "eLU", "ELU", "silu", "SiLU", "igmoid", "tanh", "Tanh", "eaky", "oftplus", "wish", "mish", "Mish", "glu", "GLU"],
+}
 MLP_NAME = r"\bmlp\b|MLP|[Ff]eed[_]?[Ff]orward|\bffn\b|FFN|gate_proj|up_proj|down_proj"
 LINEAR_CALL = r"nn\.Linear\(|\bLinear\(|F\.linear\("
 FAMILY_ORDER = ["rotary", "attention", "mlp", "matmul", "cross_entropy", "rmsnorm", "layernorm", "softmax", "reduce", "activation", "conv", "other"]
@@ -126,19 +142,34 @@ def normal_message(category: Column, message: Column) -> Column:
     return F.when(category.isin("numerics", "pass"), category).otherwise(F.concat(category, F.lit("|"), F.right(F.regexp_replace(cut, r"\d+", "N"), F.lit(200))))
 
 
+def holds_family(source: Column, family: str, pattern: str) -> Column:
+    """Whether the pattern is found; one of the fixed tables only where a stem is."""
+    if (family, pattern) not in [*FAMILY_PATTERNS, *SECOND_PATTERNS, ("mlp", MLP_NAME)]:
+        return source.rlike(pattern)
+    stems = [source.contains(stem) for stem in FAMILY_STEMS[family]]
+    return reduce(operator.or_, stems) & source.rlike(pattern)
+
+
+def _tags(source: Column, patterns: list[tuple[str, str]]) -> Column:
+    return F.array_compact(F.array(*[F.when(holds_family(source, t, p), t) for t, p in patterns]))
+
+
 def families(source: Column, patterns: list[tuple[str, str]] | None = None) -> Column:
     """All families whose pattern is found, or `other`."""
-    tags = F.array_compact(F.array(*[F.when(source.rlike(p), t) for t, p in patterns or FAMILY_PATTERNS]))
-    return F.when(F.size(tags) == 0, F.array(F.lit("other"))).otherwise(tags)
+    tags = once(source, lambda source: _tags(source, patterns or FAMILY_PATTERNS))
+    return once(tags, lambda tags: F.when(F.size(tags) == 0, F.array(F.lit("other"))).otherwise(tags))
 
 
 def source_families(source: Column) -> Column:
     """By the second table, over a source without comments and docstrings; an mlp by its name, or by two linear layers and an activation."""
-    plain = strip_comments(source)
-    tags = F.array_compact(F.array(*[F.when(plain.rlike(p), t) for t, p in SECOND_PATTERNS]))
-    mlp = plain.rlike(MLP_NAME) | ((F.regexp_count(plain, F.lit(LINEAR_CALL)) >= 2) & F.array_contains(tags, "activation"))
-    tags = F.when(mlp, F.array_append(tags, "mlp")).otherwise(tags)
-    return F.when(F.size(tags) == 0, F.array(F.lit("other"))).otherwise(tags)
+
+    def told(plain: Column) -> Column:
+        linear = plain.contains("inear(") & (F.size(F.regexp_extract_all(plain, F.lit(LINEAR_CALL), 0)) >= 2)
+        mlp = lambda tags: holds_family(plain, "mlp", MLP_NAME) | (F.array_contains(tags, "activation") & linear)
+        found = once(_tags(plain, SECOND_PATTERNS), lambda tags: F.when(mlp(tags), F.array_append(tags, "mlp")).otherwise(tags))
+        return once(found, lambda tags: F.when(F.size(tags) == 0, F.array(F.lit("other"))).otherwise(tags))
+
+    return once(strip_comments(source), told)
 
 
 def primary_family(tags: Column, order: list[str] | None = None) -> Column:
