@@ -22,7 +22,8 @@ SLACK = 1e-9
 
 def _known(sets: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
     """(key, size, element): the elements of each set that items have, with the size of the whole set; written."""
-    each = sets.select(key, F.size("elements").alias("size"), F.explode("elements").alias("element"))
+    sized = sets.select(key, F.size("elements").alias("size"), "elements")  # a size beside the generator would be taken for each element
+    each = sized.select(key, "size", F.explode_outer("elements").alias("element")).where("element IS NOT NULL")
     return cut(each.join(vocabulary, "element", "left_semi"))
 
 
@@ -61,7 +62,8 @@ def best_matches(rows: DataFrame, row: str, items: DataFrame, item: str) -> Data
     # an item as similar as the first shares at least `need` elements
     known, score = F.size("ids"), F.col("best.score")
     least = F.ceil(score * F.col("size") - SLACK)
-    begun = own.join(first, row).select(row, "size", known.alias("known"), score.alias("score"), F.posexplode(F.slice("ids", 1, F.greatest(known - least + 1, F.lit(0)).cast("int"))).alias("at", "id"))
+    begun = own.join(first, row).select(row, "size", known.alias("known"), score.alias("score"), F.slice("ids", 1, F.greatest(known - least + 1, F.lit(0)).cast("int")).alias("early"))
+    begun = begun.select(row, "size", "known", "score", F.posexplode("early").alias("at", "id"))
     need = F.ceil(F.col("score") / (1 + F.col("score")) * (F.col("size") + F.col("__size")) - SLACK)
     most = F.least(F.col("known") - F.col("at"), F.col("__known") - F.col("__at"))
     near = (F.col("__size") >= F.col("score") * F.col("size") - SLACK) & (F.col("size") >= F.col("score") * F.col("__size") - SLACK)

@@ -80,7 +80,9 @@ def contamination(documents, benchmark, near: float = 0.5, least_shared: int = 2
         sentences = F.array_distinct(F.transform(parts, lambda s: F.lower(F.trim(s))))
         whole = F.lower(F.trim(F.regexp_replace("text", "[ \t\r\n]+", " ")))
         kinds = F.concat(F.transform(F.filter(sentences, lambda s: F.length(s) >= 20), lambda s: F.struct(F.lit(False).alias("whole"), s.alias("s"))), F.array(F.struct(F.lit(True).alias("whole"), F.sha2(whole, 256).alias("s"))))
-        return df.select(key, (F.size(kinds) - 1).alias("nd"), F.explode(kinds).alias("e")).select(key, "nd", "e.*")
+        # what stands beside a generator is computed for each of its rows, so the count is taken before; the array is never empty
+        sized = df.select(key, kinds.alias("kinds")).select(key, (F.size("kinds") - 1).alias("nd"), "kinds")
+        return sized.select(key, "nd", F.explode_outer("kinds").alias("e")).where("e IS NOT NULL").select(key, "nd", "e.*")
 
     items = elements(benchmark, "item_id").drop("nd").distinct()
     common = benchmark.agg(F.greatest(F.lit(2.0), 0.05 * F.count("*")).alias("least"))

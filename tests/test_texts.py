@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from tesserae.functions import text
-from tesserae.plans import tables
+from tesserae.plans import curating, tables
 from tesserae.plans.registry import Tables
 from tests.test_small import plainly_shortened
 
@@ -29,6 +29,11 @@ def test_sentences_are_split_before_they_are_rows(spark, sf_dir):
     assert "regexp_replace" not in above_generator(tables.containment(Tables(spark, sf_dir)))
 
 
+def test_decontamination_sizes_come_before_rows(spark, sf_dir):
+    x = Tables(spark, sf_dir)
+    assert "regexp_replace" not in above_generator(curating.contamination(x.documents, x.benchmark)).split("Generate")[0]
+
+
 #: Words that the patterns of families find, each once or more.
 FAMILY_WORDS = """softmax Softmax layer_norm LayerNorm layernorm Layernorm rms_norm RMSNorm RmsNorm rmsnorm rms rsqrt(x.pow(2).mean pow(2).mean(x)rsqrt cross_entropy CrossEntropy CrossEntropyLoss nll_loss NLLLoss log_softmax(x).gather
 rotary Rotary rope RoPE apply_rotary rotate_half freqs_cis attention Attention scaled_dot_product scaled_dot_product_attention MultiheadAttention attn MLP Mlp FeedForward FeedFoward FFN mlp SwiGLU GEGLU GLU feedforward feed_forward Feed_Forward ffn gate_proj up_proj down_proj
