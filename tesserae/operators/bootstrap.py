@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.selection import at_places, percentiles
-from tesserae.storage import bounded, cut
+from tesserae.storage import bounded, cut, shuffle_parts
 
 RESAMPLES = 2000
 #: Groups up to this size are taken whole.
 LARGE = 100_000
+#: Groups up to this size pass one by one through tasks that have many.
+SMALL = 4_096
 #: Square roots of a group's size that are taken on each side of its median.
 SPREAD = 8
 #: Rows of a group with one value beyond which only their weights' sums go on.
@@ -107,9 +109,15 @@ def _inside(rows: DataFrame, sums: DataFrame, resamples: int) -> DataFrame:
     return kept.groupBy("g", "block").cogroup(blocked.groupBy("g", "block")).applyInPandas(medians, "g long, b int, total long, median double")
 
 
+def _own(rows: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """(g, key, v) of the rows that have all three."""
+    whole = F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(value).isNotNull()
+    return rows.where(whole).select(F.col(group).cast("long").alias("g"), F.col(key).cast("long").alias("key"), F.col(value).cast("double").alias("v"))
+
+
 def medians(rows: DataFrame, group: str, key: str, value: str, resamples: int = RESAMPLES, large: int = LARGE, spread: float = SPREAD) -> DataFrame:
     """(group, b, median): of each group and replicate with any weight.  Rows without a group, key or value are left out; written."""
-    own = cut(rows.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(group).cast("long").alias("g"), F.col(key).cast("long").alias("key"), F.col(value).cast("double").alias("v")))
+    own = cut(_own(rows, group, key, value))
     sizes = cut(own.groupBy("g").agg(F.count("*").alias("n")))
     out = None
     while True:
@@ -133,8 +141,59 @@ def medians(rows: DataFrame, group: str, key: str, value: str, resamples: int =
         sizes, spread = cut(sizes.join(bounded(again), "g", "left_semi")), 4 * spread
 
 
-def intervals(rows: DataFrame, group: str, key: str, value: str, resamples: int = RESAMPLES, level: float = 0.95) -> DataFrame:
-    """(group, low, high): the bootstrap interval of each group's median."""
+def _whole(keys: np.ndarray, v: np.ndarray, resamples: int) -> np.ndarray:
+    """The medians of the replicates that have any weight, of a group that is held whole."""
+    order = np.argsort(v, kind="stable")
+    v, out, step = v[order], [], max(1, CELLS // len(v))
+    for first in range(0, resamples, step):
+        upto = np.cumsum(weights(keys[order], first, min(resamples, first + step)), axis=0, dtype=np.int64)
+        total = upto[-1]
+        upto, total = upto[:, total > 0], total[total > 0]
+        low, high = (v[(upto <= place).sum(axis=0)] for place in ((total - 1) // 2, total // 2))
+        with np.errstate(invalid="ignore"):
+            out.append(np.where(low == high, low, low + 0.5 * (high - low)))
+    return np.concatenate(out)
+
+
+def _small_intervals(own: DataFrame, resamples: int, wanted: list[float]) -> DataFrame:
+    """(g, low, high) of groups of at most SMALL rows (g, key, v), which lie together in a task and pass through it one by one."""
+
+    def told(rows: pd.DataFrame) -> pd.DataFrame:
+        g, keys, v = rows["g"].to_numpy().astype(np.int64), rows["key"].to_numpy().astype(np.int64), rows["v"].to_numpy().astype(float)
+        found, starts = [], [0, *(np.flatnonzero(np.diff(g)) + 1)]
+        for a, b in zip(starts, [*starts[1:], len(g)], strict=True):
+            m = np.sort(_whole(keys[a:b], v[a:b], resamples))
+            if len(m):
+                places = [(len(m) - 1) * q for q in wanted]
+                lows, highs = [m[int(np.floor(x))] for x in places], [m[int(np.ceil(x))] for x in places]
+                found.append((g[a], *[lo + (x - np.floor(x)) * (hi - lo) for x, lo, hi in zip(places, lows, highs, strict=True)]))
+        return pd.DataFrame(found, columns=["g", "low", "high"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            # the last group may go on in the next batch
+            last = int(np.searchsorted(rows["g"].to_numpy(), rows["g"].iloc[-1], "left"))
+            rest = rows.iloc[last:]
+            if last:
+                yield told(rows.iloc[:last])
+        if rest is not None:
+            yield told(rest)
+
+    dealt = own.repartition(shuffle_parts(own.sparkSession), "g").sortWithinPartitions("g")
+    return dealt.mapInPandas(run, "g long, low double, high double")
+
+
+def intervals(rows: DataFrame, group: str, key: str, value: str, resamples: int = RESAMPLES, level: float = 0.95, small: int = SMALL) -> DataFrame:
+    """(group, low, high): the bootstrap interval of each group's median; written.  Groups of at most `small` rows are taken whole, many by a task."""
     tail = (1 - level) / 2
-    found = medians(rows, group, key, value, resamples)
-    return percentiles(found, [group], "median", {"low": tail, "high": 1 - tail}).drop("n")
+    own = cut(_own(rows, group, key, value))
+    larger = bounded(own.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > small).select("g"))
+    found = cut(_small_intervals(own.join(larger, "g", "left_anti"), resamples, [tail, 1 - tail]))
+    if not larger.isEmpty():
+        middle = medians(own.join(larger, "g", "left_semi"), "g", "key", "v", resamples)
+        found = found.unionByName(percentiles(middle, ["g"], "median", {"low": tail, "high": 1 - tail}).drop("n"))
+    return found.withColumnRenamed("g", group)
